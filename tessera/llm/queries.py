@@ -14,7 +14,7 @@ from .heavy_hitters import frequent_values
 from .mixing import mix
 from .near_duplicates import near_duplicate_pairs
 from .pieces import oversized_pieces
-from .repeated_lines import repeated_lines, without_lines
+from .repeated_lines import line_table, repeated_lines, without_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +52,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).select(F.col("source").alias("source_title"), "line", "docs_with_line").distinct()
+    return line_table(table(spark, d, "knowledge_sources"), _lines(spark, d), "chunk_id", "source_title", "chunk_text")
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -1,82 +1,145 @@
 """Problem 4: lines that one source repeats across its documents.
 
-Every line gets a normal form (trimmed, white space single, lower case) and a masked form (numbers, dates and names
-replaced). Within a source, lines cluster by locality-sensitive hashing of the masked words: the key mixes ``ROWS``
-min-hashes, so equal lines always share a cluster and lines of word similarity s do with probability s**ROWS. A cluster's document
-frequency is at least that of each line in it; lines of clusters that stay below the limits are dropped there, and only
-for the rest are the exact frequencies counted. A document counts once per cluster or line however often it repeats it.
-All of it is built-in expressions; both counts combine map-side, so a source or line on a third of the rows is harmless.
+One Arrow pass gives every line two hashes, computed on flat code-point arrays: that of its normal form (trimmed, white
+space single, lower case), and a locality-sensitive one, the mix of ``ROWS`` min-hashes of its words with numbers,
+dates and the names of bodies masked. Within a source, lines of one such key are a cluster; equal lines always are in
+one, near-equal ones of masked word similarity s with probability s**ROWS. A cluster's document frequency is at least
+that of each line in it, so lines of clusters below the limits drop out there, and only for the rest are the exact
+document frequencies counted (a document counts once however often it repeats a line). Both counts combine map-side,
+so a source or a line on a third of the rows is harmless.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .textcodes import codes_of, mix, word_char_table, word_hashes
 
 ROWS = 2
-# fixed values: month names as they are masked
-MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
-# fixed values: nouns before which a word is a name
-BODIES = "authority|agency|board|council|tribunal|inspectorate|court|ministry|commission|act|code|rule|charter|directive|order|framework|desk|line"
-
-
-def normal_line(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-
-
-def masked_line(line: Column, source: Column) -> Column:
-    """A normal line with dates, numbers, the source's own name and the names of bodies replaced by marks.
-
-    It is a function of the normal form and the source alone, so that equal lines stay together.
-    """
-    named = F.replace(line, normal_line(source), F.lit("¤"))
-    named = F.regexp_replace(named, rf"[\p{{L}}’'-]+(?= (?:{BODIES})\b)|(?<=\b(?:bureau of|office for) )[\p{{L}}]+", "¤")
-    dated = F.regexp_replace(named, rf"\b\d{{1,2}} (?:{MONTHS}) \d{{4}}\b", "#")
-    return F.regexp_replace(dated, r"\p{N}[\p{N}.,:/–-]*", "#")
-
-
-def _cluster_key(masked: Column) -> Column:
-    words = F.array_distinct(F.split(masked, r"[^\p{L}\p{N}#¤]+"))
-    words = F.when(F.size(words) > 1, words).otherwise(F.array(masked))
-    return F.xxhash64(*(F.array_min(F.transform(words, lambda w, seed=seed: F.xxhash64(w, F.lit(seed)))) for seed in range(ROWS)))
-
-
-def source_lines(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """``(doc, source, line_no, raw)`` of every non-blank line; line numbers count from 0 over all lines."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("source").rlike(r"(?U)\S"))
-    return rows.select("doc", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).where(F.col("raw").rlike(r"(?U)\S"))
+SMALL_ROWS = 500_000
+# fixed values: the months, which are masked as dates
+MONTHS = "january february march april may june july august september october november december"
+# fixed values: nouns before which a word is a name, which is masked
+BODIES = "authority agency board council tribunal inspectorate court ministry commission act code rule charter directive order framework desk line standards affairs"
+_NUMBER, _DATE, _NAME = np.uint64(1), np.uint64(2), np.uint64(3)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    space = np.fromiter((chr(i).isspace() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return space, np.sort(word_hashes([MONTHS])[0]), np.sort(word_hashes([BODIES])[0])
+
+
+def _isin(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
+
+
+def line_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text index, line number, cluster key and normal-form hash of every non-blank line."""
+    space, months, bodies = _tables()
+    joined = "\n".join(texts) + "\n"
+    low = [t.lower() for t in joined.split("\n")[:-1]]
+    codes = codes_of("\n".join(low) + "\n")
+    ends = np.flatnonzero(codes == 10)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    lines = len(starts)
+    per_text = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
+    text_of = np.repeat(np.arange(len(texts)), per_text)
+    number = np.arange(lines) - np.repeat(np.concatenate(([0], np.cumsum(per_text)[:-1])), per_text)
+    # normal form: white space counts once, and only between other characters
+    blank = space[codes]
+    solid = np.flatnonzero(~blank)
+    line_of = np.searchsorted(ends, solid)
+    used, first = np.unique(line_of, return_index=True)
+    gap = np.ones(len(solid), np.int64)
+    gap[1:] += (solid[1:] > solid[:-1] + 1).astype(np.int64)
+    place = np.cumsum(gap)
+    base = np.zeros(lines, np.int64)
+    base[used] = place[first]
+    value = mix(codes[solid].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place - base[line_of]).astype(np.uint64))
+    exact = mix(np.add.reduceat(value, first)) if len(first) else np.zeros(0, np.uint64)
+    # masked words
+    word, of = word_hashes(low)
+    digit = np.zeros(len(word), bool)
+    if len(word):
+        alnum = word_char_table()[codes]
+        begins = np.flatnonzero(alnum & ~np.concatenate(([False], alnum[:-1])))
+        digit = (codes[begins] >= 48) & (codes[begins] <= 57)
+        month = _isin(word, months)
+        name = np.zeros(len(word), bool)
+        name[:-1] = _isin(word[1:], bodies) & (of[1:] == of[:-1])
+        word = np.where(digit, _NUMBER, np.where(month, _DATE, np.where(name, _NAME, word)))
+    cluster = mix(exact + np.uint64(5))  # lines without words
+    at_line, at = np.unique(of, return_index=True)
+    if len(at):
+        key = np.zeros(len(at), np.uint64)
+        for r in range(ROWS):
+            key = mix(key + np.minimum.reduceat(mix(word + np.uint64(0x51ED + 977 * r)), at))
+        cluster[np.searchsorted(used, at_line)] = key
+    return text_of[used], number[used], cluster, exact
+
+
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            of, number, cluster, exact = line_hashes(part.column(2).to_pylist())
+            at = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(at), part.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(cluster.view(np.int64)), pa.array(exact.view(np.int64))],
+                names=["doc", "s", "line_no", "cluster", "h"],
+            )
 
 
 def repeated_lines(
     docs: DataFrame, id_col: str, source_col: str, text_col: str, *, min_docs: int = 5, min_share: float = 0.1
 ) -> DataFrame:
-    """``(<id>, source, line_no, line, docs_with_line)``: lines in at least ``min_docs`` documents and ``min_share`` of their source's.
+    """``(<id>, line_no, s, h, docs_with_line)``: lines in at least ``min_docs`` documents and ``min_share`` of their source's.
 
-    Rows with a missing or blank source have no lines here; null and blank texts count as documents of their source.
+    ``s`` and ``h`` identify source and line. Rows with a missing or blank source have no lines here; null and blank
+    texts count as documents of their source. Line numbers count from 0 over all lines; blank lines are never given.
     Equal lines are equal in normal form. A document that holds a line twice counts once but gives both line numbers.
     """
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where(F.col("source").rlike(r"(?U)\S"))
+    kind = rows.schema["doc"].dataType.simpleString()
     size = (
-        docs.where(F.col(source_col).rlike(r"(?U)\S")).groupBy(F.xxhash64(source_col).alias("s")).agg(F.count("*").alias("docs"))
-        .where(F.col("docs") >= min_docs)
+        rows.groupBy(F.xxhash64("source").alias("s")).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
         .select("s", F.greatest(F.lit(min_docs), F.ceil(F.col("docs") * min_share - 1e-9)).alias("need"))
     )
-    lines = source_lines(docs, id_col, source_col, text_col).select(
-        "doc", "line_no", "source", F.xxhash64("source").alias("s"), normal_line(F.col("raw")).alias("line"),
-        _cluster_key(masked_line(normal_line(F.col("raw")), F.col("source"))).alias("cluster"),
+    lines = (
+        rows.where(F.col("text").isNotNull()).select("doc", F.xxhash64("source").alias("s"), "text")
+        .mapInArrow(_hash_lines, f"doc {kind}, s long, line_no int, cluster long, h long").persist(StorageLevel.MEMORY_AND_DISK)
     )
-    wide = (
+    wide = cut(
         lines.groupBy("s", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
         .join(size, "s").where("n >= need").select("s", "cluster", "need")
     )
-    near = cut(lines.join(wide, ["s", "cluster"]).withColumn("h", F.xxhash64("line")).drop("cluster"))
+    # few beside the lines: each holds at least min_share of its source's documents; broadcast only if counted to be
+    near = lines.join(F.broadcast(wide) if wide.count() <= SMALL_ROWS else wide, ["s", "cluster"]).select("doc", "s", "line_no", "h", "need")
+    near = cut(near)
+    lines.unpersist()
     found = (
         near.select("s", "h", "need", "doc").distinct().groupBy("s", "h", "need").agg(F.count("*").alias("docs_with_line"))
         .where("docs_with_line >= need").select("s", "h", "docs_with_line")
     )
-    return near.join(found, ["s", "h"]).select(F.col("doc").alias(id_col), "source", "line_no", "line", "docs_with_line")
+    return near.join(found, ["s", "h"]).select(F.col("doc").alias(id_col), "line_no", "s", "h", "docs_with_line")
+
+
+def line_table(docs: DataFrame, found: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """``(<source>, line, docs_with_line)``: each repeated line of each source once, in normal form."""
+    first = found.groupBy("s", "h", "docs_with_line").agg(F.min(F.struct(id_col, "line_no")).alias("at"))
+    first = first.select(F.col("at")[id_col].alias("at_id"), F.col("at.line_no").alias("at_line"), "docs_with_line")
+    raw = F.get(F.split(F.col(text_col), "\n"), F.col("at_line"))
+    line = F.lower(F.trim(F.regexp_replace(raw, r"(?U)\s+", " ")))
+    return docs.join(first, F.col(id_col) == F.col("at_id")).select(source_col, line.alias("line"), "docs_with_line")
 
 
 def without_lines(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
