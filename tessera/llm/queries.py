@@ -11,8 +11,11 @@ from ..session import table
 from .byte_bpe import token_ids
 from .format_duplicates import collapsed, duplicate_rows
 from .heavy_hitters import frequent_values
+from .language_id import document_languages, fitted, named_language, segment_languages
+from .main_content import furniture_lines, main_body
 from .mixing import mix
 from .near_duplicates import near_duplicate_pairs
+from .pair_defects import pair_defects, sampled_judge
 from .pieces import oversized_pieces
 from .repeated_lines import line_table, repeated_lines, without_lines
 
@@ -59,6 +62,20 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(table(spark, d, "knowledge_sources"), _lines(spark, d), "chunk_id", "chunk_text")
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "feedback_log")
+    judge = sampled_judge(log, _models(spark, d), "feedback_id", "question", "answer", "feedback")
+    return pair_defects(log, judge, "feedback_id", "question", "answer", "corrected_answer")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d)
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).groupBy("answer_field", "defect").agg(F.count("*").alias("pairs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = oversized_pieces(table(spark, d, "rag_chunks"), "chunk_id", "chunk_text", with_text=False)
     return pieces.where("piece_no = 1").select("chunk_id")
@@ -68,6 +85,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return oversized_pieces(table(spark, d, "rag_chunks"), "chunk_id", "chunk_text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return furniture_lines(table(spark, d, "rag_chunks"), "chunk_id", "chunk_text")
+
+
+def p7_body(spark: SparkSession, d: str) -> DataFrame:
+    return main_body(table(spark, d, "rag_chunks"), "chunk_id", "chunk_text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -80,6 +105,24 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "source", "text")[1]
 
 
+def _models(spark: SparkSession, d: str):
+    return fitted(table(spark, d, "documents"), table(spark, d, "language_names"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = named_language(table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "language_names"), "lang")
+    found = document_languages(docs, _models(spark, d), "doc_id", "text", skip_col="named")
+    return found.select("doc_id", F.col("lang").alias("found_lang"))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return document_languages(table(spark, d, "documents"), _models(spark, d), "doc_id", "text")
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return segment_languages(table(spark, d, "documents"), _models(spark, d), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
