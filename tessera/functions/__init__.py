@@ -1 +1 @@
-
+"""Column builders; all of them are Catalyst expressions."""
