@@ -19,7 +19,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import cut
@@ -108,7 +107,7 @@ def mix(
     )
     drawn = cut(placed.join(F.broadcast(schedule), ["source", "block"]).select("slot", "offset", "source", id_col, "repeat", "tokens"))
     reached = drawn.groupBy("source").agg(F.sum("tokens").alias("drawn_tokens"))
-    sizes_by_source = spark.createDataFrame([(s, w, c, have.get(s, 0)) for s, (w, c) in wanted.items()] , T.StructType.fromDDL("source string, target_share double, max_repeats int, available_tokens long"))
+    sizes_by_source = spark.createDataFrame([(s, w, c, have.get(s, 0)) for s, (w, c) in wanted.items()], "source string, target_share double, max_repeats int, available_tokens long")
     whole = reached.agg(F.sum("drawn_tokens").alias("whole"))
     shares = (
         sizes_by_source.join(reached, "source", "left").crossJoin(F.broadcast(whole))
