@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ BANDS, ROWS, SEGMENTS, COARSE = 38, 5, 64, 4
 EXPANDED_COPIES = 64
 BATCH = 2048
 SLICE = 1 << 20
+LARGE_BUCKET = 8192  # texts in a band key's bucket from which its blocks go to other tasks
+BLOCK = 2048
 _ENTRY = np.dtype([("sig", "<u4"), ("node", "<i8"), ("seg", "u1", (COARSE,))])
 
 
@@ -125,8 +128,29 @@ def _scatter(parts: int):
     return run
 
 
+def _near(seg_a: np.ndarray, seg_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether coarse (halved) popcounts leave room for the threshold; halving loses at most one per segment and side."""
+    near = np.abs(seg_a - seg_b).sum(axis=1)
+    total = seg_a.sum(axis=1) + seg_b.sum(axis=1)
+    bound = (1 - threshold) / (1 + threshold)
+    return (2 * near - 2 * COARSE <= bound * (2.0 * total + 2 * COARSE)) | (seg_a.max(axis=1) == 255) | (seg_b.max(axis=1) == 255)
+
+
+def _reach(size: np.ndarray, threshold: float) -> np.ndarray:
+    """The largest half popcount whose text can still be similar to one of ``size``."""
+    return np.where(size >= COARSE * 255, 1 << 20, np.floor((size + COARSE) / threshold).astype(np.int64) + COARSE)
+
+
+def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    if not len(pair):
+        return None
+    none = pa.nulls(len(pair), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none], names=["node_a", "node_b", "left", "right"])
+
+
 def _grid_join(threshold: float):
-    """Blobs of one partition -> candidate pairs within each band key's bucket."""
+    """Blobs of one partition -> candidate pairs within each band key's bucket, and the block pairs of oversized buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, entries = [], []
@@ -149,41 +173,74 @@ def _grid_join(threshold: float):
         key, node, seg = key[~alone], node[~alone], seg[~alone].astype(np.int16)
         if not len(key):
             return
-        size = seg.sum(axis=1)  # half the popcount: the grid's axis
+        size = seg.sum(axis=1).astype(np.int64)  # half the popcount: the grid's axis
         order = np.lexsort((node, size, key))
         key, node, seg, size = key[order], node[order], seg[order], size[order]
         keep = np.ones(len(key), bool)  # copies met in several batches
         keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node, seg, size = key[keep], node[keep], seg[keep], size[keep]
-        # the furthest neighbour on the axis whose size still allows the threshold (rounding of COARSE halves allowed for)
-        reach = np.minimum(np.floor((size + COARSE) / threshold).astype(np.int64) + COARSE, (1 << 20) - 1)
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        large = np.repeat(np.diff(edge) > LARGE_BUCKET, np.diff(edge))
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            if hi - lo > LARGE_BUCKET:  # other tasks compare its blocks
+                yield from _block_pairs(node[lo:hi], seg[lo:hi], size[lo:hi], threshold)
+        key, node, seg, size = key[~large], node[~large], seg[~large], size[~large]
+        if not len(key):
+            return
         bucket = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
-        axis = bucket * (1 << 20) + np.minimum(size, (1 << 20) - 1)
-        last = np.searchsorted(axis, bucket * (1 << 20) + reach, side="right")
+        axis = bucket * (1 << 21) + size
+        last = np.searchsorted(axis, bucket * (1 << 21) + _reach(size, threshold), side="right")
         count = last - np.arange(len(key)) - 1
         done = np.concatenate(([0], np.cumsum(count)))
-        bound = (1 - threshold) / (1 + threshold)
         at = 0
-        while at < len(key):  # slices of bounded size, whatever the bucket
+        while at < len(key):  # slices of bounded size: a bucket row has fewer than LARGE_BUCKET neighbours
             to = max(at + 1, int(np.searchsorted(done, done[at] + SLICE, side="right")) - 1)
-            for lo in range(0, int(done[to] - done[at]), 4 * SLICE) if to == at + 1 else [0]:
-                c = count[at:to]
-                i = np.repeat(np.arange(at, to), c)
-                j = i + 1 + np.arange(len(i)) - np.repeat(done[at:to] - done[at], c)
-                if to == at + 1:
-                    i, j = i[lo : lo + 4 * SLICE], j[lo : lo + 4 * SLICE]
-                near = np.abs(seg[i] - seg[j]).sum(axis=1)
-                # halving loses at most one per segment and side
-                ok = (2 * near - 2 * COARSE <= bound * (2.0 * (size[i] + size[j]) + 2 * COARSE)) | (seg[i].max(axis=1) == 255)
-                a, b = node[i[ok]], node[j[ok]]
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                if len(pair):
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["node_a", "node_b"])
+            c = count[at:to]
+            i = np.repeat(np.arange(at, to), c)
+            j = i + 1 + np.arange(len(i)) - np.repeat(done[at:to] - done[at], c)
+            ok = _near(seg[i], seg[j], threshold)
+            if (out := _pairs_batch(node[i[ok]], node[j[ok]])) is not None:
+                yield out
             at = to
 
     return run
 
 
+def _block_pairs(node: np.ndarray, seg: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The blocks of a bucket in size order, each with every block in its reach, for ``_compare_blocks``."""
+    entry = np.empty(len(node), _ENTRY)
+    entry["sig"], entry["node"], entry["seg"] = 0, node, seg
+    starts = np.arange(0, len(node), BLOCK)
+    for lo in starts:
+        left = entry[lo : lo + BLOCK]
+        end = int(np.searchsorted(size, _reach(size[lo : lo + BLOCK][-1:], threshold)[0], side="right"))
+        for other in starts[(starts >= lo) & (starts < end)]:
+            where = pa.array([int(lo)]), pa.array([int(other)])
+            yield pa.RecordBatch.from_arrays(
+                [*where, pa.array([left.tobytes()], pa.binary()), pa.array([entry[other : other + BLOCK].tobytes()], pa.binary())], names=["node_a", "node_b", "left", "right"]
+            )
+
+
+def _compare_blocks(threshold: float):
+    """Passes candidate pairs on and compares block pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = batch.column(2).is_null()
+            yield batch.filter(plain).select([0, 1])
+            for x, y in zip(*(batch.filter(pa.compute.invert(plain)).column(c).to_pylist() for c in (2, 3))):
+                a, b = np.frombuffer(x, _ENTRY), np.frombuffer(y, _ENTRY)
+                sa, sb = a["seg"].astype(np.int16), b["seg"].astype(np.int16)
+                for lo in range(0, len(a), 256):
+                    i = np.repeat(np.arange(lo, min(lo + 256, len(a))), len(b))
+                    j = np.tile(np.arange(len(b)), len(i) // len(b))
+                    ok = (a["node"][i] != b["node"][j]) & _near(sa[i], sb[j], threshold)
+                    if (out := _pairs_batch(a["node"][i[ok]], b["node"][j[ok]])) is not None:
+                        yield out.select([0, 1])
+
+    return run
+
+
 def _within_bound(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +297,9 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, *, shingle
         embedded.select("node", "vec", "sig")
         .mapInArrow(_scatter(parts), "part int, blob binary")
         .repartitionById(parts, "part")
-        .mapInArrow(_grid_join(threshold), "node_a long, node_b long")
+        .mapInArrow(_grid_join(threshold), "node_a long, node_b long, left binary, right binary")
+        .repartition(parts, "node_a", "node_b")
+        .mapInArrow(_compare_blocks(threshold), "node_a long, node_b long")
         .distinct()
     )
     vectors = embedded.select("node", "n", "vec").dropDuplicates(["node"])

@@ -61,6 +61,28 @@ def test_near_duplicates_against_all_pairs(spark, edited):
     assert len(set(got)) >= 0.98 * len(want)
 
 
+def test_oversized_buckets_are_compared_in_blocks(edited, monkeypatch):
+    """The blocks of an oversized bucket give the pairs that the bucket would."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import near_duplicates as nd
+
+    texts = [(i, x) for i, x in edited if x and len(x.split()) > 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([x for _, x in texts])], names=["node", "text"])
+    rows = next(nd._embed(3)(iter([batch])))
+    blobs = next(nd._scatter(1)(iter([rows.select(["node", "vec", "sig"])])))
+
+    def pairs():
+        out = [b for x in nd._grid_join(0.6)(iter([blobs])) for b in nd._compare_blocks(0.6)(iter([x]))]
+        return {tuple(p) for b in out for p in np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1).tolist()}
+
+    whole = pairs()
+    monkeypatch.setattr(nd, "LARGE_BUCKET", 2)
+    monkeypatch.setattr(nd, "BLOCK", 2)
+    assert len(whole) > 50 and pairs() == whole
+
+
 def test_large_group_of_copies_is_a_star(spark):
     copies = EXPANDED_COPIES + 6
     rows = [(i, "one two three four five six") for i in range(copies)] + [(999, "one two three four five six seven")]
