@@ -37,7 +37,9 @@ siehe auch|mehr zum thema|verwandte seiten|meistgelesen|das könnte sie auch int
 CUES = (
     "skip to", "skip navigation", "jump to", "go to search", "go to content", "go to main", "open menu", "close menu", "main menu", "show menu", "hide menu", "to the top of", "back to top", "top of page",
     "zum inhalt", "zum seitenanfang", "aller au contenu", "haut de page", "ir al contenido", "volver arriba",
-    "cookie", "tracking data", "small files on your device", "your privacy: ", "before you continue", "accept all", "only essential", "manage choices", "got it", "ok, close",
+    "cookie notice", "cookie settings", "cookie policy", "cookie preferences", "which cookies", "cookies to ", "cookies for ", "cookies so that", "cookies and similar", "use cookies", "uses cookies", "set cookies", "sets cookies",
+    "store cookies", "stores cookies", "keep cookies", "keeps cookies", "place cookies", "places cookies", "rely on cookies", "relies on cookies", "verwenden cookies", "verwendet cookies", "utilise des cookies", "utilisons des cookies",
+    "usa cookies", "usamos cookies", "utiliza cookies", "utilizamos cookies", "tracking data", "small files on your device", "your privacy: ", "before you continue", "accept all", "only essential", "manage choices", "got it", "ok, close",
     "auf ihrem gerät", "sur votre appareil", "en su dispositivo", "on your device", "alle annehmen", "tout accepter", "aceptar todas",
     "your browser", "recent browser", "enable scripts", "enable javascript", "scripts are blocked", "text version", "loading...", "ihr browser", "votre navigateur", "su navegador",
     "was this page", "was this article", "rate this page", "found this useful", "tell a colleague", "print this page", "send us your comments", "save to my list", "copy link",
@@ -49,7 +51,7 @@ CUES = (
 # fixed values: the same, where the line must begin with it
 OPENERS = (
     "share on ", "share: ", "share this ", "advertisement", "sponsored", "promoted", "advertorial", "paid content", "anzeige", "publicité", "publicidad", "page id ", "version ", "document id", "published: ", "updated: ",
-    "©", "(c) ", "copyright ", "hosted by", "powered by", "a service of the", "follow us", "subscribe and", "join ", "loading", "partager :", "compartir:", "teilen:",
+    "©", "(c) ", "copyright ", "hosted by", "powered by", "a service of the", "follow us", "subscribe and", "join ", "loading", "you are here", "partager :", "compartir:", "teilen:",
 )
 # fixed values: wording of links in sidebars; of lines that open a list; of list items; of headings
 LINKS = r"""news from \d{4}|(?:guide|tools|forms) for the .+|questions on the .+|about the .+|.+ archive|(?:form|schedule|annex) \p{L}?[\s–-]?\d+|\p{L}+ (?:act|code|rule|charter|directive|order|framework|data code)(?: (?:of )?\d{4})?"""

@@ -15,7 +15,7 @@ Plan
 
 The popcounts alone cannot select at a similarity as low as 0.6 (two unrelated texts of like length are within the
 bound in every grid of few dimensions), hence the band keys in front of them: a pair at similarity s shares a bucket
-with probability 1-(1-s**ROWS)**BANDS, i.e. 0.95 at 0.60, 0.99 at 0.65, 0.999 at 0.70 and 0.99996 at 0.75.
+with probability 1-(1-s**ROWS)**BANDS, i.e. 0.994 at 0.60, 0.9996 at 0.65 and 0.99999 at 0.70.
 
 Equal texts are one node throughout (identified by a 64-bit hash of the text), so a group of copies, however large,
 is compared once.
@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from ..session import cut, width
 from .textcodes import distinct_per_text, mix, ngram_hashes, word_hashes
 
-BANDS, ROWS, SEGMENTS, COARSE = 38, 5, 64, 4
+BANDS, ROWS, SEGMENTS, COARSE = 64, 5, 64, 4
 EXPANDED_COPIES = 64
 BATCH = 2048
 SLICE = 1 << 20
+ENTRIES = 1_500_000  # of band keys in a task of the grid join, 17 bytes each
 LARGE_BUCKET = 8192  # texts in a band key's bucket from which its blocks go to other tasks
 BLOCK = 2048
 _ENTRY = np.dtype([("sig", "<u4"), ("node", "<i8"), ("seg", "u1", (COARSE,))])
@@ -285,7 +286,6 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, *, shingle
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
-    parts = max(width(spark), 1)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     texts = texts.withColumn("node", F.xxhash64("text"))
     embedded = (
@@ -293,6 +293,8 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, *, shingle
         .mapInArrow(_embed(shingle), "node long, n int, vec binary, sig binary")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    # the count fills the cache; a task of the grid join gets about ENTRIES entries whatever the table's size
+    parts = max(width(spark), -(-embedded.count() * BANDS // ENTRIES))
     pairs = (
         embedded.select("node", "vec", "sig")
         .mapInArrow(_scatter(parts), "part int, blob binary")
