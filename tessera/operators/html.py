@@ -26,8 +26,9 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 class _Page(HTMLParser):
     """Collects the text of every block element; a block within a block is heard in both."""
 
-    def __init__(self):
+    def __init__(self, dropped: frozenset[str] = DROPPED):
         super().__init__(convert_charrefs=True)
+        self.dropped = dropped
         self.stack: list[tuple[str, int]] = []  # open elements and their block's number or -1
         self.blocks: list[tuple[str, list[str]]] = []
         self.mute = 0
@@ -35,7 +36,7 @@ class _Page(HTMLParser):
 
     def _close(self, at: int) -> None:
         for name, _ in self.stack[at:]:
-            self.mute -= name in DROPPED
+            self.mute -= name in self.dropped
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -59,7 +60,7 @@ class _Page(HTMLParser):
             self.blocks.append((tag, []))
         elif tag == "title" and not self.mute and self.title is None:
             self.title = []
-        self.mute += tag in DROPPED
+        self.mute += tag in self.dropped
         self.stack.append((tag, number))
 
     def handle_endtag(self, tag):
@@ -79,9 +80,9 @@ class _Page(HTMLParser):
                 self.title.append(text)
 
 
-def parse(html: str) -> tuple[str, list[tuple[str, str]]]:
+def parse(html: str, dropped: frozenset[str] = DROPPED) -> tuple[str, list[tuple[str, str]]]:
     """The page's title and its blocks ``(element, text)`` in document order."""
-    page = _Page()
+    page = _Page(dropped)
     page.feed(html)
     page.close()
     blocks = [(tag, " ".join(parts)) for tag, parts in page.blocks]
@@ -143,6 +144,22 @@ def page_sections(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return titles.join(per, "page_id", "left").select("page_id", "title", F.coalesce(sections, none).alias("sections"))
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        titles, texts = [], []
+        for html in batch.column(1).to_pylist():
+            _, blocks = parse(html or "", DROPPED - {"aside"})
+            titles.append(next((text for tag, text in blocks if tag == "h1"), "No Title"))
+            texts.append("\n".join(text for tag, text in blocks if tag != "h1" and len(text) > MIN_BLOCK))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(titles, pa.string()), pa.array(texts, pa.string())], names=["page_id", "title", "raw_text"])
+
+
+def page_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """``(page_id, title, raw_text)``: the plain profile, which keeps asides and headings and filters by length only."""
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    return rows.mapInArrow(_flat, f"page_id {rows.schema['page_id'].dataType.simpleString()}, title string, raw_text string")
+
+
 def url_title(c: Column | str) -> Column:
     """The last segment of a document's url, else a fixed title."""
     last = F.substring_index(F.regexp_replace(col(c), "/+$", ""), "/", -1)

@@ -109,6 +109,8 @@ def test_html(spark):
     assert row[0]["title"] == "Real & title" and [s["heading"] for s in row[0]["sections"]] == ["Real & title", "Part"]
     assert row[0]["sections"][0]["text"].count("\n") == 1 and "Second paragraph that" in row[0]["sections"][0]["text"]
     assert row[1]["title"] == "Untitled Source" and row[1]["sections"] == [] and row[2]["sections"] == []
+    flat = html.page_text(spark.createDataFrame([(1, page), (2, "<aside><p>" + "beside " * 10 + "</aside>"), (3, None)], "id int, h string"), "id", "h").orderBy("page_id").collect()
+    assert flat[0]["title"] == "Real & title" and flat[0]["raw_text"].count("\n") == 2 and flat[1]["title"] == "No Title" and flat[1]["raw_text"].startswith("beside") and flat[2]["raw_text"] == ""
     urls = ["http://10.0.0.1/x", "https://93.184.216.34", "ftp://a.b/c", "https://site.example/a", "http://[::1]/", "http://169.254.1.1", "nonsense", None, "http://0.0.0.0"]
     ok = {r["u"]: r["valid"] for r in html.url_check(spark.createDataFrame([(u,) for u in urls], "u string"), "u").collect()}
     assert [u for u in urls if ok[u]] == ["https://93.184.216.34", "https://site.example/a"]
