@@ -127,36 +127,70 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
-SPACE = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]+"
+SPACE = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]"
+
+
+WORD = r"[\p{L}\p{N}]+"
+
+
+def _squeeze(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+# every record with what is left of it once only letters and digits count
+_RECORDS = f"""
+    t AS (SELECT 'audit_logs' AS table_name, id AS row_id, query AS t FROM audit_logs UNION ALL SELECT 'feedback_log', feedback_id, question FROM feedback_log),
+    i AS (SELECT *, list_filter(regexp_split_to_array(t, '[;|\\r\\n]'), lambda x: {_squeeze('x')} <> '') AS items FROM t WHERE {_squeeze('t')} <> ''),
+    n AS (
+      SELECT table_name, row_id, CASE
+        WHEN len(items) >= 2 AND len(list_filter(items, lambda x: NOT regexp_matches(x, '^{SPACE}*{WORD}{SPACE}*[:=].*[\\p{{L}}\\p{{N}}]'))) = 0
+        THEN array_to_string(list_sort(list_transform(items, lambda x: {_squeeze('x')})), '|') ELSE {_squeeze('t')} END AS norm_text FROM i
+    )"""
+
+# every line of every chunk of a named source, and those its source repeats
+_LINES = f"""
+    l AS (
+      SELECT chunk_id, source_title, unnest(string_split(chunk_text, chr(10))) AS raw, generate_subscripts(string_split(chunk_text, chr(10)), 1) - 1 AS line_no
+      FROM knowledge_sources WHERE regexp_replace(source_title, '{SPACE}+', '', 'g') <> ''
+    ),
+    n AS (SELECT *, lower(trim(regexp_replace(raw, '{SPACE}+', ' ', 'g'))) AS line FROM l),
+    k AS (SELECT source_title, count(*) AS k FROM knowledge_sources GROUP BY 1),
+    f AS (
+      SELECT source_title, line, count(DISTINCT chunk_id) AS docs_with_line FROM n JOIN k USING (source_title) WHERE line <> ''
+      GROUP BY source_title, line, k HAVING count(DISTINCT chunk_id) >= 5 AND count(DISTINCT chunk_id) * 10 >= k
+    )"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"""
+            WITH w AS (SELECT chunk_id, regexp_extract_all(lower(chunk_text), '{WORD}') AS w FROM knowledge_sources WHERE chunk_text IS NOT NULL),
+            t AS (SELECT DISTINCT chunk_id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+            n AS (SELECT chunk_id, count(*) AS n FROM t GROUP BY 1),
+            c AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS k FROM t a JOIN t b ON a.h = b.h AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+            SELECT chunk_id_a, chunk_id_b FROM c JOIN n a ON a.chunk_id = chunk_id_a JOIN n b ON b.chunk_id = chunk_id_b WHERE k >= 0.6 * (a.n + b.n - k)
+        """,
+        "p2_found": f"WITH {_RECORDS} SELECT table_name, row_id, norm_text FROM n QUALIFY count(*) OVER (PARTITION BY table_name, norm_text) > 1",
+        "p2_collapsed": f"WITH {_RECORDS} SELECT table_name, min(row_id) AS first_id, count(*) AS copies FROM n GROUP BY table_name, norm_text",
         "p3_found": f"""
-            WITH v AS (SELECT regexp_replace(query, '^{SPACE}|{SPACE}$', '', 'g') AS q FROM audit_logs)
+            WITH v AS (SELECT regexp_replace(query, '^{SPACE}+|{SPACE}+$', '', 'g') AS q FROM audit_logs)
             SELECT q AS query FROM v WHERE q <> '' GROUP BY q HAVING count(*) >= 0.005 * (SELECT count(*) FROM audit_logs)
         """,
         "p3_counts": f"""
-            WITH v AS (SELECT regexp_replace(query, '^{SPACE}|{SPACE}$', '', 'g') AS q FROM audit_logs)
+            WITH v AS (SELECT regexp_replace(query, '^{SPACE}+|{SPACE}+$', '', 'g') AS q FROM audit_logs)
             SELECT q AS query, count(*) AS asked FROM v WHERE q <> '' GROUP BY q
             HAVING count(*) >= 0.005 * (SELECT count(*) FROM audit_logs)
         """,
-        "p4_found": f"""
-            WITH l AS (
-              SELECT chunk_id, source_title, unnest(string_split(chunk_text, chr(10))) AS raw,
-                     generate_subscripts(string_split(chunk_text, chr(10)), 1) - 1 AS line_no
-              FROM knowledge_sources WHERE trim(source_title) <> ''
-            ), n AS (
-              SELECT chunk_id, source_title, line_no, lower(trim(regexp_replace(raw, '{SPACE}', ' ', 'g'))) AS line FROM l
-            ), t AS (SELECT source_title, count(*) AS k FROM knowledge_sources GROUP BY 1),
-            f AS (
-              SELECT source_title, line FROM n JOIN t USING (source_title) WHERE line <> ''
-              GROUP BY source_title, line, k HAVING count(DISTINCT chunk_id) >= 5 AND count(DISTINCT chunk_id) * 10 >= k
-            )
-            SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN f USING (source_title, line)
+        "p4_found": f"WITH {_LINES} SELECT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN f USING (source_title, line)",
+        "p4_lines": f"WITH {_LINES} SELECT source_title, line, docs_with_line FROM f",
+        "p4_clean": f"""
+            WITH {_LINES}, d AS (SELECT chunk_id, line_no FROM n JOIN f USING (source_title, line)),
+            a AS (SELECT chunk_id, unnest(string_split(chunk_text, chr(10))) AS raw, generate_subscripts(string_split(chunk_text, chr(10)), 1) - 1 AS line_no FROM knowledge_sources WHERE chunk_text IS NOT NULL),
+            c AS (SELECT chunk_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM a ANTI JOIN d USING (chunk_id, line_no) GROUP BY chunk_id)
+            SELECT s.chunk_id, CASE WHEN s.chunk_text IS NOT NULL THEN coalesce(t, '') END AS chunk_text FROM knowledge_sources s LEFT JOIN c USING (chunk_id)
         """,
         "p6_found": f"""
             SELECT chunk_id FROM rag_chunks
-            WHERE len(list_filter(regexp_split_to_array(chunk_text, '{SPACE}'), lambda w: w <> '')) > 400
+            WHERE len(list_filter(regexp_split_to_array(chunk_text, '{SPACE}+'), lambda w: w <> '')) > 400
         """,
     }
