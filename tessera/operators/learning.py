@@ -80,12 +80,22 @@ def predict_quality(model: PipelineModel, df: DataFrame, features: tuple[str, ..
     return out.withColumn("quality", vector_to_array("probability")[1]).select(*df.columns, "quality")
 
 
-def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """``(auc)``, exactly, by average ranks. Ranks come from counts per distinct score, so ties cost one row each."""
+def auc(scored: DataFrame, label: str, score: str, ranges: int = 1024) -> DataFrame:
+    """``(auc)``, exactly, by average ranks.
+
+    Counts per distinct score first; their running sums then come in two levels (ranges of the score, and within each),
+    so that neither ties nor many distinct scores meet in one task.
+    """
     n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    per = scored.groupBy(score).agg(n1.alias("p"), n0.alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    per = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(n1.alias("p"), n0.alias("n"))
+    ends = per.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")) * ranges), F.lit(0))
+    per = per.crossJoin(F.broadcast(ends)).select("s", "p", "n", place.alias("r"))
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.groupBy("r").agg(F.sum("n").alias("m")).select("r", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    wins = per.join(F.broadcast(base), "r").withColumn("w", F.col("p") * (below + F.col("n") / 2))
     return wins.agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
