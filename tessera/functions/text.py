@@ -96,16 +96,18 @@ def analysis(c: Column | str) -> Column:
 
     What is neither gives a null score and the stripped text as reason; null stays null.
     """
-    body = unfenced(c)
-    score = F.regexp_extract(body, r"""["']hallucination_score["']\s*:\s*(-?\d+)""", 1)
-    quoted = F.regexp_extract(body, r"""["']reason["']\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""", 0)
-    inner = F.regexp_replace(quoted, r"""^["']reason["']\s*:\s*["']|["']$""", "")
-    reason = F.regexp_replace(inner, r"""\\(["'\\])""", "$1")
-    known = body.startswith("{") & body.endswith("}")
-    parsed = F.struct(F.expr("cast(null as int)").alias("score"), strip(c).alias("reason"))
-    return F.when(col(c).isNull(), None).when(
-        known, F.struct(F.when(score != "", score.try_cast("int")).alias("score"), F.when(quoted != "", reason).alias("reason"))
-    ).otherwise(parsed)
+    none = F.expr("cast(null as int)")
+
+    def read(body: Column) -> Column:
+        score = F.nullif(F.regexp_extract(body, r"""["']hallucination_score["']\s*:\s*(-?\d+)""", 1), F.lit("")).try_cast("int")
+        quoted = F.nullif(F.regexp_extract(body, r"""["']reason["']\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""", 0), F.lit(""))
+        inner = F.regexp_replace(quoted, r"""^["']reason["']\s*:\s*["']|["']$""", "")
+        reason = F.regexp_replace(inner, r"""\\(["'\\])""", "$1")
+        other = F.struct(none.alias("score"), strip(c).alias("reason"))
+        return F.when(body.startswith("{") & body.endswith("}"), F.struct(score.alias("score"), reason.alias("reason"))).otherwise(other)
+
+    # the unfenced text is bound once, by a one-element transform
+    return F.when(col(c).isNotNull(), F.transform(F.array(unfenced(c)), read)[0])
 
 
 def verdict(c: Column | str) -> Column:

@@ -25,9 +25,11 @@ def answer_features(df: DataFrame, *, score: Column, risk: Column, level: Column
     An unreadable score counts as 2; a missing risk score falls back to its level (low 0, medium 1, else 2); a missing
     number of contexts to that of sources. Unknown verdicts count as claims only.
     """
-    v = F.transform(F.coalesce(verdicts, F.array().cast("array<string>")), F.lower)
-    count = lambda name: F.size(F.filter(v, lambda x: x == name))
-    n = F.size(v)
+    # one pass over the verdicts, read by the features below
+    tally = lambda v: F.struct(F.size(v).alias("n"), *(F.size(F.filter(v, lambda x: F.lower(x) == k)).alias(k) for k in ("entailed", "baseless", "contradicted")))  # noqa: E731,B023
+    rows = df.withColumn("__c", F.transform(F.array(F.coalesce(verdicts, F.array().cast("array<string>"))), tally)[0]).withColumn("__sources", sources)
+    n, count = F.col("__c.n"), lambda name: F.col(f"__c.{name}")
+    sources = F.col("__sources")
     lv = F.lower(F.trim(level))
     text = F.coalesce(col(answer), F.lit(""))
     out = {
@@ -39,7 +41,7 @@ def answer_features(df: DataFrame, *, score: Column, risk: Column, level: Column
         "n_sources": F.coalesce(sources, F.lit(0)), "answer_len_words": F.size(words(text)),
         "unverified_flag": F.contains(F.lower(text), F.lit("could not verify")).cast("int"),
     }
-    return df.withColumns({k: c.cast("double") for k, c in out.items()})
+    return rows.withColumns({k: c.cast("double") for k, c in out.items()}).drop("__c", "__sources")
 
 
 def split_by_class(df: DataFrame, key: str, label: str, share: float = 0.25, seed: int = 42) -> DataFrame:

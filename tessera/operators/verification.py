@@ -14,9 +14,9 @@ ENTAIL_SHARE = 0.6
 
 def support(answer: str, contexts: Column) -> Column:
     """Share of the answer's content tokens found in the union of the contexts' (``array<string>``); null if it has none."""
-    a = content_tokens(answer, VERIFY_STOP)
     c = content_tokens(F.array_join(contexts, " "), VERIFY_STOP)
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, c)) / F.size(a))
+    share = lambda a: F.when(F.size(a) > 0, F.size(F.array_intersect(a, c)) / F.size(a))
+    return F.transform(F.array(content_tokens(answer, VERIFY_STOP)), share)[0]
 
 
 def lexical_verdict(share: Column) -> Column:

@@ -406,7 +406,8 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "audit_logs")
     rows = log.select("id", "query", "rewritten_query", F.posexplode(verification.kept_claims(tx.sentences("answer"))).alias("claim", "text"))
     rows = rows.select("id", "claim", "text", F.posexplode(F.array(F.coalesce("query", F.lit("")), F.coalesce("rewritten_query", F.lit("")))).alias("window", "context"))
-    share = F.coalesce(verification.support("text", F.array("context")), F.lit(0.0))
+    rows = rows.withColumn("share", F.coalesce(verification.support("text", F.array("context")), F.lit(0.0)))
+    share = F.col("share")
     return rows.select("id", "claim", "window", F.when(share >= 0.3, "Entailed ").when(share > 0.1, "baseless").when(share > 0, "unknown").otherwise("contradicted").alias("verdict"))
 
 
@@ -423,7 +424,8 @@ def aggregate_verdict(spark, d):
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "audit_logs")
-    level, score = F.lower(tx.strip("risk_level")), tx.analysis("hallucination_analysis")["score"]
+    log = log.select(F.lower(tx.strip("risk_level")).alias("level"), tx.analysis("hallucination_analysis")["score"].alias("score"))
+    level, score = F.col("level"), F.col("score")
     gold = F.when(level == "low", "entailed").when(level == "medium", "baseless").when(level == "high", "contradicted").otherwise("none")
     pred = F.when(score == 0, "entailed").when(score == 1, "baseless").when(score == 2, "contradicted").otherwise("none")
     return log.select(gold.alias("gold"), pred.alias("pred"))
@@ -448,8 +450,8 @@ def overall_metrics(spark, d):
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "audit_logs")
-    claims = tx.sentences("answer")
+    log = table(spark, d, "audit_logs").withColumn("claims", tx.sentences("answer"))
+    claims = F.col("claims")
     named = F.transform(claims, lambda c: F.when(tx.denies(c), "Contradicted").when(F.length(c) % 2 == 0, "entailed").otherwise("other"))
     null = F.lit(None).cast("int")
     return learning.answer_features(
