@@ -19,6 +19,10 @@ with probability 1-(1-s**ROWS)**BANDS, i.e. 0.994 at 0.60, 0.9996 at 0.65 and 0.
 
 Equal texts are one node throughout (identified by a 64-bit hash of the text), so a group of copies, however large,
 is compared once.
+
+Groups are the connected components of the links, found by alternating large-star and small-star contraction over the
+edges (a logarithmic number of rounds where label propagation needs one a step of the longest chain), each round cut to
+the shared folder; no node's neighbours are gathered and nothing but two numbers a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, width
@@ -321,11 +325,15 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, *, shingle
         near.join(ta, "node_a").join(tb, "node_b").select("node_a", "node_b", "text_a", "text_b")
         .mapInArrow(_verify(shingle, threshold), "node_a long, node_b long, similarity double")
     )
-    enough = r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (shingle - 1)
-    members = texts.where(F.col("text").rlike(enough)).select("node", F.col("id").alias(id_col))
+    members = texts.where(_enough("text", shingle)).select("node", F.col("id").alias(id_col))
     return links, members
 
 
+def _enough(text: str, shingle: int) -> Column:
+    """Whether a text has at least ``shingle`` words."""
+    return F.col(text).rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (shingle - 1))
+
+
 SMALL_ROWS = 500_000
 
 
@@ -358,3 +366,47 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, shingle
     within = few.select("node", F.col(id_col).alias(a)).join(few.select("node", F.col(id_col).alias(b)), "node").where(F.col(a) < F.col(b)).select(a, b)
     star = used.where(large & (F.col(id_col) != F.col("head"))).select(F.col("head").alias(a), F.col(id_col).alias(b))
     return across.unionByName(within).unionByName(star)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` of every node of ``edges(node_a, node_b)``; the root is the smallest node of the component."""
+    edges = cut(edges.where("node_a <> node_b").select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct())
+    state = None
+    while True:
+        # large star: a node's larger neighbours are hung on the smallest of the node and its neighbours
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        hung = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: a node and its smaller neighbours are hung on the smallest of them
+        least = hung.groupBy("u").agg(F.min("v").alias("m"))
+        moved = hung.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        # the rounds end when one changes no edge: each node then hangs on its component's smallest
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``(<id>, class_id, links)``: every row of ``docs`` once, with its group and its number of similar or equal rows.
+
+    A group holds the rows that chains of similar texts connect; ``class_id`` is its smallest id. ``links`` counts
+    every other row at or above the threshold, equal texts included, whatever the size of a group of copies. A null
+    text, one of fewer than ``shingle`` words and one like no other stand alone: their own id and 0.
+    """
+    links, members = near_duplicate_links(docs, id_col, text_col, shingle=shingle, threshold=threshold)
+    links = cut(links.select("node_a", "node_b"))
+    texts = cut(members.groupBy("node").agg(F.min(id_col).alias("head"), F.count("*").alias("copies")))
+    roots = components(links)
+    classes = roots.join(texts, "node").groupBy("root").agg(F.min("head").alias("class_id"))
+    linked = roots.join(classes, "root").select("node", "class_id")
+    either = links.unionByName(links.select(F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b")))
+    others = either.join(texts.select(F.col("node").alias("node_b"), "copies"), "node_b").groupBy(F.col("node_a").alias("node")).agg(F.sum("copies").alias("others"))
+    known = texts.join(linked, "node", "left").join(others, "node", "left").select(
+        "node", F.coalesce("class_id", "head").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links")
+    )
+    grouped = members.join(known, "node").select(id_col, "class_id", "links")
+    alone = docs.where(~F.coalesce(_enough(text_col, shingle), F.lit(False))).select(F.col(id_col), F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return grouped.unionByName(alone)

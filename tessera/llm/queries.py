@@ -14,7 +14,7 @@ from .heavy_hitters import frequent_values
 from .language_id import document_languages, fitted, named_language, segment_languages
 from .main_content import furniture_lines, main_body
 from .mixing import mix
-from .near_duplicates import near_duplicate_pairs
+from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .pair_defects import pair_defects, sampled_judge
 from .pieces import oversized_pieces
 from .repeated_lines import line_table, repeated_lines, without_lines
@@ -26,6 +26,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, d, "knowledge_sources"), "chunk_id", "chunk_text", shingle=3, threshold=0.6)
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, d, "knowledge_sources"), "chunk_id", "chunk_text", shingle=3, threshold=0.6)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     audit = duplicate_rows(table(spark, d, "audit_logs"), "id", "query").withColumn("table_name", F.lit("audit_logs"))
     feedback = duplicate_rows(table(spark, d, "feedback_log"), "feedback_id", "question").withColumn("table_name", F.lit("feedback_log"))

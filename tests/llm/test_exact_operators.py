@@ -10,7 +10,7 @@ from tessera.llm.byte_bpe import DEFAULT_VOCABULARY, Encoder, token_counts, toke
 from tessera.llm.format_duplicates import canonical, collapsed, duplicate_rows, same_record
 from tessera.llm.heavy_hitters import frequent_values
 from tessera.llm.mixing import fill, mix, pfair
-from tessera.llm.near_duplicates import EXPANDED_COPIES, near_duplicate_pairs
+from tessera.llm.near_duplicates import EXPANDED_COPIES, components, near_duplicate_groups, near_duplicate_pairs
 from tessera.llm.pieces import oversized_pieces
 from tessera.llm.repeated_lines import repeated_lines, without_lines
 
@@ -95,6 +95,46 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicate_pairs(empty, "id", "text").count() == 0
 
 
+def brute_groups(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    rng = random.Random(6)
+    names = rng.sample(range(-5000, 5000), 900)
+    edges = [(names[i], names[i + 1]) for i in range(299)] + [(names[300], x) for x in names[301:500]] + list(zip(names[500:600], names[501:600] + names[500:501]))
+    edges += [(rng.choice(names[600:]), rng.choice(names[600:])) for _ in range(200)] + edges[:5]
+    rng.shuffle(edges)
+    got = [tuple(r) for r in components(frame(spark, edges, "node_a long, node_b long")).collect()]
+    used = {n for a, b in edges if a != b for n in (a, b)}
+    assert len(got) == len(used) and dict(got) == brute_groups(used, [e for e in edges if e[0] != e[1]])
+    assert components(frame(spark, [], "node_a long, node_b long")).count() == 0
+
+
+def test_groups_have_one_row_per_text_with_class_and_links(spark, edited):
+    chain = [" ".join(f"c{j}" for j in range(i, i + 12)) for i in range(0, 12, 2)]  # neighbours alike, the ends not
+    rows = edited + [(5000 + i, x) for i, x in enumerate(chain)] + [(6000 + i, "many copies of one text") for i in range(EXPANDED_COPIES + 6)]
+    got = near_duplicate_groups(frame(spark, rows, "id long, text string"), "id", "text", shingle=3, threshold=0.6).collect()
+    pairs = brute_pairs(rows, 3, 0.6)
+    assert (5000, 5001) in pairs and (5000, 5005) not in pairs
+    degree = Counter(x for p in pairs for x in p)
+    assert len(got) == len(rows)
+    groups = brute_groups([i for i, _ in rows], pairs)
+    assert {r.id: (r.class_id, r.links) for r in got} == {i: (groups[i], degree[i]) for i, _ in rows}
+    assert groups[5005] == 5000 and degree[6000] == EXPANDED_COPIES + 5
+    assert near_duplicate_groups(frame(spark, [], "id long, text string"), "id", "text").count() == 0
+
+
 FORMATS = [
     "law: Krok Act; topic: fee waiver", "Topic = FEE waiver |  law : krok act", "topic:fee waiver\nlaw:Krok Act", "law Krok Act topic fee waiver",
     "What is it?", "what is  IT", "WHATISIT!", "a; b", "b; a", "x: ; y: 2", "y: 2; x: ", "k: v", "k=v;", "k v", "a: 1; b: 2; c", "c; a: 1; b: 2",
