@@ -278,8 +278,7 @@ def lexical_rank(spark, d):
 
 
 def _fused(spark: SparkSession, d: str, weights: list[float] | None) -> DataFrame:
-    pool = [r.where("rank <= 50") for r in (_bm25(spark, d), _lexical(spark, d))]
-    return retrieval.reciprocal_rank_fusion(pool, weights)
+    return retrieval.reciprocal_rank_fusion([_bm25(spark, d), _lexical(spark, d)], weights)
 
 
 @query
@@ -293,7 +292,7 @@ def rrf_weighted(spark, d):
 
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.rerank_pool(_bm25(spark, d).where("rank <= 50"), _lexical(spark, d), 15)
+    return retrieval.rerank_pool(_bm25(spark, d), _lexical(spark, d), 15)
 
 
 @query

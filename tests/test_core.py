@@ -1,12 +1,14 @@
 """Core operators on literal fixtures."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import audit, catalog, chunking, diversity, evaluation, html, learning, quality, retrieval, verification
+from tessera.plans import queries as registered
 from tessera.plans import reports
 from tessera.plans.pipeline import ingest, retrieve
 from tessera.sources import tables
@@ -161,6 +163,28 @@ def test_fusion_and_rerank(spark):
     assert [r["doc_id"] for r in out] == ["c", "b", "a", "d"]
 
 
+def test_registered_fusions_use_whole_rankings(spark, tmp_path):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(3, 60)))) for i in range(300)]
+    asked = [(100 * i, " ".join(rng.choices(words, k=6))) for i in range(1, 7)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "feedback_id long, question string").write.parquet(f"{tmp_path}/feedback_log.parquet")
+    bm25, lexical = ({(r.query_id, r.doc_id): r for r in f(spark, str(tmp_path)).collect()} for f in (registered._bm25, registered._lexical))
+    assert max(r["rank"] for r in bm25.values()) > 150
+    for name, weights in (("rrf_fuse", (1.0, 1.0)), ("rrf_weighted", (2.0, 0.5))):
+        want = set()
+        for q, _ in asked:
+            ranks = {i: [r[q, i]["rank"] if (q, i) in r else None for r in (bm25, lexical)] for i, _ in docs}
+            score = {i: sum(w / (60 + r) for w, r in zip(weights, own) if r) for i, own in ranks.items() if any(own)}
+            best = sorted(score, key=lambda i: (-round(score[i], 9), min(r for r in ranks[i] if r), str(i)))
+            want |= {(q, i, round(score[i], 6), k + 1) for k, i in enumerate(best[:20])}
+        assert {tuple(r) for r in registered.queries()[name](spark, str(tmp_path)).collect()} == want
+    out = {(r.query_id, r.doc_id): (r.first_rank, r["rank"]) for r in registered.queries()["pool_rerank"](spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in out.items()} == {k: r["rank"] for k, r in bm25.items()}
+    assert all(a == b if a > 15 else b <= 15 for a, b in out.values())
+
+
 def test_diversity(spark):
     texts = {"a": "visa cap lottery rules", "b": "visa cap lottery rule", "c": "bank capital ratio", "d": "visa cap lottery rules"}
     rows = [(1, d, k + 1, s, texts[d]) for k, (d, s) in enumerate([("a", 1.0), ("d", 0.95), ("b", 0.9), ("c", 0.2)])]
