@@ -5,9 +5,12 @@ wording (declining phrases), its overlap with the question, the language models'
 and the clause's, and how answers end in the table (word n-grams seen at and away from sentence ends). The tags' coverage of
 the answer decides the pair's one defect; an answer without a clause, or of nothing but a placeholder, is empty.
 
-The field, the end-of-sentence counts and the language models are fitted on bounded samples: ``SAMPLE`` rows of the
-table in hash order (answers marked as correct that end in a full stop, corrupted in known ways) and the labelled
-documents of problem 10. Every pair of the table is then judged on its whole text.
+How words end sentences is counted over all answers of the table, in a pre-aggregated pass (``ending_counts``); each
+pair meets the few counts its last words need by a join on 64-bit keys. Only words seen ``FREQUENT`` times are broadcast.
+
+The field and the language models are fitted on bounded samples: ``SAMPLE`` rows of the table in hash order (answers
+marked as correct that end in a full stop, corrupted in known ways) and the labelled documents of problem 10. Every pair
+of the table is then judged on its whole text.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .language_id import Detector, Models, words_of
+from .textcodes import mix
 
 SAMPLE = 5000  # rows the field is fitted on
+FREQUENT = 20  # times a word is seen from which a capital doesn't make it a name
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 
@@ -81,50 +89,99 @@ def clauses(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1 << 18)
+def _code(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def word_key(word: str) -> int:
+    """The key of a word's count in the vocabulary."""
+    return int(np.uint64(_code("\0" + word)).astype(np.int64))
+
+
+def _run_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """Keys of all runs of ``n`` codes."""
+    h = np.full(max(len(codes) - n + 1, 0), n, np.uint64)
+    for j in range(n):
+        h = mix(h + codes[j : j + len(h)])
+    return h.astype(np.int64)
+
+
+def _answer_words(texts: list[str]) -> Counter[str]:
+    """Words of the texts, lower-cased; a last word without a stop may be a torn one and doesn't count."""
+    out: Counter[str] = Counter()
+    for text in texts:
+        words = _words(text)
+        out.update(w.lower() for w in (words if _STOP.search(text) else words[:-1]))
+    return out
+
+
 class Endings:
-    """Which words end sentences in the sample, by their last two and three words."""
+    """Which words end sentences, by their last one, two and three words: ``table`` holds (ends, goes on) by key, and a
+    word's count under ``word_key``; all counts of the texts learned, or those looked up for the pairs at hand."""
 
-    def __init__(self):
-        self.vocabulary: Counter[str] = Counter()
-        self.end: Counter[tuple[str, ...]] = Counter()
-        self.go: Counter[tuple[str, ...]] = Counter()
+    def __init__(self, frequent: set[str] | frozenset[str] = frozenset()):
+        self.frequent = frequent
+        self.table: dict[int, tuple[int, int]] = {}
 
     def mask(self, words: list[str]) -> list[str]:
         out = []
         for i, w in enumerate(words):
             if any(map(str.isdigit, w)):
                 out.append("0" if w[0].isdigit() else "F0")
-            elif w[0].isupper() and i and self.vocabulary[w.lower()] < 20:
+            elif w[0].isupper() and i and w.lower() not in self.frequent:
                 out.append("N")
             else:
                 out.append(w.lower())
         return out
 
-    def learn(self, texts: list[str]) -> None:
-        for text in texts:
-            words = _words(text)
-            # a last word without a stop may be a torn one
-            self.vocabulary.update(w.lower() for w in (words if _STOP.search(text) else words[:-1]))
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(keys, ends, goes on)`` of the word runs in the sentences of the texts."""
+        codes, left, whole = [], [], []
         for text in texts:
             parts = clauses(text)
             for k, part in enumerate(parts):
                 masked = self.mask(_words(_MARKER.sub("", part)))
-                if not masked:
-                    continue
-                whole = bool(_STOP.search(part)) or k + 1 < len(parts)
-                for n in (1, 2, 3):
-                    for i in range(n, len(masked) + (not whole and k + 1 < len(parts))):
-                        self.go[tuple(masked[i - n : i])] += 1
-                    if whole and len(masked) >= n:
-                        self.end[tuple(masked[-n:])] += 1
+                codes += map(_code, masked)
+                left += range(len(masked), 0, -1)
+                whole += [k + 1 < len(parts) or bool(_STOP.search(part))] * len(masked)
+        x, left, whole = np.array(codes, np.uint64), np.array(left, np.int64), np.array(whole, bool)
+        keys, ends = [], []
+        for n in (1, 2, 3):
+            key = _run_keys(x, n)
+            at = left[: len(key)]
+            used = (at > n) | ((at == n) & whole[: len(key)])
+            keys.append(key[used])
+            ends.append(at[used] == n)
+        key, of = np.unique(np.concatenate(keys), return_inverse=True)
+        end = np.bincount(of, weights=np.concatenate(ends), minlength=len(key)).astype(np.int64)
+        return key, end, np.bincount(of, minlength=len(key)) - end
+
+    def learn(self, texts: list[str]) -> None:
+        words = _answer_words(texts)
+        self.frequent = {w for w, n in words.items() if n >= FREQUENT}
+        self.table = {k: (e, g) for k, e, g in zip(*(c.tolist() for c in self.count(texts)))} | {word_key(w): (0, n) for w, n in words.items()}
+
+    def keys(self, part: str) -> list[int]:
+        """The keys that judging a last clause without a stop looks up."""
+        masked = self.mask(_words(_MARKER.sub("", part)))
+        return [self._key(masked, n) for n in (1, 2, 3)] + [word_key(w) for w in masked[-1:]]
+
+    def knows(self, word: str) -> bool:
+        return word_key(word) in self.table
+
+    @staticmethod
+    def _key(masked: list[str], n: int) -> int:
+        own = masked[-n:]
+        return int(_run_keys(np.array([_code(w) for w in own], np.uint64), len(own))[0]) if own else 0
 
     def chance(self, masked: list[str], less: int = 0) -> tuple[float, float]:
         """Probability that a sentence ends after the last word, and after the last three, each order backed by the lower."""
         p = first = 0.05
         for n, trust in ((1, 0.5), (2, 2.0), (3, 4.0)):
-            key = tuple(masked[-n:])
-            end = max(self.end[key] - less, 0)
-            p = (end + trust * p) / (end + self.go[key] + trust)
+            end, go = self.table.get(self._key(masked, n), (0, 0))
+            end = max(end - less, 0)
+            p = (end + trust * p) / (end + go + trust)
             if n == 1:
                 first = p
         return first, p
@@ -162,11 +219,12 @@ class Judge:
     def __init__(self, models: Models, endings: Endings, prior: np.ndarray):
         self.models, self.endings, self.prior = models, endings, prior
         self.detector: Detector | None = None
+        self.counts: DataFrame | None = None  # of the whole table, where the endings hold only what is looked up
         self.weights = np.zeros((FEATURES, len(TAGS)))
         self.moves = np.zeros((len(TAGS), len(TAGS)))
 
     def __getstate__(self):
-        return self.__dict__ | {"detector": None}
+        return self.__dict__ | {"detector": None, "counts": None}
 
     def languages(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood of each text under each language."""
@@ -209,17 +267,17 @@ class Judge:
             elif i + 1 == len(parts):
                 row[18] = 1
                 stop = bool(_STOP.search(part)) and not _BARE.match(part)
-                masked = self.endings.mask(_words(_MARKER.sub("", part)))
-                one, three = self.endings.chance(masked, less)
                 row[19] = stop
                 if not stop:
+                    masked = self.endings.mask(_words(_MARKER.sub("", part)))
+                    one, three = self.endings.chance(masked, less)
                     row[20] = part[-1] in ",;:(-–&/"
                     row[21] = three < 0.004 or one < 0.001
                     row[22] = 0.004 <= three < 0.015
                     row[23] = 0.05 <= three < 0.2
                     row[24] = three >= 0.2
                     row[25] = part.count("(") > part.count(")") or part.count("“") > part.count("”")
-                    row[26] = bool(_BARE.match(part)) or (bool(masked) and masked[-1].islower() and self.endings.vocabulary[masked[-1]] == 0)
+                    row[26] = bool(_BARE.match(part)) or (bool(masked) and masked[-1].islower() and not self.endings.knows(masked[-1]))
         return x
 
     def emit(self, pairs: list[tuple[str, str]], less: int = 0) -> list[tuple[list[str], np.ndarray]]:
@@ -376,12 +434,17 @@ def _train(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150) ->
     return w, t
 
 
-def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]]) -> Judge:
-    """The judge from the language models and sampled ``(question, answer, feedback)`` rows."""
+def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]], frequent: set[str] | None = None, look_up: Callable[[set[int]], dict[int, tuple[int, int]]] | None = None) -> Judge:
+    """The judge from the language models and sampled ``(question, answer, feedback)`` rows.
+
+    ``look_up`` gives the counts of keys over the whole table, whose frequent words are ``frequent``; without it the
+    endings are counted on ``rows``.
+    """
     rng = random.Random(17)
     known = [(q, a, f) for q, a, f in rows if q and q.strip() and a and not is_empty(a)]
-    endings = Endings()
-    endings.learn([a for _, a, _ in known])
+    endings = Endings(frequent or frozenset())
+    if look_up is None:
+        endings.learn([a for _, a, _ in known])
     judge = Judge(models, endings, np.zeros(len(models.names)))
     like = judge.languages([a for _, a, _ in known]) if known else np.zeros((0, len(models.names)))
     if len(models.names) and len(known):
@@ -400,6 +463,8 @@ def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]]) ->
     if not examples:
         clean = [("What is the fee?", "The fee is due by the end of the year.", 0)]
         examples = _examples(clean * 60, rng)
+    if look_up is not None:
+        endings.table = look_up({k for _, a, _, _ in examples for k in _last_keys(endings, a)})
     sequences = []
     for (own, x), (_, _, _, tag) in zip(judge.emit([(q, a) for q, a, _, _ in examples], less=1), examples):
         if not own:
@@ -419,13 +484,68 @@ def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]]) ->
     return judge
 
 
+def _last_keys(endings: Endings, text: str) -> list[int]:
+    """The keys the verdict on an answer looks up; none if its last clause ends in a stop."""
+    parts = clauses(text)
+    return endings.keys(parts[-1]) if parts and (not _STOP.search(parts[-1]) or _BARE.match(parts[-1])) else []
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = _answer_words([a for a in batch.column(0).to_pylist() if not is_empty(a)])
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([word_key(w) for w in words], pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "key", "n"])
+
+
+def _count_runs(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        endings = Endings(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in endings.count([a for a in batch.column(0).to_pylist() if not is_empty(a)])], names=["key", "ends", "goes"])
+
+    return run
+
+
+def ending_counts(pairs: DataFrame, question: str, answer: str) -> tuple[DataFrame, set[str]]:
+    """``(counts(key, ends, goes), frequent words)`` over every answer with a question that isn't blank.
+
+    Counted in each batch first, then summed by key; blank answers and placeholders aren't counted.
+    """
+    texts = pairs.where(F.col(question).rlike(r"(?U)\S") & F.col(answer).isNotNull()).select(F.col(answer).alias("a"))
+    words = cut(texts.mapInArrow(_count_words, "word string, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n")))
+    frequent = {r["word"] for r in words.where(F.col("n") >= FREQUENT).select("word").toLocalIterator()}
+    runs = texts.mapInArrow(_count_runs(pairs.sparkSession.sparkContext.broadcast(frequent)), "key long, ends long, goes long")
+    runs = runs.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    return cut(runs.unionByName(words.select("key", F.lit(0).cast("long").alias("ends"), F.col("n").alias("goes")))), frequent
+
+
 def sampled_judge(pairs: DataFrame, models: Models, id_col: str, question: str, answer: str, feedback: str) -> Judge:
-    """The judge fitted on ``SAMPLE`` rows of ``pairs`` in hash order."""
+    """The judge fitted on ``SAMPLE`` rows of ``pairs`` in hash order, with the endings of all its answers."""
     rows = (
         pairs.where(F.col(answer).isNotNull() & F.col(question).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
         .select(question, answer, feedback).collect()
     )
-    return fit_judge(models, [tuple(r) for r in rows])
+    counts, frequent = ending_counts(pairs, question, answer)
+
+    def look_up(keys: set[int]) -> dict[int, tuple[int, int]]:
+        wanted = pairs.sparkSession.createDataFrame([(k,) for k in keys], "key long")  # bounded by the sample
+        return {r["key"]: (r["ends"], r["goes"]) for r in counts.join(F.broadcast(wanted), "key").collect()}
+
+    judge = fit_judge(models, [tuple(r) for r in rows], frequent, look_up)
+    judge.endings.table, judge.counts = {}, counts
+    return judge
+
+
+def _wanted(shared):
+    """Texts -> the keys their verdicts look up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        endings = shared.value.endings
+        for batch in batches:
+            keys = [[] if is_empty(a) else _last_keys(endings, a) for a in batch.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array([k for own in keys for k in own], pa.int64())], names=["node", "key"])
+
+    return run
 
 
 def _judge(shared):
@@ -436,6 +556,8 @@ def _judge(shared):
                 part = batch.slice(lo, 512)
                 ids, questions, fields = part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist()
                 answers = part.column(3).to_pylist()
+                if part.num_columns > 4:
+                    judge.endings.table = {f["key"]: (f["ends"], f["goes"]) for own in part.column(4).to_pylist() for f in own or ()}
                 verdict: list[str | None] = ["empty" if is_empty(a) else None for a in answers]
                 rest = [i for i, v in enumerate(verdict) if v is None]
                 for i, v in zip(rest, judge.verdicts([(questions[i], answers[i]) for i in rest])):
@@ -463,4 +585,9 @@ def pair_defects(pairs: DataFrame, judge: Judge, id_col: str, question: str, ans
     rows = rows.select("id", "q", F.col("a.field").alias("field"), F.col("a.text").alias("text"))
     shared = pairs.sparkSession.sparkContext.broadcast(judge)  # bounded by the samples
     kind = rows.schema["id"].dataType.simpleString()
+    if judge.counts is not None:
+        rows = rows.withColumn("node", F.xxhash64("text"))
+        wanted = rows.where("text IS NOT NULL").select("node", "text").mapInArrow(_wanted(shared), "node long, key long").distinct()
+        facts = wanted.join(judge.counts, "key").groupBy("node").agg(F.collect_list(F.struct("key", "ends", "goes")).alias("facts"))  # at most four a text
+        rows = rows.join(facts, "node", "left").select("id", "q", "field", "text", "facts")
     return rows.mapInArrow(_judge(shared), f"id {kind}, answer_field string, defect string").withColumnRenamed("id", id_col)

@@ -6,7 +6,8 @@ import pytest
 
 from tessera.llm.language_id import document_languages, fit, fitted, named_language, segment_languages, segments
 from tessera.llm.main_content import furniture_lines, main_body, path_ratios
-from tessera.llm.pair_defects import clauses, fit_judge, is_empty, pair_defects, sampled_judge
+from tessera.llm import pair_defects as defects
+from tessera.llm.pair_defects import Endings, clauses, ending_counts, fit_judge, is_empty, pair_defects, sampled_judge
 
 PHRASES = {
     "en": ("the clerk keeps the record", "because the form was late", "within nine days", "and shows it on request", "every month the office checks", "if nothing has changed"),
@@ -122,6 +123,22 @@ def test_pair_defects(spark, models, pairs):
     assert pair_defects(empty, sampled_judge(empty, models, "id", "question", "answer", "feedback"), "id", "question", "answer", "corrected_answer").count() == 0
 
 
+def test_endings_are_counted_over_all_answers(spark, models, pairs, monkeypatch):
+    """Words and sentence ends outside the sample count, and reach the verdicts."""
+    monkeypatch.setattr(defects, "SAMPLE", 100)
+    rare = [(1000 + i, "What does the desk of Orwell keep for my case?", "The desk keeps every such paper in a locked zarvil", "Correct") for i in range(3)]
+    rare += [(2000 + i, "What does the desk of Orwell keep for my case?", "The desk keeps every such paper in a locked zarvil.", "Correct") for i in range(40)]
+    rows = [r for r in pairs if r[0] < 300] + rare + [(3000, "Who?", None, None), (3001, " ", "Blank question here.", None), (3002, "Who?", "n/a", None)]
+    df = spark.createDataFrame(rows, "id long, question string, answer string, feedback string")
+    whole = Endings()
+    whole.learn([a for _, q, a, _ in rows if q.strip() and a and not is_empty(a)])
+    counts, frequent = ending_counts(df, "question", "answer")
+    assert frequent == whole.frequent and {r.key: (r.ends, r.goes) for r in counts.collect()} == whole.table
+    judge = sampled_judge(df, models, "id", "question", "answer", "feedback")
+    got = {r.id: r.defect for r in pair_defects(df, judge, "id", "question", "answer").collect()}
+    assert not {i for i in got if 1000 <= i < 3000}
+
+
 def test_clauses_and_placeholders():
     assert clauses("One. Two?\n- three\n2. four") == ["One.", "Two?", "- three", "2. four"]
     assert is_empty(" N/A. ") and is_empty(None) and is_empty(" ") and not is_empty("27 days.")
