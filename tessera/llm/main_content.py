@@ -88,7 +88,7 @@ _NOTE = regex.compile(r"(?i)^(?:note|hinweis|remarque|nota|warning|important):\s
 FURNITURE = ("menu", "crumbs", "cue", "side", "link")
 BODY = ("list", "table", "heading", "note", "passage")
 SIDE_LINKS = 5  # entries of a sidebar after which an unmarked line before a passage is its heading
-LONG = 110  # characters from which a line with a full stop is a passage unless a cue opens it
+LONG = 110  # characters from which a line with a full stop is a passage unless it holds a cue
 
 
 def _cue_at(low: str) -> int:
@@ -108,8 +108,7 @@ def _raw_tag(line: str, marked: bool) -> str:
         # whole blocks of furniture run together on one line open with menu entries, a sidebar's head or a notice
         if word in _FIRST_WORDS and _MENU_OPENS.match(line) or word in _SIDE_WORDS and _SIDE_OPENS.match(line) and _LINKED.search(line):
             return "menu"
-        at = _cue_at(low[:90])
-        if 0 <= at < 60 and (n < 2 * LONG or low.startswith(OPENERS[:4]) or sum(c in low for c in CUES) >= 2):
+        if _cue_at(low) >= 0 and (n < 2 * LONG or low.startswith(OPENERS[:4]) or sum(c in low for c in CUES) >= 2):
             return "cue"
         if not _STOP.search(line):
             items = [x for x in _SPLIT.split(line) if x]

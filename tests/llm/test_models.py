@@ -164,6 +164,14 @@ Privacy
 © 2020 Example Online. All rights reserved."""
 
 
+def test_long_lines_are_searched_whole(spark):
+    """A notice run together with menu entries counts wherever in the line it begins."""
+    line = "The desk for visitors of the Marlo Office - Clinics for workers and lenders - The council and its members, We set cookies and similar tools to tailor what you see."
+    body = "The clerk signs the form within nine days, and the office keeps a copy of it for as long as the case is open, whoever asks."
+    df = spark.createDataFrame([("a", f"{line}\n{body}")], "id string, text string")
+    assert [tuple(r) for r in furniture_lines(df, "id", "text").collect()] == [("a", 0)]
+
+
 def test_main_content(spark):
     rows = [(str(i), PAGE.replace("\n", "\r\n") if i % 3 == 0 else PAGE, "x") for i in range(9)] + [(f"d{i}", x, "y") for i, x in enumerate(DIRT)]
     df = spark.createDataFrame(rows, "id string, text string, what string")
