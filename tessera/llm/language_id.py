@@ -334,7 +334,7 @@ def _detect(shared, form: str, least: float, skip: bool = False):
                         rows += [(d, k, a, b, names[g] if g >= 0 else None, sure, n) for k, (a, b, g, sure, n) in enumerate(own)]
                         continue
                     letters = sum(s[4] for s in own)
-                    if letters < 2 * SURE and max((s[3] for s in own), default=0) < 0.95:
+                    if skip and letters < 2 * SURE and max((s[3] for s in own), default=0) < 0.95:
                         continue  # a scrap that could be any language
                     share: dict[int, float] = defaultdict(float)
                     trust: dict[int, float] = defaultdict(float)
@@ -372,7 +372,9 @@ def segment_languages(docs: DataFrame, models: Models, id_col: str, text_col: st
 def document_languages(docs: DataFrame, models: Models, id_col: str, text_col: str, *, least: float = 0.2, skip_col: str | None = None) -> DataFrame:
     """``(<id>, lang, share, confidence)``: the languages that hold at least ``least`` of a text's letters.
 
-    A language equal to the row's value in ``skip_col`` is left out. Null, empty and wordless texts give no rows.
+    Null, empty and wordless texts give no rows. With ``skip_col``, a language equal to the row's value in it is left
+    out, and so is every text of fewer than ``2 * SURE`` letters without a segment of confidence 0.95: a scrap that
+    could be any language doesn't contradict its label. Without it a scrap has its row, with its low confidence.
     """
     extra = [F.col(skip_col).alias("skip")] if skip_col else []
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra).where(F.col("text").isNotNull())

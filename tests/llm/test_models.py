@@ -69,6 +69,17 @@ def test_documents_and_mixed_segments(spark, models):
     assert other.count() <= 2
 
 
+def test_scraps_have_a_language_with_low_confidence(spark, models):
+    from tessera.llm.language_id import Detector
+
+    words = ["a", "e", "o", "en", "in", "es", "an", "on", "re", "se"]
+    scraps = [w for w, own in zip(words, Detector(models).detect(words)) if own and own[0][2] >= 0 and own[0][3] < 0.95]
+    assert scraps
+    df = spark.createDataFrame([*enumerate(scraps), (99, "12")], "doc_id long, text string")
+    got = {r.doc_id: r.confidence for r in document_languages(df, models, "doc_id", "text").collect()}
+    assert set(got) == set(range(len(scraps))) and max(got.values()) < 0.95
+
+
 def test_foreign_script_is_rejected(models):
     from tessera.llm.language_id import Detector
 
