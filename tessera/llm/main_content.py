@@ -1,315 +1,493 @@
 """Problem 7: the main body of pages whose text mixes it with menus, notices, sidebars and footers.
 
-The markup is gone, so each line gets a *tag path* that stands in for its root-to-leaf path: the zone of the page it
-lies in (head, middle, tail), the block it belongs to (told from its wording and its neighbours: menu, crumbs, notice,
-sidebar, prompt, page data, footer, list, table, heading, note, passage, or plain), its marker and its shape. Over the
-whole corpus, text length and punctuation are aggregated per path (``path_ratios``). A path's content score fuses both
-ratios; within a page the scores are smoothed over neighbouring lines, and lines below the threshold are furniture.
-Blocks whose wording tells what they are carry a prior that the ratios and the smoothing cannot overturn: a short list
-item of the subject matter and a menu entry have the same ratios.
+The markup is gone, so a *tag path* is read off each line: its shape (marker, length, capitals, separators, numbers,
+stops), its first words and its last one, numbers and names masked. The path is the line's leaf-most node that recurs
+in the corpus: the whole path, else its shape with the first two words, else with the last one, else the shape alone.
+
+1. ``path_counts`` counts the nodes and words of all texts; those on a ``SHARE`` of the lines stay, at most
+   ``3 / SHARE`` nodes (and as many words as lines are long) whatever the corpus.
+2. ``path_sums`` aggregates per node the text length, punctuation and link-like marks of its lines, which nodes stand
+   before and after it, and its words.
+3. ``content_scores`` turns the sums into ratios (``_ratio``: length against the typical line without a stop,
+   punctuation, separators and capitals as links have them, a bounded share of words that furniture is made of),
+   smooths them over the nodes that are neighbours in the pages, and fuses them with how content-like a node's words
+   are in the other nodes. No ratio exceeds ``CAP`` either way and no node carries a prior.
+4. Each page's lines take the better of two states, content and furniture, in one chain (Viterbi), whose cost of a
+   change smooths over the page.
+
+Lines are read on flat code-point arrays, a batch at a time; each step is one pass over the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: entries of menus and footers in the languages of the pages
-MENU = """about us|account|accessibility|archive|blog|calendar|careers|clinics|contact|contact us|content licence|cookie settings|cookies|copyright|data portal
-data protection|deutsch|disclaimer|employers|english|español|events|faq|feedback|forms|français|glossary|guides|help|help desk|home|hospitals|imprint|index|index of terms|italiano
-languages|legal notice|lenders|library|licence|log in|log out|login|logout|map|media|menu|my account|news|newsroom|open data|partners|polski|português|press|privacy|privacy notice|privacy policy
-publications|register|report a problem|rss|search|services|sign in|sign out|site map|sitemap|start|students|subscribe|svenska|terms|terms of use|tools|topics|training
-a-z|jobs|statistics|vacancies|legal|community|downloads|resources|support
-startseite|themen|formulare|suche|anmelden|über uns|kontakt|impressum|datenschutz|barrierefreiheit|presse|hilfe|karriere|abmelden|nutzungsbedingungen|service|übersicht|inhalt|aktuelles
-accueil|thèmes|formulaires|recherche|rechercher|connexion|se connecter|qui sommes-nous|à propos|contacts|mentions légales|confidentialité|plan du site|accessibilité|aide|actualités|publications
-inicio|temas|formularios|buscar|entrar|quiénes somos|contacto|aviso legal|privacidad|accesibilidad|prensa|ayuda|noticias|mapa del sitio"""
-# fixed values: what opens a sidebar
-SIDE_HEADS = """also of interest|browse topics|further reading|how do i|in this section|more from .{1,40}|more in this section|more on this topic|most read|most viewed|on other desks|on this page|popular forms|popular pages
-quick links|readers also viewed|recommended for you|related|related articles|related links|related pages|see also|top stories|trending|trending now|useful links|what others read|you might also like|you may also like|latest news|more like this
-siehe auch|mehr zum thema|verwandte seiten|meistgelesen|das könnte sie auch interessieren|voir aussi|à lire aussi|pages liées|les plus lus|liens utiles|véase también|lo más leído|páginas relacionadas|enlaces útiles|le puede interesar"""
-# fixed values: wording of skip links, notices, prompts, advertising, page data and footers, in lower case
-CUES = (
-    "skip to", "skip navigation", "jump to", "go to search", "go to content", "go to main", "open menu", "close menu", "main menu", "show menu", "hide menu", "to the top of", "back to top", "top of page",
-    "zum inhalt", "zum seitenanfang", "aller au contenu", "haut de page", "ir al contenido", "volver arriba",
-    "cookie notice", "cookie settings", "cookie policy", "cookie preferences", "which cookies", "cookies to ", "cookies for ", "cookies so that", "cookies and similar", "use cookies", "uses cookies", "set cookies", "sets cookies",
-    "store cookies", "stores cookies", "keep cookies", "keeps cookies", "place cookies", "places cookies", "rely on cookies", "relies on cookies", "verwenden cookies", "verwendet cookies", "utilise des cookies", "utilisons des cookies",
-    "usa cookies", "usamos cookies", "utiliza cookies", "utilizamos cookies", "tracking data", "small files on your device", "your privacy: ", "before you continue", "accept all", "only essential", "manage choices", "got it", "ok, close",
-    "auf ihrem gerät", "sur votre appareil", "en su dispositivo", "on your device", "alle annehmen", "tout accepter", "aceptar todas",
-    "your browser", "recent browser", "enable scripts", "enable javascript", "scripts are blocked", "text version", "loading...", "ihr browser", "votre navigateur", "su navegador",
-    "was this page", "was this article", "rate this page", "found this useful", "tell a colleague", "print this page", "send us your comments", "save to my list", "copy link",
-    "our newsletter", "never miss", "enter your postcode", "enter your e-mail", "sign up for", "readers of the", "leave a comment",
-    "war diese seite", "seite teilen", "seite drucken", "newsletter abonnieren", "cette page vous", "partager cette", "partager la page", "imprimer cette", "abonnez-vous", "le ha servido", "compartir esta", "imprimir esta", "suscríbase",
-    "ad closes in", "page last", "last reviewed", "last updated", "last modified", "of this page", "content licence", "zuletzt geändert", "letzte änderung", "dernière mise à jour", "última revisión", "última actualización",
-    "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados", "house, level ", "phone lines open",
-)
-# fixed values: the same, where the line must begin with it
-OPENERS = (
-    "share on ", "share: ", "share this ", "advertisement", "sponsored", "promoted", "advertorial", "paid content", "anzeige", "publicité", "publicidad", "page id ", "version ", "document id", "published: ", "updated: ",
-    "©", "(c) ", "copyright ", "hosted by", "powered by", "a service of the", "follow us", "subscribe and", "join ", "loading", "you are here", "partager :", "compartir:", "teilen:",
-)
-# fixed values: wording of links in sidebars; of lines that open a list; of list items; of headings
-LINKS = r"""news from \d{4}|(?:guide|tools|forms) for the .+|questions on the .+|about the .+|.+ archive|(?:form|schedule|annex) \p{L}?[\s–-]?\d+|\p{L}+ (?:act|code|rule|charter|directive|order|framework|data code)(?: (?:of )?\d{4})?"""
-LIST_HEADS = r"""you will need:?|required items:?|the file holds:?|bring the following:?|.{0,60}:"""
-ITEMS = r"""the receipt numbered .+|\d+ copies of .+|a letter from .+|proof that .+|the name of the .+|any open .+|.+, dated \d.+|(?:an?|each|every) .+"""
-HEADINGS = r"""filing (?:form|schedule) .+|changes since \d+|how the .+ decides|appeals to the .+|.+: scope|deadlines for the .+|duties of the .+|who may .+|fees and .+|the \p{Ll}+ .+|\[.+\]"""
-
-_SEP = r"[\s|•·/»›>,*–—\\-]"
-_MARKER = regex.compile(r"^\s*(?:([-*•·>▪‣])\s+|(\d{1,2})[.)]\s+)")
-_SPLIT = regex.compile(r"\s+[|•·/»›>]\s+|\t+|\s{2,}|\s+[-–—]\s+")
-_NUMBER = regex.compile(r"\d")
-_STOP = regex.compile(r"[.!?;:。！？؟…](?:[\"'”’»)\]]*)(?=\s|$)")
-
-
-def _alternatives(block: str) -> str:
-    return "|".join(x for line in block.splitlines() for x in line.split("|") if x)
-
-
-_MENU_ONE = regex.compile(rf"(?i)^(?:{_alternatives(MENU)})$")
-_MENU_ALL = regex.compile(rf"(?i)^(?:{_SEP}*(?:{'|'.join(sorted(_alternatives(MENU).split('|'), key=len, reverse=True))})(?={_SEP}|$))+{_SEP}*$")
-_SIDE = regex.compile(rf"(?i)^(?:{_alternatives(SIDE_HEADS)}):?$")
-_MENU_OPENS = regex.compile(rf"(?i)^(?:{_SEP}*(?:{'|'.join(sorted(_alternatives(MENU).split('|'), key=len, reverse=True))})(?={_SEP})){{3}}")
-_SIDE_OPENS = regex.compile(rf"^(?i:{_alternatives(SIDE_HEADS)}):?(?:\s*[|•·/»›>,*–—-]|\t|\s{{2,}}|\s+\p{{Lu}})")
-_LINKED = regex.compile(r"(?:Guide|Tools|Forms) for the |Questions on the |About the |News from \d| archive\b|[|•·»›>] ")
-_FIRST_WORDS = frozenset(x.split()[0] for x in _alternatives(MENU).split("|"))
-_SIDE_WORDS = frozenset(x.split()[0] for x in _alternatives(SIDE_HEADS).split("|"))
-_LINK = regex.compile(rf"(?i)^(?:{LINKS})$")
-_LIST_HEAD = regex.compile(rf"(?i)^(?:{LIST_HEADS})$")
-_ITEM = regex.compile(rf"(?i)^(?:{ITEMS})$")
-_HEADING = regex.compile(rf"(?i)^(?:{HEADINGS})$")
-_CRUMBS = regex.compile(r"(?i)^(?:you are here|sie sind hier|vous êtes ici|está aquí)\b|^(?:[\p{L}\p{N} –-]+\s*[>›»]\s*){1,}[\p{L}\p{N} –:-]+$")
-_NOTE = regex.compile(r"(?i)^(?:note|hinweis|remarque|nota|warning|important):\s")
-
-FURNITURE = ("menu", "crumbs", "cue", "side", "link")
-BODY = ("list", "table", "heading", "note", "passage")
-SIDE_LINKS = 5  # entries of a sidebar after which an unmarked line before a passage is its heading
-LONG = 110  # characters from which a line with a full stop is a passage unless it holds a cue
-
-
-def _cue_at(low: str) -> int:
-    """Where the first cue begins, -1 if there is none."""
-    if low.startswith(OPENERS):
-        return 0
-    found = [low.find(c) for c in CUES if c in low]
-    return min(found) if found else -1
-
-
-def _raw_tag(line: str, marked: bool) -> str:
-    """The block a line's own wording tells of; '' if none."""
-    n = len(line)
-    low = line.lower()
-    word = low.split(None, 1)[0].strip("|•·/»›>,*–—-:")
-    if n >= LONG:
-        # whole blocks of furniture run together on one line open with menu entries, a sidebar's head or a notice
-        if word in _FIRST_WORDS and _MENU_OPENS.match(line) or word in _SIDE_WORDS and _SIDE_OPENS.match(line) and _LINKED.search(line):
-            return "menu"
-        if _cue_at(low) >= 0 and (n < 2 * LONG or low.startswith(OPENERS[:4]) or sum(c in low for c in CUES) >= 2):
-            return "cue"
-        if not _STOP.search(line):
-            items = [x for x in _SPLIT.split(line) if x]
-            if len(items) >= 3 and sum(len(x) <= 28 for x in items) >= 0.7 * len(items):
-                return "menu"
-        return "passage"
-    if _cue_at(low) >= 0:
-        return "cue"
-    if word in _FIRST_WORDS and (_MENU_ALL.match(line) or _MENU_OPENS.match(line)):
-        return "menu"
-    if word in _SIDE_WORDS and (_SIDE.match(line) or _SIDE_OPENS.match(line) and _LINKED.search(line)):
-        return "side"
-    if _NOTE.match(line):
-        return "note"
-    if _CRUMBS.match(line) and n < 100:
-        return "crumbs"
-    cells = line.split(" | ")
-    if len(cells) >= 3 and (any(_NUMBER.search(c) for c in cells[1:]) or low == "stage | days | fee"):
-        return "table"
-    if n > 40 and line[-1] in ".!?。！？؟" and " " in line and not marked:
-        return "passage"
-    items = [x for x in _SPLIT.split(line) if x]
-    if len(items) >= 3 and all(len(x) <= 28 and x[-1] not in ".:;" for x in items):
-        return "cells" if " | " in line else "menu"
-    if _ITEM.match(line):
-        return "list"
-    if _LINK.match(line):
-        return "link?"
-    if _HEADING.match(line):
-        return "heading"
-    if _LIST_HEAD.match(line):
-        return "list head"
-    return ""
-
-
-@lru_cache(maxsize=1 << 16)
-def _short_tag(line: str, marked: bool) -> str:
-    return _raw_tag(line, marked)
-
-
-def tagged(text: str) -> list[tuple[int, str, str, int, int]]:
-    """``(line number, block, path, characters, punctuation)`` of the non-blank lines."""
-    lines = []
-    for k, raw in enumerate(text.split("\n")):
-        line = raw.strip()
-        if line:
-            m = _MARKER.match(line)
-            body = line[m.end() :] if m else line
-            mark = "" if not m else "1" if m.group(2) else m.group(1)
-            lines.append([k, (_short_tag if len(body) < LONG else _raw_tag)(body, bool(m)), mark, body])
-    n = len(lines)
-    # neighbours settle what the wording leaves open
-    side = False
-    table = False
-    listing = False
-    links = 0
-    for i, row in enumerate(lines):
-        tag, mark, body = row[1], row[2], row[3]
-        if tag == "side":
-            side, listing = True, False
-        elif tag == "cells":  # a head row goes with the rows of numbers below it
-            row[1] = "table" if table or (i + 1 < n and lines[i + 1][1] == "table") else "menu"
-        elif tag == "link?":
-            row[1] = "link"
-            if listing and not side and mark in ("-", "•", "1") and not _near(lines, i, "link?", "side"):
-                row[1] = "list"
-        elif tag == "list head":
-            row[1] = "list"
-            listing, side = True, False
-        elif tag == "list":
-            listing = True
-            side = False
-        elif tag == "":
-            row[1] = _settle(lines, i, side, listing)
-        links = links + 1 if row[1] == "link" else 0
-        if links > SIDE_LINKS and not mark and i + 1 < n and lines[i + 1][1] in ("passage", "note", "list head"):
-            row[1] = "heading"  # a sidebar's last entry and the heading after it look alike
-        if row[1] in ("passage", "note", "heading"):
-            side = listing = False
-        table = row[1] == "table"
-    out = []
-    for i, (k, tag, mark, body) in enumerate(lines):
-        zone = "head" if i < 6 else "tail" if n - i <= 6 else "middle"
-        size = len(body)
-        stops = len(_STOP.findall(body))
-        shape = "long" if size >= LONG else "line" if size > 45 else "short"
-        out.append((k, tag, f"page/{zone}/{tag}/{mark or '-'}/{shape}{'.' if body[-1] in '.!?:。！？؟' else ''}", size, stops))
-    return out
+from ..session import cut
+from .textcodes import codes_of, lower_table, mix, run_hashes, runs, word_char_table, word_hashes
+
+# fixed values: words that page furniture is made of; their share of a line is one of the ratios, bounded by ``WORDING``
+WORDS = """cookie cookies privacy tracking device accept reject settings agree manage essential continue
+copyright rights reserved licence license imprint terms disclaimer accessibility sitemap rss hosted powered
+login log logout sign register account subscribe newsletter bulletin updates mail email follow share tweet print comments comment feedback rate useful colleague
+menu navigation skip jump search home contact site website page online browser script scripts javascript loading
+advertisement ad sponsored promoted popular related recommended trending read viewed also version reviewed updated modified
+startseite kontakt impressum datenschutz suche anmelden hilfe accueil contacts recherche connexion aide mentions inicio buscar contacto aviso privacidad ayuda"""
+
+SHARE = 2e-5  # of all lines, from which a node or word is kept
+LEAST = 3  # lines, likewise
+EDGE_SHARE = 2e-7  # of all lines, from which two nodes are neighbours of their own; rarer ones count for their shapes
+CAP, WORDING = 4.0, 3.0  # bounds of a ratio and of its wording part
+OFFSET = 0.4  # what a line of typical length and no other sign lacks for content
+DOUBT = 2.0  # occurrences of a word that count as undecided
+OWN_WORDS = 1.5  # weight of the words' evidence, itself within 2
+STAY = 0.85  # chance that a line is of its neighbour's kind, in the smoothing over paths
+KEEP = 0.75  # the same within a page
+OWN = 0.3  # weight of a node's own score beside the smoothed one
+BEFORE, AFTER = 0.8, 1.1  # weight of the lines before and after in the smoothing over paths: a heading goes with what it opens
+EDGES = (-0.5, -2.0)  # scores of a page's begin and end
+ROUNDS, STEPS = 3, 20
+LONG, SPAN = 110, 220  # characters from which a path has no last word, and none at all
+
+_FIELDS = ("lines", "chars", "stops", "wording", "words", "separators", "capitals", "numbers", "broken", "arrows", "colons", "columns", "log_chars", "open")
+_NUMBER, _NAME = np.uint64(1), np.uint64(2)
+_BEGIN, _END = np.uint64(11), np.uint64(13)  # nodes of a page's edges
+_COUNT, _WORD_COUNT, _EDGE, _WORD, _STAT = 0, 1, 2, 4, 10
+_BINS = np.array([12, 25, 45, 75, LONG, SPAN])
+
+
+def _flags(chars: str) -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[list(map(ord, chars))] = True
+    return table
+
+
+@lru_cache(maxsize=1)
+def _tables() -> dict[str, np.ndarray]:
+    every = range(0x110000)
+    return {
+        "space": np.fromiter((chr(i).isspace() for i in every), bool, 0x110000),
+        "upper": np.fromiter((chr(i).isupper() or chr(i).istitle() for i in every), bool, 0x110000),
+        "digit": np.fromiter((chr(i).isdigit() for i in every), bool, 0x110000),
+        "marker": _flags("-*•·>▪‣"), "separator": _flags("|•·/»›>*"), "arrow": _flags("›»>"), "stop": _flags(".!?;。！？؟…"),
+        "end": _flags(".!?:;。！？؟…"), "closer": _flags("\"'”’»)]"), "wide": _flags("。！？"), "joint": _flags(".,/–-"),
+        "wording": np.sort(word_hashes([WORDS])[0]),
+    }
+
+
+@dataclass
+class Lines:
+    """The non-blank lines of a batch."""
+
+    text: np.ndarray  # index of the text
+    number: np.ndarray  # line number, from 0
+    levels: np.ndarray  # [line, 4]: keys of the path's nodes, leaf first; 0 where a level is absent
+    stats: np.ndarray  # [line, field]
+    word: np.ndarray  # distinct words, ordered by line
+    word_line: np.ndarray
+
+
+def read_lines(texts: list[str]) -> Lines:
+    """The lines of the texts with their paths and figures."""
+    t = _tables()
+    codes = codes_of("\n".join(texts) + "\n")
+    breaks = np.flatnonzero(codes == 10)
+    per_text = np.fromiter((x.count("\n") + 1 for x in texts), np.int64, len(texts))
+    solid = np.flatnonzero(~t["space"][codes])
+    line_of = np.searchsorted(breaks, solid)
+    used, first = np.unique(line_of, return_index=True)
+    n = len(used)
+    text = np.repeat(np.arange(len(texts)), per_text)[used]
+    number = used - np.concatenate(([0], np.cumsum(per_text)[:-1]))[text]
+    if not n:
+        return Lines(text, number, np.zeros((0, 4), np.uint64), np.zeros((0, len(_FIELDS))), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    begin, last = solid[first], solid[np.concatenate((first[1:], [len(solid)])) - 1]
+    ends_at = breaks[used]
+    # a list marker: a sign and white space, or one or two digits, a dot or bracket and white space
+    peek = lambda k: codes[np.minimum(begin + k, len(codes) - 1)]
+    sign = t["marker"][codes[begin]] & t["space"][peek(1)] & (last > begin)
+    tail = lambda k: np.isin(peek(k), (46, 41)) & t["space"][peek(k + 1)] & (last > begin + k)
+    one = t["digit"][peek(0)] & tail(1)
+    two = t["digit"][peek(0)] & t["digit"][peek(1)] & tail(2)
+    marked = sign | one | two
+    after = begin + np.where(sign, 1, np.where(one, 2, np.where(two, 3, 0)))
+    start = np.where(marked, solid[np.minimum(np.searchsorted(solid, after), len(solid) - 1)], begin)
+    size = last - start + 1
+    row_of = np.full(len(breaks), -1)
+    row_of[used] = np.arange(n)
+
+    def tally(at: np.ndarray) -> np.ndarray:
+        row = row_of[np.searchsorted(breaks, at)]
+        row = row[(row >= 0) & (at >= start[row])]
+        return np.bincount(row, minlength=n)
+
+    separator = t["separator"][codes]
+    nxt = np.append(codes[1:], 10)
+    stop = t["stop"][codes] & (t["space"][nxt] | t["closer"][nxt] | t["wide"][codes])
+    bar = (codes == 124) & t["space"][nxt] & np.concatenate(([False], t["space"][codes[:-1]])) | (codes == 9)
+    cells = tally(np.flatnonzero(bar))
+    same = np.zeros(n, bool)  # as many cells as a neighbour has: a row of a table
+    same[1:] |= (cells[1:] == cells[:-1]) & (text[1:] == text[:-1])
+    same[:-1] |= same[1:] & (cells[1:] == cells[:-1]) & (text[1:] == text[:-1])
+    column = same & (cells > 1)
+    # words
+    lower = lower_table()[codes]
+    w_start, w_end = runs(word_char_table()[codes])
+    row = row_of[np.searchsorted(breaks, w_start)]
+    inside = w_start >= start[row]
+    w_start, w_end, row = w_start[inside], w_end[inside], row[inside]
+    digit = t["digit"][codes[w_start]]
+    joined = np.zeros(len(row), bool)  # parts of one number
+    joined[1:] = digit[1:] & digit[:-1] & (row[1:] == row[:-1]) & (w_start[1:] == w_end[:-1] + 1) & t["joint"][codes[w_end[:-1]]]
+    w_start, w_end, row, digit = w_start[~joined], w_end[~joined], row[~joined], digit[~joined]
+    capital = t["upper"][codes[w_start]]
+    plain = run_hashes(lower, w_start, w_end)
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    masked = np.where(digit, _NUMBER, np.where(capital & (place > 0), _NAME, plain))
+    words = np.bincount(row, minlength=n)
+    wording = np.bincount(row, weights=_among(plain, t["wording"]), minlength=n) + tally(np.flatnonzero(codes == 0xA9))
+    capitals, numbers = np.bincount(row, weights=capital, minlength=n), np.bincount(row, weights=digit, minlength=n)
+    separators, arrows, stops = tally(np.flatnonzero(separator)), tally(np.flatnonzero(t["arrow"][codes])), tally(np.flatnonzero(stop))
+    end = t["end"][codes[last]]
+    colon = codes[last] == 58
+    # shape and path
+    length = np.searchsorted(_BINS, size, side="right")
+    share = wording / np.maximum(words, 1)
+    shape = np.zeros(n, np.uint64)
+    for part in (
+        np.where(column, 2, marked), length, (3 * capitals / np.maximum(words, 1)).astype(int), np.minimum(separators, 2), numbers > 0, np.minimum(stops, 2), end,
+        np.where(wording == 0, 0, np.where(share < 0.12, 1, np.where(share < 0.34, 2, 3))),
+    ):
+        shape = mix(shape + part.astype(np.uint64) + np.uint64(97))
+    has = np.flatnonzero(words)
+    at = np.searchsorted(row, has)
+    lead = np.zeros((3, n), np.uint64)
+    for k in range(3):
+        with_k = has[words[has] > k]
+        lead[k, with_k] = masked[at[words[has] > k] + k]
+    final = np.zeros(n, np.uint64)
+    final[has] = masked[at + words[has] - 1]
+    two_words = mix(mix(shape + np.uint64(3)) + mix(lead[0] + np.uint64(5)) * np.uint64(3) + lead[1])
+    levels = np.zeros((n, 4), np.uint64)
+    levels[:, 3] = shape
+    short, middle = length < 5, length < 6
+    levels[short, 0] = mix(two_words + mix(lead[2] + np.uint64(7)) * np.uint64(5) + mix(final + np.uint64(9)))[short]
+    levels[middle, 1] = two_words[middle]
+    levels[short, 2] = mix(mix(shape + np.uint64(15)) + mix(final + np.uint64(17)))[short]
+    open_ = ~end
+    stats = np.stack(
+        [np.ones(n), size, stops, wording, words, separators, capitals, numbers, (stops > 0) & open_, arrows, colon, column, np.where(open_, np.log(size), 0), open_], axis=1
+    ).astype(np.float64)
+    order = np.lexsort((plain, row))
+    word, word_line = plain[order], row[order]
+    keep = np.ones(len(word), bool)
+    keep[1:] = (word[1:] != word[:-1]) | (word_line[1:] != word_line[:-1])
+    return Lines(text, number, levels, stats, word[keep], word_line[keep])
+
+
+def _among(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(x), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.view(np.int64)) for x in (a, b, c)), pa.array(n.astype(np.float64))], names=["kind", "a", "b", "c", "n"]
+    )
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(x, return_counts=True)
+
+
+_SUMS = "kind int, a long, b long, c long, n double"
+SLICE = 4096
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            part = batch.slice(lo, SLICE)
+            yield part, part.column(column).to_pylist()
 
 
-def _near(lines: list[list], i: int, *tags: str) -> bool:
-    return any(0 <= j < len(lines) and lines[j][1] in tags for j in (i - 1, i + 1))
-
-
-def _settle(lines: list[list], i: int, side: bool, listing: bool) -> str:
-    """The block of a line whose wording tells nothing."""
-    mark, body = lines[i][2], lines[i][3]
-    before = lines[i - 1][1] if i else ""
-    after = lines[i + 1][1] if i + 1 < len(lines) else ""
-    if side and len(body) < 60 and body[-1] not in ".!?":
-        # the last entry before a passage, without a marker, may be the passage's heading
-        if not mark and after in ("passage", "note", "list head") and before == "link" and not body.endswith("s"):
-            return "heading"
-        return "link"
-    if mark == ">":
-        return "link"
-    if mark in ("-", "•", "1") and listing:
-        return "list"
-    if mark == "*":
-        return "menu" if len(body) < 30 else "plain"
-    if not mark and after in ("passage", "note", "list head", "table") and len(body) < 80:
-        return "heading"
-    if len(body) < 30 and body[-1] not in ".!?:" and (before in ("menu", "link") and after in ("menu", "link", "cue", "side", "")):
-        return before
-    return "plain" if mark or len(body) > 60 else "heading"  # a heading with furniture between it and its passage
-
-
-def content_scores(ratios: dict[str, tuple[int, int, int]]) -> dict[str, float]:
-    """Content score of each path from its lines, characters and punctuation; above 0 is content."""
-    out = {}
-    for path, (lines, chars, stops) in ratios.items():
-        length = np.log2(max(chars / max(lines, 1), 1.0) / 45.0)
-        punctuation = stops / max(lines, 1) - 0.5
-        prior = {"f": -9.0, "b": 9.0, "": 0.0}["f" if path.split("/")[2] in FURNITURE else "b" if path.split("/")[2] in BODY else ""]
-        out[path] = float(length + punctuation + prior)
-    return out
+def _count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in _slices(batches, 0):
+        lines = read_lines(texts)
+        key, n = _counted(lines.levels[:, :3][lines.levels[:, :3] != 0])
+        zero = np.zeros(len(key), np.uint64)
+        yield _rows(_COUNT, key, zero, zero, n)
+        key, n = _counted(lines.word)
+        zero = np.zeros(len(key), np.uint64)
+        yield _rows(_WORD_COUNT, key, zero, zero, n)
+        none = np.zeros(3, np.uint64)
+        total = lines.stats[:, [0, 12, 13]].sum(axis=0)
+        yield _rows(_STAT, np.arange(3, dtype=np.uint64), none, none, total)
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, list[int]] = {}
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for _, _, path, size, stops in tagged(text):
-                row = sums.setdefault(path, [0, 0, 0])
-                row[0] += 1
-                row[1] += size
-                row[2] += stops
-    cols = list(zip(*sums.values())) or [(), (), ()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["path", "lines", "chars", "stops"])
-
-
-def path_ratios(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(path, lines, chars, stops)`` over all texts; the number of paths is bounded by their grammar (some hundreds)."""
+@dataclass
+class Vocabulary:
+    """What recurs: sorted keys of nodes and words, and the corpus's number of lines and typical length of an open line."""
+
+    nodes: np.ndarray
+    words: np.ndarray
+    lines: float
+    typical: float
+
+
+def path_counts(docs: DataFrame, text_col: str) -> Vocabulary:
+    """The nodes and words on a ``SHARE`` of all lines (and at least ``LEAST``); the share bounds their number."""
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    sums = texts.mapInArrow(_paths, "path string, lines long, chars long, stops long")
-    return sums.groupBy("path").agg(*(F.sum(c).alias(c) for c in ("lines", "chars", "stops")))
+    sums = texts.mapInArrow(_count_paths, _SUMS).groupBy("kind", "a").agg(F.sum("n").alias("n"))
+    sums = cut(sums.where((F.col("kind") == _STAT) | (F.col("n") >= LEAST)))
+    stat = {r["a"]: r["n"] for r in sums.where(F.col("kind") == _STAT).collect()}
+    lines, logs, opened = (stat.get(i, 0.0) for i in range(3))
+    kept = sums.where((F.col("kind") != _STAT) & (F.col("n") >= SHARE * lines)).select("kind", "a").toArrow()
+    kind, key = kept.column("kind").to_numpy(), kept.column("a").to_numpy().view(np.uint64)
+    return Vocabulary(np.sort(key[kind == _COUNT]), np.sort(key[kind == _WORD_COUNT]), lines, float(np.exp(logs / opened)) if opened else 24.0)
+
+
+def _resolved(lines: Lines, nodes: np.ndarray) -> np.ndarray:
+    """The node of each line: the most specific of its levels that recurs, else its shape."""
+    out = lines.levels[:, 3].copy()
+    for level in (2, 1, 0):
+        known = _among(lines.levels[:, level], nodes)
+        out[known] = lines.levels[known, level]
+    return out
+
 
+def _grouped(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """The triples with their numbers; ``c`` depends on ``b``."""
+    key = mix(mix(a) + b)
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return _rows(kind, a[first], b[first], c[first], n)
 
-def label(text: str, scores: dict[str, float]) -> list[tuple[int, bool]]:
-    """``(line number, is furniture)`` of the non-blank lines."""
-    rows = tagged(text)
-    if not rows:
-        return []
-    own = np.array([scores.get(r[2], 0.0) for r in rows])
-    clipped = np.clip(own, -3, 3)
-    padded = np.concatenate(([clipped[0]], clipped, [clipped[-1]]))
-    smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
-    fused = np.where(np.abs(own) > 4, own, 0.5 * own + 0.5 * smooth)
-    return [(r[0], bool(f < 0)) for r, f in zip(rows, fused)]
+
+def _sum_paths(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: Vocabulary = shared.value
+        for _, texts in _slices(batches, 0):
+            lines = read_lines(texts)
+            if not len(lines.text):
+                continue
+            node, shape = _resolved(lines, vocabulary.nodes), lines.levels[:, 3]
+            head = np.concatenate(([True], lines.text[1:] != lines.text[:-1]))
+            tail = np.concatenate((head[1:], [True]))
+            before, after = np.where(head, _BEGIN, np.roll(node, 1)), np.where(tail, _END, np.roll(node, -1))
+            yield _grouped(_EDGE, node, before, np.where(head, _BEGIN, np.roll(shape, 1)))
+            yield _grouped(_EDGE + 1, node, after, np.where(tail, _END, np.roll(shape, -1)))
+            known = _among(lines.word, vocabulary.words)
+            word = lines.word[known]
+            yield _grouped(_WORD, node[lines.word_line[known]], word, np.zeros(len(word), np.uint64))
+            key, of = np.unique(node, return_inverse=True)
+            zero = np.zeros(len(key), np.uint64)
+            for k in range(len(_FIELDS)):
+                yield _rows(_STAT + k, key, zero, zero, np.bincount(of, weights=lines.stats[:, k]))
+
+    return run
+
+
+@dataclass
+class Sums:
+    """The corpus seen through its paths."""
+
+    node: np.ndarray  # sorted
+    stats: np.ndarray  # [node, field]
+    edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # before and after: node, neighbour, number
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]  # node, word, number
+
+
+def path_sums(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> Sums:
+    """Figures, neighbours and words of every node, summed over all texts.
+
+    Neighbours that meet in fewer than ``EDGE_SHARE`` of the lines are summed under the neighbour's shape, and words
+    below ``SHARE`` with a node are left to the other nodes, so that what reaches the driver is bounded by the shares.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by SHARE
+    texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    sums = texts.mapInArrow(_sum_paths(shared), _SUMS).groupBy("kind", "a", "b").agg(F.first("c").alias("c"), F.sum("n").alias("n"))
+    edge = F.col("kind").isin(_EDGE, _EDGE + 1)
+    least = F.when(F.col("kind") == _WORD, SHARE * vocabulary.lines).otherwise(0.0)
+    rare = edge & (F.col("n") < EDGE_SHARE * vocabulary.lines)
+    sums = sums.where(F.col("n") >= least).select("kind", "a", F.when(rare, F.col("c")).otherwise(F.col("b")).alias("b"), "n")
+    got = sums.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toArrow()
+    kind, n = got.column("kind").to_numpy(), got.column("n").to_numpy()
+    a, b = (got.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+    # shapes that stand for rare neighbours are nodes too, with the figures of their own lines if they have any
+    node = np.unique(np.concatenate((a[kind >= _EDGE], b[(kind == _EDGE) | (kind == _EDGE + 1)], [_BEGIN, _END])))
+    stats = np.zeros((len(node), len(_FIELDS)))
+    for k in range(len(_FIELDS)):
+        own = kind == _STAT + k
+        stats[np.searchsorted(node, a[own]), k] = n[own]
+    edges = [(np.searchsorted(node, a[kind == e]), np.searchsorted(node, b[kind == e]), n[kind == e]) for e in (_EDGE, _EDGE + 1)]
+    own = kind == _WORD
+    return Sums(node, stats, edges, (np.searchsorted(node, a[own]), b[own], n[own]))
+
+
+def _ratio(stats: np.ndarray, typical: float) -> np.ndarray:
+    """Content score of lines or nodes from their figures alone, within ``CAP``; above 0 is content."""
+    lines, chars, stops, wording, words, separators, capitals, numbers, broken, arrows, colons, columns = np.maximum(stats[:, :12], 0).T
+    lines, words = np.maximum(lines, 1), np.maximum(words, 1)
+    score = np.clip(np.log2(np.maximum(chars / lines, 1) / typical), -2, 3) + np.minimum(stops / lines, 2)
+    score += 0.5 * np.minimum(numbers / lines, 2) + colons / lines + 3 * columns / lines
+    score -= 0.7 * np.minimum(separators / lines, 3) * (numbers == 0) * (columns == 0) + np.minimum(arrows / lines, 2)
+    score -= 1.5 * np.clip(capitals / words - 0.4, 0, 0.6) * (numbers / lines < 0.5) + 1.5 * broken / lines
+    score -= WORDING * np.clip(2 * wording / words + 0.2 * np.minimum(wording / lines, 2) * np.minimum(10 * lines / words, 1), 0, 1)
+    return np.clip(score - OFFSET, -CAP, CAP)
+
+
+def _message(score: np.ndarray) -> np.ndarray:
+    """What a neighbour's score says of a line."""
+    e = np.exp(np.clip(score, -20, 20))
+    return np.log((STAY * e + 1 - STAY) / ((1 - STAY) * e + STAY))
+
+
+@dataclass
+class Scores:
+    """The fitted scores: of nodes and of words, sorted by key."""
+
+    node: np.ndarray
+    score: np.ndarray
+    word: np.ndarray
+    evidence: np.ndarray
+    typical: float
+
+    def of(self, lines: Lines) -> np.ndarray:
+        node = _resolved(lines, self.node)
+        at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        own = _fused(_ratio(lines.stats, self.typical), _mean_evidence(lines.word_line, lines.word, self, len(node)))
+        # a line known by its shape only has its own figures and words
+        return np.where((self.node[at] == node) & (node != lines.levels[:, 3]), self.score[at], own)
+
+
+def _fused(ratio: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    return np.clip(ratio + OWN_WORDS * np.clip(evidence, -2, 2), -CAP - 2, CAP + 2)
+
+
+def _mean_evidence(line: np.ndarray, word: np.ndarray, scores: Scores, lines: int) -> np.ndarray:
+    if not len(scores.word) or not len(word):
+        return np.zeros(lines)
+    at = np.minimum(np.searchsorted(scores.word, word), len(scores.word) - 1)
+    value = np.where(scores.word[at] == word, scores.evidence[at], 0.0)
+    return np.bincount(line, weights=value, minlength=lines) / np.maximum(np.bincount(line, minlength=lines), 1)
+
+
+def content_scores(sums: Sums, typical: float) -> Scores:
+    """Ratios of the nodes, smoothed over neighbouring nodes and fused with their words' evidence."""
+    n = len(sums.node)
+    ratio = _ratio(sums.stats, typical)
+    edge = np.searchsorted(sums.node, np.array([_BEGIN, _END], np.uint64))
+    totals = [np.maximum(np.bincount(a, weights=k, minlength=n), 1) for a, _, k in sums.edges]
+    at, word, times = sums.words
+    key, of = np.unique(word, return_inverse=True)
+    all_times = np.maximum(np.bincount(at, weights=times, minlength=n), 1)
+
+    def smoothed(own: np.ndarray) -> np.ndarray:
+        score = own.copy()
+        for _ in range(STEPS):
+            score[edge] = EDGES
+            m = _message(score)
+            around = sum(w * np.bincount(a, weights=k * m[b], minlength=n) / t for w, (a, b, k), t in zip((BEFORE, AFTER), sums.edges, totals))
+            score = 0.5 * score + 0.5 * (own + around)
+        score[edge] = EDGES
+        return score
+
+    def weighed(content: np.ndarray, rest: np.ndarray, share: float) -> np.ndarray:
+        """Log-odds of words for content against those of all words; 0 for a word not seen."""
+        return np.clip(np.log((content + DOUBT * share) / (rest + DOUBT * (1 - share))) - np.log(share / (1 - share)), -3, 3)
+
+    score, own, evidence = 2 * ratio, ratio, np.zeros(len(key))
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-score))
+        c, r = times * p[at], times * (1 - p[at])
+        content, rest = np.bincount(of, weights=c, minlength=len(key)), np.bincount(of, weights=r, minlength=len(key))
+        share = (content.sum() + 1) / (content.sum() + rest.sum() + 2)
+        evidence = weighed(content, rest, share)
+        others = weighed(np.maximum(content[of] - c, 0), np.maximum(rest[of] - r, 0), share)  # a node is judged by the other nodes
+        own = _fused(ratio, np.bincount(at, weights=times * others, minlength=n) / all_times)
+        score = smoothed(own)
+    return Scores(sums.node, OWN * own + (1 - OWN) * score, key, evidence, typical)
+
+
+def _two_states(score: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether each line is furniture: the best sequence of two states in each text, all texts at once."""
+    if not len(score):
+        return np.zeros(0, bool)
+    head = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+    count = np.diff(np.concatenate((head, [len(text)])))
+    stay, move = np.log(KEEP), np.log(1 - KEEP)
+    order = np.argsort(-count, kind="stable")  # texts by length: the first ``live`` have a k-th line
+    head, count = head[order], count[order]
+    longest = int(count[0])
+    live = np.searchsorted(-count, -np.arange(longest), side="left")
+    back = np.zeros((len(score), 2), bool)  # whether the best way into furniture, content comes from content
+    best = np.stack([np.zeros(len(head)), score[head]], axis=1)
+    for k in range(1, longest):
+        m = live[k]
+        f, c = best[:m, 0], best[:m, 1]
+        at = head[:m] + k
+        back[at, 0], back[at, 1] = c + move > f + stay, c + stay > f + move
+        best[:m] = np.stack([np.maximum(f + stay, c + move), np.maximum(f + move, c + stay) + score[at]], axis=1)
+    state = best[:, 1] > best[:, 0]
+    content = np.zeros(len(score), bool)
+    for k in range(longest - 1, -1, -1):
+        m = live[k] if k else len(head)
+        at = head[:m] + k
+        content[at] = state[:m]
+        state[:m] = np.where(state[:m], back[at, 1], back[at, 0])
+    return ~content
 
 
 def _label(shared, form: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                who, what = [], []
-                for d, text in enumerate(part.column(1).to_pylist()):
-                    if text is None:
-                        if form == "body":
-                            who.append(d)
-                            what.append(None)
-                        continue
-                    out = [k for k, furniture in label(text, scores) if furniture]
-                    if form == "lines":
-                        who += [d] * len(out)
-                        what += out
-                    else:
-                        gone = set(out)
-                        who.append(d)
-                        what.append("\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone))
-                kind = pa.int32() if form == "lines" else pa.string()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who, pa.int64())), pa.array(what, kind)], names=["id", "what"])
+        scores: Scores = shared.value
+        for part, raw in _slices(batches, 1):
+            texts = [x or "" for x in raw]
+            lines = read_lines(texts)
+            gone = _two_states(scores.of(lines), lines.text)
+            who, line = lines.text[gone], lines.number[gone]
+            if form == "lines":
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(line.astype(np.int32))], names=["id", "what"])
+                continue
+            cuts = np.searchsorted(who, np.arange(len(texts) + 1))
+            what: list[str | None] = []
+            for d, text in enumerate(raw):
+                drop = set(line[cuts[d] : cuts[d + 1]].tolist())
+                what.append(text if not drop else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(what, pa.string())], names=["id", "what"])
 
     return run
 
 
+def fitted_scores(docs: DataFrame, text_col: str) -> Scores:
+    """The scores of the paths of ``docs``, from all its texts."""
+    vocabulary = path_counts(docs, text_col)
+    return content_scores(path_sums(docs, text_col, vocabulary), vocabulary.typical)
+
+
 def _run(docs: DataFrame, id_col: str, text_col: str, form: str) -> DataFrame:
-    ratios = {r["path"]: (r["lines"], r["chars"], r["stops"]) for r in path_ratios(docs, text_col).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(content_scores(ratios))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted_scores(docs, text_col))  # bounded by SHARE
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_label(shared, form), f"id {kind}, what {'int' if form == 'lines' else 'string'}").withColumnRenamed("id", id_col)
 
 
 def furniture_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(<id>, line_no)`` of every non-blank line that is page furniture; lines count from 0. Null texts give no rows."""
+    """``(<id>, line_no)`` of every non-blank line that is page furniture; lines count from 0.
+
+    Null, empty and blank texts give no rows, nor does an empty table. Repeated ids are kept as rows. Columns other
+    than the two named are not read. A text of one line is judged by that line alone.
+    """
     return _run(docs, id_col, text_col, "lines").withColumnRenamed("what", "line_no")
 
 
 def main_body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(<id>, <text>)`` of every row with the furniture lines taken out; a null text stays null."""
+    """``(<id>, <text>)`` of every row with the furniture lines taken out; a null text stays null, an empty one empty."""
     return _run(docs, id_col, text_col, "body").withColumnRenamed("what", text_col)

@@ -18,6 +18,12 @@ def word_char_table() -> np.ndarray:
     return np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
+@lru_cache(maxsize=1)
+def lower_table() -> np.ndarray:
+    """The code of each code point's (first) lower-case character."""
+    return np.fromiter((ord(chr(i).lower()[0]) for i in range(0x110000)), np.uint32, 0x110000)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply); wraps modulo 2**64."""
     x = x ^ (x >> np.uint64(31))
@@ -47,12 +53,18 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     limits = np.cumsum(np.fromiter((len(t) + 1 for t in low), dtype=np.int64, count=len(low)))
     of = np.searchsorted(limits, starts, side="right")
+    return run_hashes(codes, starts, ends), of
+
+
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each (non-empty) run of codes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     length = ends - starts
-    at = np.flatnonzero(alnum)
     offset = np.concatenate(([0], np.cumsum(length)[:-1]))
-    place = (np.arange(len(at)) - np.repeat(offset, length)).astype(np.uint64)
-    value = mix((codes[at].astype(np.uint64) + np.uint64(1)) * _GOLD + place * np.uint64(0xD6E8FEB86659FD93))
-    return np.add.reduceat(value, offset), of
+    place = np.arange(int(length.sum())) - np.repeat(offset, length)
+    value = mix((codes[np.repeat(starts, length) + place].astype(np.uint64) + np.uint64(1)) * _GOLD + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return np.add.reduceat(value, offset)
 
 
 def ngram_hashes(word: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tessera.llm.language_id import document_languages, fit, fitted, named_language, segment_languages, segments
-from tessera.llm.main_content import furniture_lines, main_body, path_ratios
+from tessera.llm.main_content import Vocabulary, content_scores, fitted_scores, furniture_lines, main_body, path_counts, path_sums, read_lines
 from tessera.llm import pair_defects as defects
 from tessera.llm.pair_defects import Endings, clauses, ending_counts, fit_judge, is_empty, pair_defects, sampled_judge
 
@@ -175,19 +175,75 @@ Privacy
 © 2020 Example Online. All rights reserved."""
 
 
-def test_long_lines_are_searched_whole(spark):
-    """A notice run together with menu entries counts wherever in the line it begins."""
-    line = "The desk for visitors of the Marlo Office - Clinics for workers and lenders - The council and its members, We set cookies and similar tools to tailor what you see."
-    body = "The clerk signs the form within nine days, and the office keeps a copy of it for as long as the case is open, whoever asks."
-    df = spark.createDataFrame([("a", f"{line}\n{body}")], "id string, text string")
-    assert [tuple(r) for r in furniture_lines(df, "id", "text").collect()] == [("a", 0)]
+# pages of pieces; no word of the furniture is among those the module knows, nor is any of its blocks
+TOP = ["Admissions\nAthletics\nGiving\nAlumni", "Boarding / Athletics / Library hall / Alumni", "* Giving\n* Athletics\n* Term dates", "Alumni\tTerm dates\tBoarding\tGiving", "Top › Boarding › Room {b}"]
+ASIDE = ["Residents looked at\n> Dormitory rules {a}\n> Sports day {b}\n> Tuck shop hours", "Pupils liked\n- Hall rules {b}\n- Sports day {a}\nTuck shop hours"]
+PROMPT = ["Pin this", "Send to a friend", "Big print"]
+FOOT = ["Registered charity 104455\nMade with Kolibri", "Made with Kolibri\nHall Lane {b}, Marlo", "Governors · Alumni · Giving\nRegistered charity 104455"]
+BODY = [
+    "Boarding charges for the {w} term\nParents pay the boarding charge of {a} crowns before the {b}th day of the term, unless the bursar has agreed to a later date in writing.",
+    "The charge covers meals and laundry:\n- meals on {b} days of the week\n- laundry of up to {a} pieces\n- the use of the {w} room after supper",
+    "A pupil who leaves in the course of the term has half of the charge paid back if the place is taken again within {b} weeks.",
+    "Kind | Days | Charge\nMeals | {b} | {a}\nLaundry | 3 | {b}", "The {w} master keeps the list of {a} names. Each name is struck out after {b} terms, when the pupil has paid what is due.",
+    "Who keeps the {w} room\nThe {w} room is kept by the pupils of the upper forms, who clean it on {b} days of the term and lock it before supper.",
+]
+
+
+def test_unknown_wording_is_told_by_its_ratios(spark):
+    rng = random.Random(1)
+    rooms = "music reading common quiet painting chess games sewing".split()
+    rows, want, kept = [], set(), set()
+    for i in range(300):
+        pieces = [(x, True) for x in rng.sample(TOP, 2)] + [(x, False) for x in rng.sample(BODY, 4)] + [(rng.choice(FOOT), True)]
+        pieces.insert(rng.randrange(3, 7), (rng.choice(ASIDE), True))
+        pieces.insert(rng.randrange(3, 7), (rng.choice(PROMPT), True))
+        lines = [(line.format(a=rng.randrange(100, 900), b=rng.randrange(2, 20), w=rng.choice(rooms)), f) for x, f in pieces for line in x.split("\n")]
+        for k, (_, furniture) in enumerate(lines):
+            (want if furniture else kept).add((i, k))
+        rows.append((i, "\n".join(x for x, _ in lines)))
+    df = spark.createDataFrame(rows, "id int, text string")
+    found = {(r.id, r.line_no) for r in furniture_lines(df, "id", "text").collect()}
+    assert len(found & want) >= 0.9 * len(want) and len(found & kept) <= 0.05 * len(kept), (len(found & want) / len(want), len(found & kept) / len(kept))
+
+
+def test_lines_and_paths():
+    lines = read_lines(["A b.\n\n - Form G-34, 1,200 x \r\nHome | News | Contact", "", "Stage | Days | Fee\nVisit | 3 | 40", "12"])
+    assert lines.text.tolist() == [0, 0, 0, 2, 2, 3] and lines.number.tolist() == [0, 2, 3, 0, 1, 0]
+    names = ("lines", "chars", "stops", "wording", "words", "separators", "capitals", "numbers", "broken", "arrows", "colons", "columns")
+    rows = [dict(zip(names, r)) for r in lines.stats.tolist()]
+    assert rows[0]["chars"] == 4 and rows[0]["stops"] == 1 and rows[1]["chars"] == 18 and rows[1]["numbers"] == 2
+    assert rows[2]["separators"] == 2 and rows[2]["wording"] == 2 and rows[3]["columns"] == rows[4]["columns"] == 1 and not rows[2]["columns"]
+
+
+def test_best_states_against_every_sequence():
+    from itertools import product
+
+    import numpy as np
+
+    from tessera.llm.main_content import KEEP, _two_states
+
+    rng = np.random.default_rng(2)
+    counts = [3, 1, 6, 2]
+    score, text = rng.normal(0, 2, sum(counts)), np.repeat([0, 2, 5, 6], counts)
+    got, at = _two_states(score, text).tolist(), 0
+    for n in counts:
+        value = lambda z: sum(s * x for s, x in zip(score[at : at + n], z)) + sum(np.log(KEEP if a == b else 1 - KEEP) for a, b in zip(z, z[1:]))  # noqa: E731,B023
+        assert got[at : at + n] == [not x for x in max(product((0, 1), repeat=n), key=value)]
+        at += n
 
 
 def test_main_content(spark):
     rows = [(str(i), PAGE.replace("\n", "\r\n") if i % 3 == 0 else PAGE, "x") for i in range(9)] + [(f"d{i}", x, "y") for i, x in enumerate(DIRT)]
-    df = spark.createDataFrame(rows, "id string, text string, what string")
-    found = furniture_lines(df, "id", "text").where("length(id) = 1").collect()
-    assert {(r.id, r.line_no) for r in found} == {(str(i), k) for i in range(9) for k in (0, 1, 2, 3, 8, 10, 11, 12, 13, 15, 16, 17)}
+    df = spark.createDataFrame(rows, "id string, text string, what string").withColumnRenamed("what", "kind")
+    found = {(r.id, r.line_no) for r in furniture_lines(df, "id", "text").where("length(id) = 1").collect()}
+    # one page in nine copies: what stands between furniture everywhere goes with it, but for the passage and what is plainly furniture
+    assert found >= {(str(i), k) for i in range(9) for k in (0, 1, 2, 3, 8, 10, 11, 12, 13, 15, 16, 17)} and not found & {(str(i), 5) for i in range(9)}
     body = {r.id: r.text for r in main_body(df, "id", "text").collect()}
-    assert len(body) == len(rows) and body["d0"] is None and body["d1"] == "" and body["1"].split("\n")[0] == "Who may sign the form"
-    assert furniture_lines(df.limit(0), "id", "text").count() == 0 and path_ratios(df, "text").count() < 400
+    assert len(body) == len(rows) and body["d0"] is None and body["d1"] == "" and "The clerk signs" in body["1"] and "Imprint" not in body["1"]
+    empty = df.limit(0)
+    assert furniture_lines(empty, "id", "text").count() == 0 and main_body(empty, "id", "text").count() == 0
+    vocabulary = path_counts(df, "text")
+    assert isinstance(vocabulary, Vocabulary) and vocabulary.lines == sum(len([x for x in (t or "").split("\n") if x.strip()]) for _, t, _ in rows)
+    sums = path_sums(df, "text", vocabulary)
+    assert sums.stats[:, 0].sum() == vocabulary.lines and abs(content_scores(sums, vocabulary.typical).score).max() <= 10
+    assert len(fitted_scores(df, "text").node) == len(sums.node)
