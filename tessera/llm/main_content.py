@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ startseite kontakt impressum datenschutz suche anmelden hilfe accueil contacts r
 
 SHARE = 2e-5  # of all lines, from which a node or word is kept
 LEAST = 3  # lines, likewise
-EDGE_SHARE = 2e-7  # of all lines, from which two nodes are neighbours of their own; rarer ones count for their shapes
+EDGE_SHARE = 5e-6  # of all lines, from which two nodes are neighbours of their own; rarer ones count for their shapes
 CAP, WORDING = 4.0, 3.0  # bounds of a ratio and of its wording part
 OFFSET = 0.4  # what a line of typical length and no other sign lacks for content
 DOUBT = 2.0  # occurrences of a word that count as undecided
@@ -62,23 +63,29 @@ _COUNT, _WORD_COUNT, _EDGE, _WORD, _STAT = 0, 1, 2, 4, 10
 _BINS = np.array([12, 25, 45, 75, LONG, SPAN])
 
 
-def _flags(chars: str) -> np.ndarray:
-    table = np.zeros(0x110000, bool)
-    table[list(map(ord, chars))] = True
+_SPACE, _UPPER, _DIGIT, _MARKER, _SEPARATOR, _ARROW, _STOP, _CLOSER, _WIDE, _JOINT, _ENDING, _WORD_CHAR = (1 << k for k in range(12))
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """What each code point is, as bits."""
+    table = np.zeros(0x110000, np.uint16)
+    for bit, chars in ((_MARKER, "-*•·>▪‣"), (_SEPARATOR, "|•·/»›>*"), (_ARROW, "›»>"), (_STOP, ".!?;。！？؟…"), (_CLOSER, "\"'”’»)]"), (_WIDE, "。！？"), (_JOINT, ".,/–-"), (_ENDING, ".!?:;。！？؟…")):
+        table[list(map(ord, chars))] |= bit
+    for i, c in enumerate(map(chr, range(0x110000))):
+        if c.isspace():
+            table[i] |= _SPACE
+        elif c.isdigit():
+            table[i] |= _DIGIT
+        elif c.isupper() or c.istitle():
+            table[i] |= _UPPER
+    table[word_char_table()] |= _WORD_CHAR
     return table
 
 
 @lru_cache(maxsize=1)
-def _tables() -> dict[str, np.ndarray]:
-    every = range(0x110000)
-    return {
-        "space": np.fromiter((chr(i).isspace() for i in every), bool, 0x110000),
-        "upper": np.fromiter((chr(i).isupper() or chr(i).istitle() for i in every), bool, 0x110000),
-        "digit": np.fromiter((chr(i).isdigit() for i in every), bool, 0x110000),
-        "marker": _flags("-*•·>▪‣"), "separator": _flags("|•·/»›>*"), "arrow": _flags("›»>"), "stop": _flags(".!?;。！？؟…"),
-        "end": _flags(".!?:;。！？؟…"), "closer": _flags("\"'”’»)]"), "wide": _flags("。！？"), "joint": _flags(".,/–-"),
-        "wording": np.sort(word_hashes([WORDS])[0]),
-    }
+def _wording() -> pa.Array:
+    return pa.array(word_hashes([WORDS])[0])
 
 
 @dataclass
@@ -89,73 +96,74 @@ class Lines:
     number: np.ndarray  # line number, from 0
     levels: np.ndarray  # [line, 4]: keys of the path's nodes, leaf first; 0 where a level is absent
     stats: np.ndarray  # [line, field]
-    word: np.ndarray  # distinct words, ordered by line
+    word: np.ndarray  # its words, in order
     word_line: np.ndarray
 
 
 def read_lines(texts: list[str]) -> Lines:
     """The lines of the texts with their paths and figures."""
-    t = _tables()
     codes = codes_of("\n".join(texts) + "\n")
+    kind = _classes()[codes]
+    is_ = lambda bit, at: (kind[np.minimum(at, len(kind) - 1)] & bit) != 0
     breaks = np.flatnonzero(codes == 10)
     per_text = np.fromiter((x.count("\n") + 1 for x in texts), np.int64, len(texts))
-    solid = np.flatnonzero(~t["space"][codes])
-    line_of = np.searchsorted(breaks, solid)
-    used, first = np.unique(line_of, return_index=True)
+    solid = np.flatnonzero((kind & _SPACE) == 0)
+    cuts = np.concatenate(([0], np.searchsorted(solid, breaks)))
+    used = np.flatnonzero(np.diff(cuts))
     n = len(used)
     text = np.repeat(np.arange(len(texts)), per_text)[used]
     number = used - np.concatenate(([0], np.cumsum(per_text)[:-1]))[text]
     if not n:
         return Lines(text, number, np.zeros((0, 4), np.uint64), np.zeros((0, len(_FIELDS))), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    begin, last = solid[first], solid[np.concatenate((first[1:], [len(solid)])) - 1]
-    ends_at = breaks[used]
+    begin, last = solid[cuts[used]], solid[cuts[used + 1] - 1]
     # a list marker: a sign and white space, or one or two digits, a dot or bracket and white space
-    peek = lambda k: codes[np.minimum(begin + k, len(codes) - 1)]
-    sign = t["marker"][codes[begin]] & t["space"][peek(1)] & (last > begin)
-    tail = lambda k: np.isin(peek(k), (46, 41)) & t["space"][peek(k + 1)] & (last > begin + k)
-    one = t["digit"][peek(0)] & tail(1)
-    two = t["digit"][peek(0)] & t["digit"][peek(1)] & tail(2)
-    marked = sign | one | two
+    sign = is_(_MARKER, begin) & is_(_SPACE, begin + 1)
+    closes = lambda k: np.isin(codes[np.minimum(begin + k, len(codes) - 1)], (46, 41)) & is_(_SPACE, begin + k + 1)
+    one = is_(_DIGIT, begin) & closes(1)
+    two = is_(_DIGIT, begin) & is_(_DIGIT, begin + 1) & closes(2)
     after = begin + np.where(sign, 1, np.where(one, 2, np.where(two, 3, 0)))
+    marked = (after > begin) & (last > after)
     start = np.where(marked, solid[np.minimum(np.searchsorted(solid, after), len(solid) - 1)], begin)
     size = last - start + 1
-    row_of = np.full(len(breaks), -1)
-    row_of[used] = np.arange(n)
-
-    def tally(at: np.ndarray) -> np.ndarray:
-        row = row_of[np.searchsorted(breaks, at)]
-        row = row[(row >= 0) & (at >= start[row])]
-        return np.bincount(row, minlength=n)
-
-    separator = t["separator"][codes]
-    nxt = np.append(codes[1:], 10)
-    stop = t["stop"][codes] & (t["space"][nxt] | t["closer"][nxt] | t["wide"][codes])
-    bar = (codes == 124) & t["space"][nxt] & np.concatenate(([False], t["space"][codes[:-1]])) | (codes == 9)
-    cells = tally(np.flatnonzero(bar))
+
+    def rows_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lines of ascending places, and which of the places lie in the body of one."""
+        row = np.repeat(np.arange(n), np.diff(np.searchsorted(at, np.append(begin[1:], len(codes))), prepend=0))
+        return row, at >= start[row]
+
+    def tally(flags: np.ndarray) -> np.ndarray:
+        row, inside = rows_of(np.flatnonzero(flags))
+        return np.bincount(row[inside], minlength=n)
+
+    follows, leads = np.append(kind[1:], np.uint16(_SPACE)), np.append(np.uint16(_SPACE), kind[:-1])
+    separator = (kind & _SEPARATOR) != 0
+    stop = ((kind & _STOP) != 0) & (((follows & (_SPACE | _CLOSER)) != 0) | ((kind & _WIDE) != 0))
+    cells = tally((codes == 124) & ((follows & leads & _SPACE) != 0) | (codes == 9))
     same = np.zeros(n, bool)  # as many cells as a neighbour has: a row of a table
-    same[1:] |= (cells[1:] == cells[:-1]) & (text[1:] == text[:-1])
-    same[:-1] |= same[1:] & (cells[1:] == cells[:-1]) & (text[1:] == text[:-1])
+    alike = (cells[1:] == cells[:-1]) & (text[1:] == text[:-1])
+    same[1:] |= alike
+    same[:-1] |= alike
     column = same & (cells > 1)
     # words
-    lower = lower_table()[codes]
-    w_start, w_end = runs(word_char_table()[codes])
-    row = row_of[np.searchsorted(breaks, w_start)]
-    inside = w_start >= start[row]
+    w_start, w_end = runs((kind & _WORD_CHAR) != 0)
+    row, inside = rows_of(w_start)
     w_start, w_end, row = w_start[inside], w_end[inside], row[inside]
-    digit = t["digit"][codes[w_start]]
+    digit = is_(_DIGIT, w_start)
     joined = np.zeros(len(row), bool)  # parts of one number
-    joined[1:] = digit[1:] & digit[:-1] & (row[1:] == row[:-1]) & (w_start[1:] == w_end[:-1] + 1) & t["joint"][codes[w_end[:-1]]]
+    joined[1:] = digit[1:] & digit[:-1] & (row[1:] == row[:-1]) & (w_start[1:] == w_end[:-1] + 1) & is_(_JOINT, w_end[:-1])
     w_start, w_end, row, digit = w_start[~joined], w_end[~joined], row[~joined], digit[~joined]
-    capital = t["upper"][codes[w_start]]
-    plain = run_hashes(lower, w_start, w_end)
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    masked = np.where(digit, _NUMBER, np.where(capital & (place > 0), _NAME, plain))
+    capital = is_(_UPPER, w_start)
+    plain = run_hashes(lower_table()[codes], w_start, w_end)
     words = np.bincount(row, minlength=n)
-    wording = np.bincount(row, weights=_among(plain, t["wording"]), minlength=n) + tally(np.flatnonzero(codes == 0xA9))
-    capitals, numbers = np.bincount(row, weights=capital, minlength=n), np.bincount(row, weights=digit, minlength=n)
-    separators, arrows, stops = tally(np.flatnonzero(separator)), tally(np.flatnonzero(t["arrow"][codes])), tally(np.flatnonzero(stop))
-    end = t["end"][codes[last]]
-    colon = codes[last] == 58
+    at = np.cumsum(words) - words  # first word of each line
+    leading = np.zeros(len(row), bool)
+    leading[at[words > 0]] = True
+    masked = np.where(digit, _NUMBER, np.where(capital & ~leading, _NAME, plain))
+    known = compute.is_in(pa.array(plain), value_set=_wording()).to_numpy(zero_copy_only=False)
+    wording = np.bincount(row[known], minlength=n) + tally(codes == 0xA9)
+    capitals, numbers = np.bincount(row[capital], minlength=n), np.bincount(row[digit], minlength=n)
+    separators, arrows, stops = tally(separator), tally(separator & ((kind & _ARROW) != 0)), tally(stop)
+    end, colon = is_(_ENDING, last), codes[last] == 58
     # shape and path
     length = np.searchsorted(_BINS, size, side="right")
     share = wording / np.maximum(words, 1)
@@ -165,36 +173,30 @@ def read_lines(texts: list[str]) -> Lines:
         np.where(wording == 0, 0, np.where(share < 0.12, 1, np.where(share < 0.34, 2, 3))),
     ):
         shape = mix(shape + part.astype(np.uint64) + np.uint64(97))
-    has = np.flatnonzero(words)
-    at = np.searchsorted(row, has)
-    lead = np.zeros((3, n), np.uint64)
-    for k in range(3):
-        with_k = has[words[has] > k]
-        lead[k, with_k] = masked[at[words[has] > k] + k]
-    final = np.zeros(n, np.uint64)
-    final[has] = masked[at + words[has] - 1]
-    two_words = mix(mix(shape + np.uint64(3)) + mix(lead[0] + np.uint64(5)) * np.uint64(3) + lead[1])
+    word_at = lambda k: np.where(words > k, masked[np.minimum(at + k, len(masked) - 1)], np.uint64(0)) if len(masked) else np.zeros(n, np.uint64)
+    final = word_at(np.maximum(words - 1, 0))
+    two_words = mix(mix(shape + np.uint64(3)) + mix(word_at(0) + np.uint64(5)) * np.uint64(3) + word_at(1))
     levels = np.zeros((n, 4), np.uint64)
     levels[:, 3] = shape
     short, middle = length < 5, length < 6
-    levels[short, 0] = mix(two_words + mix(lead[2] + np.uint64(7)) * np.uint64(5) + mix(final + np.uint64(9)))[short]
+    levels[short, 0] = mix(two_words + mix(word_at(2) + np.uint64(7)) * np.uint64(5) + mix(final + np.uint64(9)))[short]
     levels[middle, 1] = two_words[middle]
     levels[short, 2] = mix(mix(shape + np.uint64(15)) + mix(final + np.uint64(17)))[short]
     open_ = ~end
     stats = np.stack(
         [np.ones(n), size, stops, wording, words, separators, capitals, numbers, (stops > 0) & open_, arrows, colon, column, np.where(open_, np.log(size), 0), open_], axis=1
     ).astype(np.float64)
-    order = np.lexsort((plain, row))
-    word, word_line = plain[order], row[order]
-    keep = np.ones(len(word), bool)
-    keep[1:] = (word[1:] != word[:-1]) | (word_line[1:] != word_line[:-1])
-    return Lines(text, number, levels, stats, word[keep], word_line[keep])
+    return Lines(text, number, levels, stats, plain, row)
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return compute.is_in(pa.array(x), value_set=pa.array(known)).to_numpy(zero_copy_only=False)
 
 
-def _among(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
-    if not len(ascending):
-        return np.zeros(len(x), bool)
-    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
+def _places(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``x`` stands in ``known``, and whether it does."""
+    at = compute.index_in(pa.array(x), value_set=pa.array(known))
+    return compute.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64), at.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -204,7 +206,8 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray)
 
 
 def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(x, return_counts=True)
+    counts = compute.value_counts(pa.array(x))
+    return counts.field("values").to_numpy(zero_copy_only=False), counts.field("counts").to_numpy(zero_copy_only=False)
 
 
 _SUMS = "kind int, a long, b long, c long, n double"
@@ -283,10 +286,11 @@ def _sum_paths(shared):
             before, after = np.where(head, _BEGIN, np.roll(node, 1)), np.where(tail, _END, np.roll(node, -1))
             yield _grouped(_EDGE, node, before, np.where(head, _BEGIN, np.roll(shape, 1)))
             yield _grouped(_EDGE + 1, node, after, np.where(tail, _END, np.roll(shape, -1)))
-            known = _among(lines.word, vocabulary.words)
-            word = lines.word[known]
-            yield _grouped(_WORD, node[lines.word_line[known]], word, np.zeros(len(word), np.uint64))
             key, of = np.unique(node, return_inverse=True)
+            word, known = _places(lines.word, vocabulary.words)
+            pair, n = _counted(of[lines.word_line[known]] * len(vocabulary.words) + word[known])
+            at, word = np.divmod(pair, max(len(vocabulary.words), 1))
+            yield _rows(_WORD, key[at], vocabulary.words[word], np.zeros(len(pair), np.uint64), n)
             zero = np.zeros(len(key), np.uint64)
             for k in range(len(_FIELDS)):
                 yield _rows(_STAT + k, key, zero, zero, np.bincount(of, weights=lines.stats[:, k]))
@@ -374,8 +378,8 @@ def _fused(ratio: np.ndarray, evidence: np.ndarray) -> np.ndarray:
 def _mean_evidence(line: np.ndarray, word: np.ndarray, scores: Scores, lines: int) -> np.ndarray:
     if not len(scores.word) or not len(word):
         return np.zeros(lines)
-    at = np.minimum(np.searchsorted(scores.word, word), len(scores.word) - 1)
-    value = np.where(scores.word[at] == word, scores.evidence[at], 0.0)
+    at, known = _places(word, scores.word)
+    value = np.where(known, scores.evidence[at], 0.0)
     return np.bincount(line, weights=value, minlength=lines) / np.maximum(np.bincount(line, minlength=lines), 1)
 
 

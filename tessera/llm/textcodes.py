@@ -52,19 +52,38 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     limits = np.cumsum(np.fromiter((len(t) + 1 for t in low), dtype=np.int64, count=len(low)))
-    of = np.searchsorted(limits, starts, side="right")
+    of = np.repeat(np.arange(len(low)), np.diff(np.searchsorted(starts, limits), prepend=0))
     return run_hashes(codes, starts, ends), of
 
 
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse modulo 2**64, kept for the next batch."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            x = np.full(max(n, 1 << 16), base, np.uint64)
+            x[0] = 1
+            _POWERS[k] = np.multiply.accumulate(x)
+    return _POWERS
+
+
+@lru_cache(maxsize=1)
+def _scatter_table() -> np.ndarray:
+    return mix((np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * _GOLD)
+
+
 def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each (non-empty) run of codes."""
+    """Hash of each (non-empty) run of codes: its part of one running polynomial sum, shifted to the run's start."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    length = ends - starts
-    offset = np.concatenate(([0], np.cumsum(length)[:-1]))
-    place = np.arange(int(length.sum())) - np.repeat(offset, length)
-    value = mix((codes[np.repeat(starts, length) + place].astype(np.uint64) + np.uint64(1)) * _GOLD + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return np.add.reduceat(value, offset)
+    power, inverse = _powers(len(codes))
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_scatter_table()[codes] * power[: len(codes)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts])
 
 
 def ngram_hashes(word: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
