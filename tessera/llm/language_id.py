@@ -8,9 +8,14 @@ sentence or line) takes the language of the lowest cross-entropy per character;
 a cost for changing language, and a segment whose best cross-entropy lies above what the training sentences of that
 language reach is rejected (no language).
 
-The models are fitted on a bounded sample: at most ``SAMPLE`` labelled documents per language, in hash order. Labels are
-partly wrong and texts partly mixed, so the sample's sentences are reassigned to their best language and the models
-fitted again, ``ROUNDS`` times.
+The models are fitted on a bounded sample: at most ``SAMPLE`` labelled documents per language, those of the lowest hashes,
+and at most ``SAMPLE_SENTENCES`` sentences of each, likewise. A threshold on the hash, set from a count per language, is
+applied where the table is read, so nothing is sorted or shuffled and about ``OVERDRAWN`` times the sample reaches the
+driver whatever the number of tasks. Labels are partly wrong and texts partly mixed, so the sample's sentences are
+reassigned to their best language and the models fitted again, ``ROUNDS`` times.
+
+One departure from Kneser-Ney: n-grams at a word's start have no character before them whose continuations could be
+counted, so the square root of their frequency is added to their continuation count.
 """
 
 from __future__ import annotations
@@ -19,19 +24,21 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .textcodes import mix
 
 ORDER = 5
 SAMPLE = 120  # labelled documents per language
-SAMPLE_CHARS = 4000  # code points of each that are used for fitting
+SAMPLE_SENTENCES = 80  # sentences of each that are used for fitting
+SAMPLE_LENGTH = 1000  # code points up to which a sentence is used for fitting
+OVERDRAWN = 2.0  # times the sample that pass the threshold on the hash
 ROUNDS = 3
 REMEMBERED = 200_000
 SWITCH = 3.0  # nats that a change of language costs
@@ -186,7 +193,7 @@ def fit(samples: list[tuple[str, str]]) -> Models:
     at = {name: k for k, name in enumerate(names)}
     sentences: list[tuple[int, list[str]]] = []
     for lang, text in samples:
-        for lo, hi in segments(text[:SAMPLE_CHARS]):
+        for lo, hi in segments(text):
             words = words_of(text[lo:hi])
             if sum(map(len, words)) >= SURE:
                 sentences.append((at[lang], words))
@@ -308,15 +315,42 @@ def named_language(docs: DataFrame, aliases: DataFrame, lang_col: str) -> DataFr
     return docs.withColumn("__label", label).join(F.broadcast(names), F.col("__label") == F.col("__alias"), "left").drop("__label", "__alias")
 
 
+HASHES = 1 << 40
+
+
+def below(key: Column, share: Column | float) -> Column:
+    """Whether a key's hash lies in the lowest ``share`` of all."""
+    return F.pmod(F.xxhash64(key), F.lit(HASHES)) < F.ceil(F.lit(HASHES) * (share if isinstance(share, Column) else F.lit(float(share))))
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text in batch.column(3).to_pylist():
+            own = [text[a:b] for a, b in segments(text) if b - a <= SAMPLE_LENGTH]
+            if len(own) > SAMPLE_SENTENCES:
+                keys = sorted((crc32(x.encode("utf-8", "surrogatepass")), i) for i, x in enumerate(own))[:SAMPLE_SENTENCES]
+                own = [own[i] for i in sorted(i for _, i in keys)]
+            texts.append("\n".join(own))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(texts, pa.string())], names=["named", "h", "id", "text"])
+
+
 def fitted(docs: DataFrame, aliases: DataFrame, id_col: str, text_col: str, lang_col: str) -> Models:
-    """Models fitted on the bounded sample of ``docs``."""
+    """Models fitted on the bounded sample of ``docs``; an empty table gives models of no language."""
+    labels = named_language(docs.select(F.col(lang_col).alias("label")), aliases, "label").where("named IS NOT NULL")
+    counts = {r["named"]: r["count"] for r in labels.groupBy("named").count().collect()}  # a row a language
+    if not counts:
+        return fit([])
     rows = named_language(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")), aliases, "label")
-    first = Window.partitionBy("named").orderBy(F.xxhash64("id"), "id")
-    sample = (
-        rows.where(F.col("named").isNotNull() & (F.length("text") >= SURE)).withColumn("k", F.row_number().over(first))
-        .where(F.col("k") <= SAMPLE).select("named", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "id").collect()
-    )
-    return fit([(r["named"], r["text"]) for r in sorted(sample, key=lambda r: (r["named"], str(r["id"])))])
+    share = F.lit(0.0)
+    for name, n in counts.items():
+        share = F.when(F.col("named") == name, min(OVERDRAWN * SAMPLE / n, 1.0)).otherwise(share)
+    drawn = rows.where(F.col("named").isNotNull() & below(F.col("id"), share) & (F.length("text") >= SURE))
+    drawn = drawn.select("named", F.pmod(F.xxhash64("id"), F.lit(HASHES)).alias("h"), F.col("id").cast("string").alias("id"), "text")
+    kept: dict[str, list] = defaultdict(list)
+    for r in drawn.mapInArrow(_sentences, "named string, h long, id string, text string").collect():
+        kept[r["named"]].append((r["h"], r["id"], r["text"]))
+    return fit([(name, text) for name in sorted(kept) for _, _, text in sorted(kept[name])[:SAMPLE]])
 
 
 def _detect(shared, form: str, least: float, skip: bool = False):
