@@ -1,12 +1,15 @@
 """Problem 5: defective question-answer pairs, by a conditional random field over the clauses of the answer.
 
 A clause is a sentence or line. The field tags each clause as answer, refusal, echo, foreign or unfinished from its
-wording (declining phrases), its overlap with the question, the language models' margin between the question's language
+wording (declining phrases, and how strange its words are to the answers marked as correct), its overlap with the question, the language models' margin between the question's language
 and the clause's, and how answers end in the table (word n-grams seen at and away from sentence ends). The tags' coverage of
 the answer decides the pair's one defect; an answer without a clause, or of nothing but a placeholder, is empty.
 
 How words end sentences is counted over all answers of the table, in a pre-aggregated pass (``ending_counts``); each
-pair meets the few counts its last words need by a join on 64-bit keys. Only words seen ``FREQUENT`` times are broadcast.
+pair meets the few counts its last words need by a join on 64-bit keys. Only words seen ``KNOWN`` times and on a
+``FREQUENT_SHARE`` of all words are broadcast, each with its numbers in answers marked as correct and in the others: a
+clause whose words are rare in correct answers, commoner in the others and not the question's is how an answer is declined
+in this table, whatever its wording.
 
 The field and the language models are fitted on bounded samples: ``SAMPLE`` rows of the table in hash order (answers
 marked as correct that end in a full stop, corrupted in known ways) and the labelled documents of problem 10. Every pair
@@ -15,6 +18,7 @@ of the table is then judged on its whole text.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -29,11 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .language_id import Detector, Models, words_of
+from .language_id import HASHES, Detector, Models, below, words_of
 from .textcodes import mix
 
 SAMPLE = 5000  # rows the field is fitted on
+OVERDRAWN = 1.2  # times the sample that pass the threshold on the hash
 FREQUENT = 20  # times a word is seen from which a capital doesn't make it a name
+KNOWN = 3  # times a word is seen from which its numbers by mark are kept
+FREQUENT_SHARE = 1e-6  # of all words, from which either holds; bounds what is broadcast
+FAMILIAR = 2e-5  # of the words of correct answers, from which a word is one of theirs
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 
@@ -64,9 +72,11 @@ _LATIN_WORD = re.compile(r"[^\W_]+(?:['’.,–-][^\W_]+)*")
 _LATIN_SQUEEZE = re.compile(r"[^\W_]+")
 _STOP = regex.compile(r"[.!?。！？][\"'”’)\]]*\s*$")
 _MARKER = regex.compile(r"^\s*(?:[-*•>]|\d{1,2}[.)])\s*")
+_ITEM = regex.compile(r"^\s*[-*•>]\s+(?:\S+\s+){2}")
 _BARE = regex.compile(r"^\s*(?:[-*•>]|\d{1,2}[.)]?)\s*$")
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
-FEATURES = 27
+FEATURES = 34
+WORDING = slice(1, 9)  # features read off the lists of declining wording
 
 
 def is_empty(text: str | None) -> bool:
@@ -76,6 +86,10 @@ def is_empty(text: str | None) -> bool:
     return text.strip().lower().rstrip(".!") in PLACEHOLDERS
 
 
+def is_correct(feedback: str | None) -> bool:
+    return bool(feedback) and feedback.strip().lower() == "correct"
+
+
 def clauses(text: str) -> list[str]:
     out: list[str] = []
     for m in _CLAUSE.finditer(text):
@@ -120,9 +134,25 @@ class Endings:
     """Which words end sentences, by their last one, two and three words: ``table`` holds (ends, goes on) by key, and a
     word's count under ``word_key``; all counts of the texts learned, or those looked up for the pairs at hand."""
 
-    def __init__(self, frequent: set[str] | frozenset[str] = frozenset()):
+    def __init__(self, frequent: set[str] | frozenset[str] = frozenset(), marks: dict[str, tuple[int, int]] | None = None):
         self.frequent = frequent
         self.table: dict[int, tuple[int, int]] = {}
+        self.marks = marks or {}  # of the known words: times in answers marked as correct, and in the others
+        self.marked = tuple(max(sum(m[k] for m in self.marks.values()), 1) for k in (0, 1))
+
+    def strangeness(self, words: list[str], less: int = 0) -> tuple[float, float]:
+        """Share of the words that correct answers don't use, and by how much the words speak for the other answers (log)."""
+        own = [w.lower() for i, w in enumerate(words) if not any(map(str.isdigit, w)) and (not i or w[0].islower() or w.lower() in self.frequent)]
+        if not own or not self.marks:
+            return 0.0, 0.0
+        good, bad = self.marked
+        strange, speaks = 0, 0.0
+        for w in own:
+            g, b = self.marks.get(w, (0, 0))
+            g = max(g - less, 0)
+            strange += g < max(3, FAMILIAR * good)
+            speaks += math.log((b + 2 * bad / (good + bad)) / (g + 2 * good / (good + bad)) * good / bad)
+        return strange / len(own), speaks / len(own)
 
     def mask(self, words: list[str]) -> list[str]:
         out = []
@@ -159,7 +189,7 @@ class Endings:
 
     def learn(self, texts: list[str]) -> None:
         words = _answer_words(texts)
-        self.frequent = {w for w, n in words.items() if n >= FREQUENT}
+        self.frequent = {w for w, n in words.items() if n >= max(FREQUENT, FREQUENT_SHARE * words.total())}
         self.table = {k: (e, g) for k, e, g in zip(*(c.tolist() for c in self.count(texts)))} | {word_key(w): (0, n) for w, n in words.items()}
 
     def keys(self, part: str) -> list[int]:
@@ -261,6 +291,10 @@ class Judge:
             row[0] = 1
             row[1:9] = speaker, unable, reply, regret, closer, unable and reply, speaker and unable and reply, regret and unable
             row[9:14] = run >= 0.9, run >= 0.9 and echo_all, echo_all and rest <= 6, run < 0.5, bool(LEAD.match(part)) and run >= 0.9
+            strange, speaks = self.endings.strangeness(_words(part), less)
+            apart = not any(len(w) > 3 and w in known for w in own)  # nothing of the question's in it
+            if total_margin <= 6 or margin[i] <= 0:  # another language has its own words for everything
+                row[27:33] = strange >= 0.3, strange >= 0.6, apart and strange >= 0.3, apart and strange >= 0.6, speaks >= 0.5, apart and speaks >= 0.5
             row[14:18] = margin[i] > 3, margin[i] > 10, total_margin > 6 and margin[i] > 0, total_margin > 20 and margin[i] > 0
             if i + 1 == len(parts) and not own:
                 row[18] = row[26] = 1
@@ -271,6 +305,7 @@ class Judge:
                 if not stop:
                     masked = self.endings.mask(_words(_MARKER.sub("", part)))
                     one, three = self.endings.chance(masked, less)
+                    row[33] = bool(_MARKER.match(part)) and not _BARE.match(part)  # items of a list carry no stop
                     row[20] = part[-1] in ",;:(-–&/"
                     row[21] = three < 0.004 or one < 0.001
                     row[22] = 0.004 <= three < 0.015
@@ -434,15 +469,18 @@ def _train(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150) ->
     return w, t
 
 
-def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]], frequent: set[str] | None = None, look_up: Callable[[set[int]], dict[int, tuple[int, int]]] | None = None) -> Judge:
+def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]], frequent: set[str] | None = None, look_up: Callable[[set[int]], dict[int, tuple[int, int]]] | None = None, marks: dict[str, tuple[int, int]] | None = None) -> Judge:
     """The judge from the language models and sampled ``(question, answer, feedback)`` rows.
 
-    ``look_up`` gives the counts of keys over the whole table, whose frequent words are ``frequent``; without it the
-    endings are counted on ``rows``.
+    ``look_up`` gives the counts of keys over the whole table, whose frequent words are ``frequent``, with their numbers
+    by mark in ``marks``; without it the endings and marks are counted on ``rows``.
     """
     rng = random.Random(17)
     known = [(q, a, f) for q, a, f in rows if q and q.strip() and a and not is_empty(a)]
-    endings = Endings(frequent or frozenset())
+    if look_up is None:
+        good, bad = (_answer_words([a for _, a, f in known if is_correct(f) == right]) for right in (True, False))
+        marks = {w: (good[w], bad[w]) for w in good | bad}
+    endings = Endings(frequent or frozenset(), marks)
     if look_up is None:
         endings.learn([a for _, a, _ in known])
     judge = Judge(models, endings, np.zeros(len(models.names)))
@@ -457,7 +495,7 @@ def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]], fr
         asked = given = np.zeros(len(known), int)
     clean = [
         (q, a, int(k)) for (q, a, f), k, g in zip(known, asked, given)
-        if k == g and f and f.strip().lower() == "correct" and _STOP.search(a) and len(a) > 40 and not (UNABLE.search(a) and SPEAKER.search(a)) and _longest(_squeezed(q), _squeezed(a)) < 0.9 * len(_squeezed(q))
+        if k == g and is_correct(f) and (_STOP.search(a) or _ITEM.match(a.splitlines()[-1])) and len(a) > 40 and not (UNABLE.search(a) and SPEAKER.search(a)) and _longest(_squeezed(q), _squeezed(a)) < 0.9 * len(_squeezed(q))
     ]
     examples = _examples(clean, rng) + [(q, d, 0, REFUSAL) for q, _, _ in clean[:40] for d in (rng.choice(_DECLINES),)]
     if not examples:
@@ -473,6 +511,10 @@ def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]], fr
         if tag == UNFINISHED:
             y[-1] = UNFINISHED
         sequences.append((x, y))
+        if tag == REFUSAL and endings.marks and not x[:, 14:18].any():  # the same declined in words unknown here: what is left is their strangeness
+            blank = x.copy()
+            blank[:, WORDING] = 0
+            sequences.append((blank, y))
     if sum(bool(len(y)) and y[0] == FOREIGN for _, y in sequences) < 20:
         # a sample in one language has no foreign answers: show the field the margins that one would have
         for x, y in [s for s in sequences if s[1][0] == ANSWER and s[1][-1] == ANSWER][:60]:
@@ -492,8 +534,11 @@ def _last_keys(endings: Endings, text: str) -> list[int]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = _answer_words([a for a in batch.column(0).to_pylist() if not is_empty(a)])
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([word_key(w) for w in words], pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "key", "n"])
+        texts, right = batch.column(0).to_pylist(), list(map(is_correct, batch.column(1).to_pylist()))
+        good, bad = (_answer_words([a for a, r in zip(texts, right) if r == kind and not is_empty(a)]) for kind in (True, False))
+        words = list(good | bad)
+        counts = [[c[w] for w in words] for c in (good, bad)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(map(word_key, words), pa.int64()), *(pa.array(c, pa.int64()) for c in counts)], names=["word", "key", "good", "bad"])
 
 
 def _count_runs(shared):
@@ -505,32 +550,41 @@ def _count_runs(shared):
     return run
 
 
-def ending_counts(pairs: DataFrame, question: str, answer: str) -> tuple[DataFrame, set[str]]:
-    """``(counts(key, ends, goes), frequent words)`` over every answer with a question that isn't blank.
+def ending_counts(pairs: DataFrame, question: str, answer: str, feedback: str) -> tuple[DataFrame, set[str], dict[str, tuple[int, int]]]:
+    """``(counts(key, ends, goes), frequent words, marks)`` over every answer with a question that isn't blank.
 
-    Counted in each batch first, then summed by key; blank answers and placeholders aren't counted.
+    ``marks`` holds the words seen ``KNOWN`` times with their numbers in answers marked as correct and in the others. Counted in each batch
+    first, then summed by key; blank answers and placeholders aren't counted.
     """
-    texts = pairs.where(F.col(question).rlike(r"(?U)\S") & F.col(answer).isNotNull()).select(F.col(answer).alias("a"))
-    words = cut(texts.mapInArrow(_count_words, "word string, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n")))
-    frequent = {r["word"] for r in words.where(F.col("n") >= FREQUENT).select("word").toLocalIterator()}
+    texts = pairs.where(F.col(question).rlike(r"(?U)\S") & F.col(answer).isNotNull()).select(F.col(answer).alias("a"), F.col(feedback).alias("f"))
+    words = cut(texts.mapInArrow(_count_words, "word string, key long, good long, bad long").groupBy("word", "key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    total = words.agg(F.coalesce(F.sum(F.col("good") + F.col("bad")), F.lit(0))).first()[0]
+    known = words.where(F.col("good") + F.col("bad") >= max(KNOWN, FREQUENT_SHARE * total))
+    marks = {r["word"]: (r["good"], r["bad"]) for r in known.select("word", "good", "bad").collect()}  # at most 1 / FREQUENT_SHARE
+    frequent = {w for w, n in marks.items() if sum(n) >= FREQUENT}
     runs = texts.mapInArrow(_count_runs(pairs.sparkSession.sparkContext.broadcast(frequent)), "key long, ends long, goes long")
     runs = runs.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
-    return cut(runs.unionByName(words.select("key", F.lit(0).cast("long").alias("ends"), F.col("n").alias("goes")))), frequent
+    return cut(runs.unionByName(words.select("key", F.lit(0).cast("long").alias("ends"), (F.col("good") + F.col("bad")).alias("goes")))), frequent, marks
+
+
+def sampled_rows(pairs: DataFrame, id_col: str, question: str, answer: str, feedback: str) -> list[tuple[str, str, str | None]]:
+    """The ``SAMPLE`` answered rows of the lowest hashes; a threshold set from their number keeps the rest where they are read."""
+    both = pairs.where(F.col(answer).isNotNull() & F.col(question).isNotNull())
+    share = min(OVERDRAWN * SAMPLE / max(both.count(), 1), 1.0)
+    drawn = both.where(below(F.col(id_col), share)).select(F.pmod(F.xxhash64(id_col), F.lit(HASHES)).alias("h"), F.col(id_col).cast("string").alias("i"), question, answer, feedback)
+    return [tuple(r)[2:] for r in sorted(drawn.collect(), key=lambda r: (r[0], r[1] or "", r[2], r[3]))[:SAMPLE]]
 
 
 def sampled_judge(pairs: DataFrame, models: Models, id_col: str, question: str, answer: str, feedback: str) -> Judge:
     """The judge fitted on ``SAMPLE`` rows of ``pairs`` in hash order, with the endings of all its answers."""
-    rows = (
-        pairs.where(F.col(answer).isNotNull() & F.col(question).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
-        .select(question, answer, feedback).collect()
-    )
-    counts, frequent = ending_counts(pairs, question, answer)
+    rows = sampled_rows(pairs, id_col, question, answer, feedback)
+    counts, frequent, marks = ending_counts(pairs, question, answer, feedback)
 
     def look_up(keys: set[int]) -> dict[int, tuple[int, int]]:
         wanted = pairs.sparkSession.createDataFrame([(k,) for k in keys], "key long")  # bounded by the sample
         return {r["key"]: (r["ends"], r["goes"]) for r in counts.join(F.broadcast(wanted), "key").collect()}
 
-    judge = fit_judge(models, [tuple(r) for r in rows], frequent, look_up)
+    judge = fit_judge(models, rows, frequent, look_up, marks)
     judge.endings.table, judge.counts = {}, counts
     return judge
 

@@ -143,13 +143,38 @@ def test_endings_are_counted_over_all_answers(spark, models, pairs, monkeypatch)
     df = spark.createDataFrame(rows, "id long, question string, answer string, feedback string")
     whole = Endings()
     whole.learn([a for _, q, a, _ in rows if q.strip() and a and not is_empty(a)])
-    counts, frequent = ending_counts(df, "question", "answer")
-    assert frequent == whole.frequent and {r.key: (r.ends, r.goes) for r in counts.collect()} == whole.table
+    counts, frequent, marks = ending_counts(df, "question", "answer", "feedback")
+    assert frequent == whole.frequent <= set(marks) and all(good >= 3 and not bad for good, bad in marks.values()) and {r.key: (r.ends, r.goes) for r in counts.collect()} == whole.table
     judge = sampled_judge(df, models, "id", "question", "answer", "feedback")
     got = {r.id: r.defect for r in pair_defects(df, judge, "id", "question", "answer").collect()}
     assert not {i for i in got if 1000 <= i < 3000}
 
 
+def test_refusals_in_wording_unknown_to_the_module(spark, models, pairs):
+    asked = "What does the office of Marlo do after 9 days with my case?"
+    declined = [
+        "That falls outside my remit, so you would have to look elsewhere.", "My guidelines prevent me from going into that.",
+        "I would prefer to leave that to a lawyer.", "No comment.", "Let's talk about something else instead.",
+    ]
+    given = ["The office of Marlo keeps the file for 12 days after the last visit.", "A fee of 7 crowns is due when the form of Marlo is lodged, as I know.", "12 days."]
+    wrong = [(5000 + i, asked, "I am not able to say anything on this matter.", "Incorrect") for i in range(20)]
+    table = spark.createDataFrame([*pairs, *wrong, *((6000 + i, asked, a, None) for i, a in enumerate(declined + given))], "id long, question string, answer string, feedback string")
+    judge = sampled_judge(table, models, "id", "question", "answer", "feedback")
+    got = {r.id: r.defect for r in pair_defects(table, judge, "id", "question", "answer").collect() if r.id >= 6000}
+    assert [got.get(6000 + i) for i in range(8)] == ["refusal"] * 5 + [None] * 3
+
+
+def test_samples_are_the_lowest_hashes(spark, pairs, monkeypatch):
+    """The sample is bounded, whole where the table is small, and the same however the table is cut."""
+    monkeypatch.setattr(defects, "SAMPLE", 60)
+    df = spark.createDataFrame(pairs, "id long, question string, answer string, feedback string")
+    one, two = (defects.sampled_rows(x, "id", "question", "answer", "feedback") for x in (df.coalesce(1), df.repartition(7)))
+    assert one == two and len(one) <= 60 and len(one) >= 45
+    monkeypatch.setattr(defects, "SAMPLE", 5000)
+    assert len(defects.sampled_rows(df, "id", "question", "answer", "feedback")) == len(pairs)
+    assert defects.sampled_rows(df.limit(0), "id", "question", "answer", "feedback") == []
+
+
 def test_clauses_and_placeholders():
     assert clauses("One. Two?\n- three\n2. four") == ["One.", "Two?", "- three", "2. four"]
     assert is_empty(" N/A. ") and is_empty(None) and is_empty(" ") and not is_empty("27 days.")
