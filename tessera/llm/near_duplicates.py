@@ -4,10 +4,12 @@ Plan
 ----
 1. One Arrow pass turns each text into a fingerprint set (64-bit hashes of its distinct word triples), of which it
    keeps the *segment-popcount embedding* (the hash space is cut into ``SEGMENTS`` segments; the vector holds how many
-   fingerprints fall into each) and ``BANDS`` band keys of ``ROWS`` min-hashes each. The rows are persisted.
+   fingerprints fall into each) and band keys of several min-hashes each (``banding``). The rows are persisted.
 2. Band keys travel as packed blobs (one row per input batch and target partition), each entry with the four coarse
    popcounts of its text. Inside a band key's bucket, texts lie on a grid of total popcount; only neighbours whose
-   coarse Manhattan distance is within the bound become candidates (range join on the grid).
+   coarse Manhattan distance is within the bound become candidates (range join on the grid). Band keys that hold too
+   much for a task are found by exact coarse counts before anything is gathered; their entries are cut into blocks by
+   a hash of the text, and each two blocks meet in a task of their own.
 3. Candidates meet the full popcount vectors: for sets A and B the Manhattan distance of the vectors is at most
    |A symmetric-difference B|, and similarity t allows at most (1-t)/(1+t) (|A|+|B|) of that, so a larger distance
    rejects the pair exactly.
@@ -15,7 +17,8 @@ Plan
 
 The popcounts alone cannot select at a similarity as low as 0.6 (two unrelated texts of like length are within the
 bound in every grid of few dimensions), hence the band keys in front of them: a pair at similarity s shares a bucket
-with probability 1-(1-s**ROWS)**BANDS, i.e. 0.994 at 0.60, 0.9996 at 0.65 and 0.99999 at 0.70.
+with probability 1-(1-s**rows)**bands. ``banding`` takes the longest keys that reach ``RECALL`` at the threshold within
+``MOST_BANDS``: at 0.6 64 bands of 5, i.e. 0.994 at 0.60, 0.9996 at 0.65 and 0.99999 at 0.70; at 0.8 57 bands of 11.
 
 Equal texts are one node throughout (identified by a 64-bit hash of the text), so a group of copies, however large,
 is compared once.
@@ -27,6 +30,7 @@ the shared folder; no node's neighbours are gathered and nothing but two numbers
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +43,33 @@ from pyspark.sql import functions as F
 from ..session import cut, width
 from .textcodes import distinct_per_text, mix, ngram_hashes, word_hashes
 
-BANDS, ROWS, SEGMENTS, COARSE = 64, 5, 64, 4
-EXPANDED_COPIES = 64
+SEGMENTS, COARSE = 64, 4
+RECALL, MOST_BANDS = 0.994, 64  # of pairs just at the threshold; band keys a text has
+EXPANDED_COPIES = 64  # default of the parameter ``expand``
 BATCH = 2048
 SLICE = 1 << 20
 ENTRIES = 1_500_000  # of band keys in a task of the grid join, 17 bytes each
 LARGE_BUCKET = 8192  # texts in a band key's bucket from which its blocks go to other tasks
 BLOCK = 2048
+COUNTERS = 1 << 16  # coarse counters of band keys
+HOT = 65_536  # entries, and HOT_SHARE of a counter's mean, from which a counter's keys are cut into blocks
+HOT_SHARE = 4
+HOT_BLOCK = 4096  # entries of a block of such a key
+REMEMBERED = 200_000  # texts a task remembers, so that a text on many rows is embedded once
 _ENTRY = np.dtype([("sig", "<u4"), ("node", "<i8"), ("seg", "u1", (COARSE,))])
 
 
-def _multipliers() -> np.ndarray:
-    x = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def banding(threshold: float, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
+    """``(bands, rows)``: the most min-hashes a key with which ``most`` bands miss at most ``1 - recall`` of the pairs at the threshold."""
+    if threshold >= 1:
+        return 1, 1
+    need = lambda rows: math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+    rows = max((r for r in range(1, 17) if need(r) <= most), default=1)
+    return need(rows), rows
+
+
+def _multipliers(n: int) -> np.ndarray:
+    x = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -66,14 +85,22 @@ def popcounts(x: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=texts * SEGMENTS), 255).astype(np.uint8).reshape(texts, SEGMENTS)
 
 
-def _embed(shingle: int):
+def _embed(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _multipliers()
+        a = _multipliers(bands * rows)
+        seen: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
                 node = part.column(0).to_numpy(zero_copy_only=False)
                 node, first = np.unique(node, return_index=True)
+                if seen:
+                    fresh = np.fromiter((x not in seen for x in node.tolist()), bool, len(node))
+                    node, first = node[fresh], first[fresh]
+                if len(seen) < REMEMBERED:
+                    seen.update(node.tolist())
+                if not len(node):
+                    continue
                 texts = part.column(1).take(pa.array(first)).to_pylist()
                 x, of, n = fingerprint(texts, shingle)
                 has = np.flatnonzero(n)
@@ -81,10 +108,10 @@ def _embed(shingle: int):
                     continue
                 start = np.concatenate(([0], np.cumsum(n[has])[:-1]))
                 short = (x >> np.uint64(13)).astype(np.uint32)
-                sig = np.empty((len(has), BANDS), np.uint32)
-                for band in range(BANDS):
+                sig = np.empty((len(has), bands), np.uint32)
+                for band in range(bands):
                     h = np.full(len(has), band + 1, np.uint64)
-                    for j in range(band * ROWS, band * ROWS + ROWS):
+                    for j in range(band * rows, band * rows + rows):
                         h = mix(h + np.minimum.reduceat((short ^ a[j - 1]) * a[j], start))
                     sig[:, band] = (h >> np.uint64(32)).astype(np.uint32)
                 vec = popcounts(x, of, len(texts))[has]
@@ -101,7 +128,48 @@ def _embed(shingle: int):
     return run
 
 
-def _scatter(parts: int):
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The hash of each band key ``[text, band]``: it depends on the band and the key, so one band spreads over all partitions."""
+    return mix(sig.astype(np.uint64) + np.arange(sig.shape[1], dtype=np.uint64)[None, :] * np.uint64(1 << 32))
+
+
+def _signatures(column: pa.Array, bands: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, bands)
+
+
+def _count_keys(bands: int):
+    """Entries of each coarse counter of band keys, one row per counter used in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                counts += np.bincount((_keys(_signatures(batch.column(0), bands)) >> np.uint64(48)).astype(np.int64).ravel(), minlength=COUNTERS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["counter", "n"])
+
+    return run
+
+
+def _spread(entry: np.ndarray, key: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries, bands and keys with those of counters of several blocks once for each pair of blocks of theirs."""
+    band = np.broadcast_to(np.arange(entry.shape[1], dtype=np.uint8), entry.shape)
+    parts = blocks[(key >> np.uint64(48)).astype(np.int64)]
+    cold = parts == 1
+    out = [(entry[cold], band[cold], key[cold])]
+    for i, j in zip(*np.nonzero(~cold)):
+        r = int(parts[i, j])
+        own = int(mix(entry["node"][i, j].view(np.uint64) + np.uint64(77)) % np.uint64(r))
+        other = np.arange(r, dtype=np.uint64)
+        pair = np.minimum(own, other) * np.uint64(r) + np.maximum(own, other)
+        salted = mix(key[i, j] + mix(pair + np.uint64(1)))
+        copies = np.repeat(entry[i, j], r)
+        copies["sig"] = (salted >> np.uint64(16)).astype(np.uint32)  # its own bucket in the grid join
+        out.append((copies, np.full(r, j, np.uint8), salted))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _scatter(parts: int, bands: int, blocks: np.ndarray | None = None):
     """Embedded rows -> blobs of entries, one per batch and target partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +179,15 @@ def _scatter(parts: int):
             node = batch.column(0).to_numpy(zero_copy_only=False)
             vec = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, COARSE, SEGMENTS // COARSE)
             seg = np.minimum(vec.sum(axis=2, dtype=np.int64) // 2, 255).astype(np.uint8)
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BANDS)
-            entry = np.empty((len(node), BANDS), _ENTRY)
+            sig = _signatures(batch.column(2), bands)
+            entry = np.empty((len(node), bands), _ENTRY)
             entry["sig"], entry["node"], entry["seg"] = sig, node[:, None], seg[:, None, :]
-            # a band key's partition depends on the band and the key, so one band spreads over all partitions
-            where = mix(sig.astype(np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(1 << 32)) % np.uint64(parts)
-            flat, where = entry.ravel(), where.astype(np.int64).ravel()
-            band = np.tile(np.arange(BANDS, dtype=np.uint8), len(node))
+            key = _keys(sig)
+            if blocks is None:
+                flat, key, band = entry.ravel(), key.ravel(), np.tile(np.arange(bands, dtype=np.uint8), len(node))
+            else:
+                flat, band, key = _spread(entry, key, blocks)
+            where = (key % np.uint64(parts)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             flat, band, where = flat[order], band[order], where[order]
             cuts = np.searchsorted(where, np.arange(parts + 1))
@@ -290,18 +360,20 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, *, shingle
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
+    bands, rows = banding(threshold)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     texts = texts.withColumn("node", F.xxhash64("text"))
     embedded = (
         texts.select("node", "text")
-        .mapInArrow(_embed(shingle), "node long, n int, vec binary, sig binary")
+        .mapInArrow(_embed(shingle, bands, rows), "node long, n int, vec binary, sig binary")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    # the count fills the cache; a task of the grid join gets about ENTRIES entries whatever the table's size
-    parts = max(width(spark), -(-embedded.count() * BANDS // ENTRIES))
+    # the counts fill the cache; a task of the grid join gets about ENTRIES entries whatever the table's size
+    blocks, entries = _hot_blocks(embedded, bands)
+    parts = max(width(spark), -(-entries // ENTRIES))
     pairs = (
         embedded.select("node", "vec", "sig")
-        .mapInArrow(_scatter(parts), "part int, blob binary")
+        .mapInArrow(_scatter(parts, bands, blocks), "part int, blob binary")
         .repartitionById(parts, "part")
         .mapInArrow(_grid_join(threshold), "node_a long, node_b long, left binary, right binary")
         .repartition(parts, "node_a", "node_b")
@@ -329,6 +401,23 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str, *, shingle
     return links, members
 
 
+def _hot_blocks(embedded: DataFrame, bands: int) -> tuple[np.ndarray | None, int]:
+    """The blocks the keys of each coarse counter are cut into (None if each is one), and the entries this makes.
+
+    A counter is hot if it holds ``HOT`` entries and ``HOT_SHARE`` times the mean, so that one of its keys does.
+    """
+    counts = embedded.select("sig").mapInArrow(_count_keys(bands), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    need = max(HOT, HOT_SHARE * total / COUNTERS)
+    hot = counts.where(F.col("n") >= need).collect() if total >= need else []  # at most COUNTERS / HOT_SHARE
+    if not hot:
+        return None, total
+    blocks = np.ones(COUNTERS, np.int64)
+    for r in hot:
+        blocks[r["counter"]] = -(-r["n"] // HOT_BLOCK)
+    return blocks, total + sum(r["n"] * int(blocks[r["counter"]] - 1) for r in hot)
+
+
 def _enough(text: str, shingle: int) -> Column:
     """Whether a text has at least ``shingle`` words."""
     return F.col(text).rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (shingle - 1))
@@ -342,11 +431,13 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids
 
 
-def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, expand: int | None = EXPANDED_COPIES) -> DataFrame:
     """Pairs of rows ``(<id>_a, <id>_b)``, a < b, of similar or equal texts.
 
-    A group of more than ``EXPANDED_COPIES`` equal texts is not expanded: its rows are paired with the group's
-    smallest id only, and other texts with that id only, so that the links stay whole but linear in the rows.
+    A group of more than ``expand`` equal texts is not expanded: its rows are paired with the group's smallest id only,
+    and other texts with that id only, so that the links stay whole but linear in the rows. With ``None`` every group is
+    expanded into all its pairs, whose number is the square of its rows. ``near_duplicate_links`` has one form, links
+    between texts and the rows of each text, at every size; ``near_duplicate_groups`` counts every link of every row.
     """
     links, members = near_duplicate_links(docs, id_col, text_col, shingle=shingle, threshold=threshold)
     a, b = f"{id_col}_a", f"{id_col}_b"
@@ -355,7 +446,7 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, shingle
     linked = links.select(F.explode(F.array("node_a", "node_b")).alias("node"))
     used = members.join(linked.unionByName(many.select("node")).distinct(), "node", "left_semi")
     used = cut(used.join(many, "node", "left"))
-    large = F.coalesce(F.col("copies"), F.lit(1)) > EXPANDED_COPIES
+    large = F.lit(False) if expand is None else F.coalesce(F.col("copies"), F.lit(1)) > expand
     shown = used.where(~large | (F.col(id_col) == F.col("head"))).select("node", id_col)
     across = (
         links.join(shown.select(F.col("node").alias("node_a"), F.col(id_col).alias("x")), "node_a")

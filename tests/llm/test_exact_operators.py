@@ -10,7 +10,7 @@ from tessera.llm.byte_bpe import DEFAULT_VOCABULARY, Encoder, token_counts, toke
 from tessera.llm.format_duplicates import canonical, collapsed, duplicate_rows, same_record
 from tessera.llm.heavy_hitters import frequent_values
 from tessera.llm.mixing import fill, mix, pfair
-from tessera.llm.near_duplicates import EXPANDED_COPIES, components, near_duplicate_groups, near_duplicate_pairs
+from tessera.llm.near_duplicates import EXPANDED_COPIES, banding, components, near_duplicate_groups, near_duplicate_pairs
 from tessera.llm.pieces import oversized_pieces
 from tessera.llm.repeated_lines import repeated_lines, without_lines
 
@@ -70,8 +70,8 @@ def test_oversized_buckets_are_compared_in_blocks(edited, monkeypatch):
 
     texts = [(i, x) for i, x in edited if x and len(x.split()) > 2]
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([x for _, x in texts])], names=["node", "text"])
-    rows = next(nd._embed(3)(iter([batch])))
-    blobs = next(nd._scatter(1)(iter([rows.select(["node", "vec", "sig"])])))
+    rows = next(nd._embed(3, *nd.banding(0.6))(iter([batch])))
+    blobs = next(nd._scatter(1, nd.banding(0.6)[0])(iter([rows.select(["node", "vec", "sig"])])))
 
     def pairs():
         out = [b for x in nd._grid_join(0.6)(iter([blobs])) for b in nd._compare_blocks(0.6)(iter([x]))]
@@ -90,6 +90,41 @@ def test_large_group_of_copies_is_a_star(spark):
     assert got == {(0, i) for i in range(1, copies)} | {(0, 999)}
 
 
+def test_every_pair_of_a_thousand_copies_on_demand(spark):
+    rows = [(i, "one two three four five six") for i in range(1000)] + [(5000, "one two three four five six seven")]
+    df = frame(spark, rows, "id long, text string")
+    got = near_duplicate_pairs(df, "id", "text", shingle=3, threshold=0.6, expand=None)
+    assert got.count() == got.distinct().count() == 1001 * 1000 // 2
+    linear = near_duplicate_pairs(df, "id", "text", shingle=3, threshold=0.6)
+    assert linear.count() == 1000
+    groups = near_duplicate_groups(df, "id", "text", shingle=3, threshold=0.6).collect()
+    assert len(groups) == 1001 and {(r.class_id, r.links) for r in groups} == {(0, 1000)}
+
+
+def test_hot_band_keys_are_cut_into_blocks(spark, edited, monkeypatch):
+    """With every counter hot, each two blocks of a key meet in a bucket of their own and no pair is lost."""
+    from tessera.llm import near_duplicates as nd
+
+    texts = [(i, x) for i, x in edited if x is not None]
+    texts += [(9000 + i, "a b c d e f g h i j k l m n o p q r s t " + x) for i, x in enumerate("uvwxyzäöü")]  # alike to one another
+    df = frame(spark, texts, "id long, text string")
+    whole = {tuple(r) for r in near_duplicate_pairs(df, "id", "text", shingle=3, threshold=0.6).collect()}
+    monkeypatch.setattr(nd, "HOT", 2)
+    monkeypatch.setattr(nd, "HOT_SHARE", 0)
+    monkeypatch.setattr(nd, "HOT_BLOCK", 2)
+    embedded = df.select(df.id.alias("node"), "text").mapInArrow(nd._embed(3, *banding(0.6)), "node long, n int, vec binary, sig binary")
+    blocks, entries = nd._hot_blocks(embedded, banding(0.6)[0])
+    assert blocks.max() >= 5 and entries > embedded.count() * banding(0.6)[0]
+    assert {tuple(r) for r in near_duplicate_pairs(df, "id", "text", shingle=3, threshold=0.6).collect()} == whole
+
+
+def test_banding_follows_the_threshold():
+    assert banding(0.6) == (64, 5) and banding(0.8) == (57, 11) and banding(1.0) == (1, 1)
+    for t in (0.1, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9):
+        bands, rows = banding(t)
+        assert 1 - (1 - t**rows) ** bands >= 0.994
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = frame(spark, [], "id long, text string")
     assert near_duplicate_pairs(empty, "id", "text").count() == 0
