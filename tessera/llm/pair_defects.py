@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .language_id import HASHES, Detector, Models, below, words_of
+from .language_id import HASHES, REMEMBERED, Detector, Models, below, words_of
 from .textcodes import mix
 
 SAMPLE = 5000  # rows the field is fitted on
@@ -63,6 +63,17 @@ CLOSER = regex.compile(
     r"(?i)^(?:please (?:contact|consult|ask|see|refer|try)|is there anything else|try asking|i apologi[sz]e for|can i help|anything else|bitte wenden|kann ich sonst|veuillez|puis-je|por favor|hay algo)"
 )
 LEAD = regex.compile(r"(?i)^(?:you asked|your question|the question(?: is| was)?|question|answer|q|a|frage|antwort|sie fragten|votre question|vous avez demandé|réponse|su pregunta|usted preguntó|respuesta|pregunta)\s*:?\s*")
+# of each pattern above, words of which what it matches must hold one; at the line's begin, the first one
+_ANYWHERE = (
+    (SPEAKER, frozenset("i me my we as ich mir wir je nous puedo podemos dispongo tengo yo ik io posso eu".split())),
+    (UNABLE, frozenset("can cannot unable not could couldn won will decline rather outside beyond don do no says nicht keine kann darf ne pas non não kan".split())),
+    (REPLY, frozenset("answer respond reply help assist advice address discuss comment verify guess information question request topic matter auskunft beantworten helfen frage aider répondre sujet responder ayudar pregunta contestar rispondere aiutare ajudar".split())),
+)
+_AT_BEGIN = (
+    (REGRET, frozenset("i sorry unfortunately regrettably apologies leider tut désolé désolée malheureusement lo lamentablemente mi helaas".split())),
+    (CLOSER, frozenset("please is try i can anything bitte kann veuillez puis por hay".split())),
+)
+_LEADING = frozenset("you your the question answer q a frage antwort sie votre vous réponse su usted respuesta pregunta".split())
 
 _CLAUSE = regex.compile(r"[^\n.!?。！？]*(?:[.!?](?=\S)(?![\"'”’)\]]*\s)[^\n.!?。！？]*)*(?:[.!?。！？]+[\"'”’)\]]*|$|\n)")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’.,–-][\p{L}\p{N}]+)*")
@@ -139,20 +150,37 @@ class Endings:
         self.table: dict[int, tuple[int, int]] = {}
         self.marks = marks or {}  # of the known words: times in answers marked as correct, and in the others
         self.marked = tuple(max(sum(m[k] for m in self.marks.values()), 1) for k in (0, 1))
+        self.kinds = {w: self._kind(*m) for w, m in self.marks.items()}
+        self.unknown = self._kind(0, 0)
+        self.facts: dict[str, tuple[int, bool, float, str]] = {}
+
+    def _kind(self, good: int, bad: int) -> tuple[bool, float]:
+        """Whether correct answers don't use a word, and by how much it speaks for the others (log)."""
+        g, b = self.marked
+        return good < max(3, FAMILIAR * g), math.log((bad + 2 * b / (g + b)) / (good + 2 * g / (g + b)) * g / b)
 
     def strangeness(self, words: list[str], less: int = 0) -> tuple[float, float]:
         """Share of the words that correct answers don't use, and by how much the words speak for the other answers (log)."""
-        own = [w.lower() for i, w in enumerate(words) if not any(map(str.isdigit, w)) and (not i or w[0].islower() or w.lower() in self.frequent)]
-        if not own or not self.marks:
+        if not self.marks:
+            return 0.0, 0.0
+        own = [self.facts.get(w) or self._fact(w) for w in words]
+        own = [f for i, f in enumerate(own) if f[0] == 1 or f[0] == 2 and not i]
+        if not own:
             return 0.0, 0.0
-        good, bad = self.marked
-        strange, speaks = 0, 0.0
-        for w in own:
-            g, b = self.marks.get(w, (0, 0))
-            g = max(g - less, 0)
-            strange += g < max(3, FAMILIAR * good)
-            speaks += math.log((b + 2 * bad / (good + bad)) / (g + 2 * good / (good + bad)) * good / bad)
-        return strange / len(own), speaks / len(own)
+        if less:
+            counts = [self.marks.get(f[3], (0, 0)) for f in own]
+            kinds = [self._kind(max(good - less, 0), bad) for good, bad in counts]
+            return sum(k[0] for k in kinds) / len(own), sum(k[1] for k in kinds) / len(own)
+        return sum(f[1] for f in own) / len(own), sum(f[2] for f in own) / len(own)
+
+    def _fact(self, word: str) -> tuple[int, bool, float, str]:
+        """0 for a number, 2 for what may be a name, else 1; with the word's kind and its lower case."""
+        low = word.lower()
+        form = 0 if any(map(str.isdigit, word)) else 1 if word[0].islower() or low in self.frequent else 2
+        if len(self.facts) > REMEMBERED:
+            self.facts.clear()
+        fact = self.facts[word] = (form, *self.kinds.get(low, self.unknown), low)
+        return fact
 
     def mask(self, words: list[str]) -> list[str]:
         out = []
@@ -277,20 +305,25 @@ class Judge:
         q = _squeezed(question)
         x = np.zeros((len(parts), FEATURES))
         known = set(q)
-        answer = _squeezed(LEAD.sub("", " ".join(parts)))
+        squeezed = [_squeezed(part) for part in parts]
+        # most clauses lack the first words of the lists' wording, and the lists are looked up for the rest only
+        led = [bool(w) and w[0] in _LEADING and bool(LEAD.match(part)) for w, part in zip(squeezed, parts)]
+        bare = [_squeezed(LEAD.sub("", part)) if lead else w for w, part, lead in zip(squeezed, parts, led)]
+        answer = [w for k, own in enumerate(squeezed) for w in (own if k else bare[0])]
         held = set(answer)
         # a run can't be longer than the number of common words, so most clauses need no comparison
         echo_all = len(answer) > 0 and bool(q) and sum(w in held for w in q) >= 0.9 * len(q) and _longest(q, answer) >= 0.9 * len(q)
         rest = len(answer) - (len(q) * (1 + (len(answer) >= 2 * len(q))) if echo_all else 0)
         for i, part in enumerate(parts):
-            own = _squeezed(LEAD.sub("", part))
+            own = bare[i]
             run = _longest(own, q) / len(own) if own and sum(w in known for w in own) >= 0.5 * len(own) else 0.0
-            speaker, unable, reply = bool(SPEAKER.search(part)), bool(UNABLE.search(part)), bool(REPLY.search(part))
-            regret, closer = bool(REGRET.search(part)), bool(CLOSER.search(part))
+            own_words = set(squeezed[i])
+            speaker, unable, reply = (not own_words.isdisjoint(first) and bool(pattern.search(part)) for pattern, first in _ANYWHERE)
+            regret, closer = (bool(own) and squeezed[i][0] in first and bool(pattern.search(part)) for pattern, first in _AT_BEGIN)
             row = x[i]
             row[0] = 1
             row[1:9] = speaker, unable, reply, regret, closer, unable and reply, speaker and unable and reply, regret and unable
-            row[9:14] = run >= 0.9, run >= 0.9 and echo_all, echo_all and rest <= 6, run < 0.5, bool(LEAD.match(part)) and run >= 0.9
+            row[9:14] = run >= 0.9, run >= 0.9 and echo_all, echo_all and rest <= 6, run < 0.5, led[i] and run >= 0.9
             strange, speaks = self.endings.strangeness(_words(part), less)
             apart = not any(len(w) > 3 and w in known for w in own)  # nothing of the question's in it
             if total_margin <= 6 or margin[i] <= 0:  # another language has its own words for everything
