@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 # white space as Unicode (and the four information separators) has it, in a form Java and RE2 both read
 SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]"
@@ -94,17 +95,23 @@ def unfenced(c: Column | str) -> Column:
 def analysis(c: Column | str) -> Column:
     """A model's verdict, as JSON or as a printed dictionary, fenced or not: struct(score int, reason string).
 
-    What is neither gives a null score and the stripped text as reason; null stays null.
+    A quoted whole number counts as the number. What is neither gives a null score and the stripped text as reason;
+    null stays null.
     """
-    none = F.expr("cast(null as int)")
+    fields = "hallucination_score string, reason string, __odd string"
+    options = {"columnNameOfCorruptRecord": "__odd", "allowBackslashEscapingAnyCharacter": "true"}
 
     def read(body: Column) -> Column:
-        score = F.nullif(F.regexp_extract(body, r"""["']hallucination_score["']\s*:\s*(-?\d+)""", 1), F.lit("")).try_cast("int")
+        # a printed dictionary with None, True or False isn't JSON and is read by its two keys
+        score = F.nullif(F.regexp_extract(body, r"""["']hallucination_score["']\s*:\s*["']?(-?\d+)""", 1), F.lit(""))
         quoted = F.nullif(F.regexp_extract(body, r"""["']reason["']\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""", 0), F.lit(""))
         inner = F.regexp_replace(quoted, r"""^["']reason["']\s*:\s*["']|["']$""", "")
-        reason = F.regexp_replace(inner, r"""\\(["'\\])""", "$1")
-        other = F.struct(none.alias("score"), strip(c).alias("reason"))
-        return F.when(body.startswith("{") & body.endswith("}"), F.struct(score.alias("score"), reason.alias("reason"))).otherwise(other)
+        printed = F.struct(score.alias("hallucination_score"), F.regexp_replace(inner, r"""\\(["'\\])""", "$1").alias("reason"))
+        json = F.from_json(body, fields, options)
+        both = F.when(json["__odd"].isNull(), F.struct(json["hallucination_score"].alias("hallucination_score"), json["reason"].alias("reason"))).otherwise(printed)
+        read = F.transform(F.array(both), lambda r: F.struct(F.trim(r["hallucination_score"]).try_cast("int").alias("score"), r["reason"].alias("reason")))[0]
+        other = F.struct(F.lit(None).cast("int").alias("score"), strip(c).alias("reason"))
+        return F.when(body.startswith("{") & body.endswith("}"), read).otherwise(other)
 
     # the unfenced text is bound once, by a one-element transform
     return F.when(col(c).isNotNull(), F.transform(F.array(unfenced(c)), read)[0])
@@ -122,11 +129,30 @@ def feedback_label(c: Column | str) -> Column:
 
 
 def finite(c: Column | str) -> Column:
-    """Null in place of NaN and the infinities."""
+    """Null in place of NaN and the infinities, in a number."""
     x = col(c)
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def finite_all(c: Column, kind: DataType) -> Column:
+    """The same in every double of a value of type ``kind``, however deep in arrays, structs and maps; map keys become text."""
+    if isinstance(kind, DoubleType | FloatType):
+        return finite(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: finite_all(x, kind.elementType))
+    if isinstance(kind, MapType):
+        values = F.transform_values(c, lambda _, v: finite_all(v, kind.valueType))
+        return F.transform_keys(values, lambda k, _: k.cast("string"))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*(finite_all(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return c
+
+
+def finite_row(df: DataFrame) -> DataFrame:
+    """``df`` with every column so cleaned, as JSON has no such numbers."""
+    return df.select(*(finite_all(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
+
+
 def denies(c: Column | str) -> Column:
     return F.coalesce(col(c).rlike(DENIAL), F.lit(False))
 
@@ -134,3 +160,13 @@ def denies(c: Column | str) -> Column:
 def context_block(title: Column, text: Column) -> Column:
     """One source as it stands in a prompt."""
     return F.concat(F.lit("Source: "), title, F.lit("\nText: "), text)
+
+
+def window_block(number: Column, title: Column, text: Column) -> Column:
+    """One numbered window as it stands in a prompt of local verification."""
+    return F.concat(F.lit("WINDOW "), number.cast("string"), F.lit(": (Source: "), title, F.lit(")\n"), text)
+
+
+def full_block(title: Column, text: Column) -> Column:
+    """One source as it stands in a prompt of global verification."""
+    return F.concat(F.lit("(Source: "), title, F.lit(")\n"), text)

@@ -37,6 +37,6 @@ def first_texts(chunks: DataFrame, by: str, order: list[str], text_col: str, *,
     return first.groupBy(by).agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["__t"]), "\n\n"), F.lit(chars)).alias("context"))
 
 
-def sample_rows(df: DataFrame, key: str, n: int = 5, seed: int = 42) -> DataFrame:
-    """``n`` rows, the same on every run: the lowest hashes of the seeded key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+def sample_rows(df: DataFrame, key: str, n: int = 5, seed: int = 42, *, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``n`` rows, the same on every run: the lowest digests of the seeded key, a distributed top-k; null keys come last, equal ones by ``ties``."""
+    return df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))).asc_nulls_last(), key, *ties).limit(n)

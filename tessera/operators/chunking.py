@@ -74,7 +74,13 @@ def chunk_key(url: Column | str, index: Column | str) -> Column:
     return F.sha2(F.concat_ws("#", col(url), col(index).cast("string")), 256)
 
 
-def first_per_source(df: DataFrame, source_col: str, order: list[str], limit: int = 300) -> DataFrame:
-    """The first ``limit`` rows of each source; the rank limit is pushed below the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(source_col).orderBy(*order))
-    return df.withColumn("__k", rank).where(F.col("__k") <= limit).drop("__k")
+def first_per_source(df: DataFrame, source_col: str, order: list[str], limit: int = 300, *, rank: str | None = None) -> DataFrame:
+    """The first ``limit`` rows of each source, with their place (from 1) as ``rank`` if named; the limit is pushed below the shuffle."""
+    place = F.row_number().over(Window.partitionBy(source_col).orderBy(*order))
+    rows = df.withColumn("__k", place).where(F.col("__k") <= limit)
+    return rows.withColumnRenamed("__k", rank) if rank else rows.drop("__k")
+
+
+def valid_chunks(df: DataFrame, id_col: str, text_col: str, *, min_chars: int = 50) -> DataFrame:
+    """The rows whose stripped text has over ``min_chars`` characters, with the id as text; null texts are left out."""
+    return df.where(F.length(strip(text_col)) > min_chars).withColumn(id_col, F.col(id_col).cast("string"))

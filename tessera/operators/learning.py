@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -44,10 +46,32 @@ def answer_features(df: DataFrame, *, score: Column, risk: Column, level: Column
     return rows.withColumns({k: c.cast("double") for k, c in out.items()}).drop("__c", "__sources")
 
 
+SPLIT_BUCKETS = 1 << 12
+
+
 def split_by_class(df: DataFrame, key: str, label: str, share: float = 0.25, seed: int = 42) -> DataFrame:
-    """``df`` with ``held_out``: the share of each class with the lowest seeded hashes; no shuffle of rows by class."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(label)), F.lit(10_000)) / 10_000
-    return df.withColumn("held_out", u < share)
+    """``df`` with ``held_out``: of each class exactly the rounded ``share`` of its rows, those of the lowest seeded hashes.
+
+    Two passes of counts find the hash at which a class is cut: first over coarse buckets of the hash, then within the
+    one bucket in question; the rows themselves aren't ranked. Rows of one key and class have one hash and stay
+    together, so repeated keys can move the cut by their number. Null labels are a class of their own.
+    """
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(label)), F.lit(1 << 52))
+    bucket = F.floor(h / F.lit((1 << 52) // SPLIT_BUCKETS))
+    rows = df.select(F.col(label).alias("l"), h.alias("h"), bucket.alias("b"))
+    counts: dict = {}
+    for r in rows.groupBy("l", "b").agg(F.count("*").alias("n")).orderBy("l", "b").collect():  # classes times buckets
+        counts.setdefault(r["l"], []).append((r["b"], r["n"]))
+    cutoff = F.lit(-1).cast("long")
+    for value, per in counts.items():
+        left = int(sum(n for _, n in per) * share + 0.5)
+        at = next((k for k, s in enumerate(accumulate(n for _, n in per)) if s >= left), 0)
+        left -= sum(n for _, n in per[:at])
+        same = F.col("l").eqNullSafe(F.lit(value))
+        edge = rows.where(same & (F.col("b") == per[at][0])).orderBy("h").limit(left).agg(F.max("h")).first()[0] if left > 0 else None
+        if edge is not None:
+            cutoff = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(edge)).otherwise(cutoff)
+    return df.withColumn("held_out", h <= cutoff)
 
 
 def quality_model(train: DataFrame, label: str, features: tuple[str, ...] = FEATURES, *, trees: bool = False, c: float = 1.0) -> PipelineModel:
@@ -112,13 +136,33 @@ def binary_metrics(scored: DataFrame, label: str, score: str, threshold: float =
     return m.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def cross_validated_auc(df: DataFrame, key: str, label: str, features: tuple[str, ...] = FEATURES, folds: int = 5, seed: int = 42) -> list[float]:
-    """AUC of each fold of a hash-stratified cross-validation."""
+def cross_validated_auc(df: DataFrame, key: str, label: str, features: tuple[str, ...] = FEATURES, folds: int = 5, seed: int = 42, **options) -> list[float]:
+    """AUC of each fold of a hash-stratified cross-validation; a fold of one class has none (None)."""
     rows = df.withColumn("__f", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(label)), F.lit(folds))).persist()
     out = []
     for k in range(folds):
-        model = quality_model(rows.where(F.col("__f") != k), label, features)
+        model = quality_model(rows.where(F.col("__f") != k), label, features, **options)
         value = auc(predict_quality(model, rows.where(F.col("__f") == k), features), label, "quality").first()[0]
         out.append(value)
     rows.unpersist()
     return out
+
+
+def training_report(df: DataFrame, key: str, label: str, features: tuple[str, ...] = FEATURES, *, path: str | None = None, seed: int = 42, **options) -> DataFrame:
+    """One row of metrics of the model fitted on three quarters of each class and judged on the rest.
+
+    ``(n, n_train, n_test, positive_rate, accuracy, majority, roc_auc, precision, recall, f1, tp, fp, fn, tn,
+    cv_auc_mean, cv_auc_std)``; the deviation is that of the folds themselves. With ``path`` a model of all rows is
+    saved there. ``options`` go to ``quality_model``.
+    """
+    rows = split_by_class(df, key, label, seed=seed).persist()
+    judged = predict_quality(quality_model(rows.where("NOT held_out"), label, features, **options), rows.where("held_out"), features)
+    folds = [x for x in cross_validated_auc(df, key, label, features, seed=seed, **options) if x is not None]
+    mean = sum(folds) / len(folds) if folds else None
+    deviation = (sum((x - mean) ** 2 for x in folds) / len(folds)) ** 0.5 if folds else None
+    sizes = rows.agg(F.count("*").alias("n_all"), F.count_if(~F.col("held_out")).alias("n_train"), F.avg(F.col(label)).alias("positive_rate"))
+    area = auc(judged, label, "quality").select(F.col("auc").alias("roc_auc"))
+    out = binary_metrics(judged, label, "quality").withColumnRenamed("n", "n_test").crossJoin(F.broadcast(area)).crossJoin(F.broadcast(sizes))  # one row each
+    if path:
+        quality_model(df, label, features, **options).write().overwrite().save(path)
+    return out.withColumnsRenamed({"n_all": "n"}).withColumns({"cv_auc_mean": F.lit(mean).cast("double"), "cv_auc_std": F.lit(deviation).cast("double")})

@@ -46,10 +46,9 @@ def sents(x: str) -> str:
     return f"coalesce(list_filter({parts}, lambda s: s <> ''), [])"
 
 
-def _common() -> str:
+def _scored() -> str:
+    """BM25 scores ``bs`` of ``docs`` for ``asked``."""
     return f"""
-    asked AS (SELECT feedback_id AS query_id, question AS q_text FROM feedback_log WHERE feedback_id % 100 = 0 AND question IS NOT NULL),
-    docs AS (SELECT doc_id, text FROM documents),
     qi AS (SELECT query_id, unnest({ident('q_text')}) AS term FROM asked),
     di AS (SELECT doc_id, unnest({ident('text')}) AS term FROM docs),
     rel AS (SELECT DISTINCT query_id, doc_id FROM qi JOIN di USING (term) WHERE regexp_matches(term, '[0-9]')),
@@ -61,7 +60,14 @@ def _common() -> str:
     bs AS (
       SELECT query_id, doc_id, sum(qtf * ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / an))) AS score
       FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL
-    ),
+    )"""
+
+
+def _common() -> str:
+    return f"""
+    asked AS (SELECT feedback_id AS query_id, question AS q_text FROM feedback_log WHERE feedback_id % 100 = 0 AND question IS NOT NULL),
+    docs AS (SELECT doc_id, text FROM documents),
+{_scored()},
     bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs),
     ql AS (SELECT query_id, {content('q_text', RETRIEVAL_STOP)} AS t FROM asked),
     dt AS (SELECT doc_id, {content('text', RETRIEVAL_STOP)} AS t FROM docs),
@@ -75,7 +81,7 @@ def _fused(wa: float, wb: float) -> str:
     return f"""
     fs AS (
       SELECT query_id, doc_id, sum(w / (60 + rank)) AS score, min(rank) AS best FROM (
-        SELECT query_id, doc_id, rank, {wa}::DOUBLE AS w FROM bm25 WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, {wb}::DOUBLE FROM lexical WHERE rank <= 50
+        SELECT query_id, doc_id, rank, {wa}::DOUBLE AS w FROM bm25 UNION ALL SELECT query_id, doc_id, rank, {wb}::DOUBLE FROM lexical
       ) GROUP BY ALL
     ),
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best, doc_id::VARCHAR) AS rank FROM fs)"""
@@ -84,7 +90,7 @@ def _fused(wa: float, wb: float) -> str:
 _RERANKED = """
     rp AS (
       SELECT b.query_id, b.doc_id, b.rank AS first_rank, l.score AS second, CASE WHEN b.rank <= 15 THEN 0 ELSE 1 END AS inside
-      FROM bm25 b LEFT JOIN lexical l USING (query_id, doc_id) WHERE b.rank <= 50
+      FROM bm25 b LEFT JOIN lexical l USING (query_id, doc_id)
     ),
     reranked AS (
       SELECT query_id, doc_id, first_rank, row_number() OVER (
@@ -96,9 +102,9 @@ def _runs() -> str:
     return f"""{_common()}, {_fused(1, 1)}, {_RERANKED},
     oracle AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM rel),
     runs AS (
-      SELECT '1_lexical' AS run, query_id, doc_id, rank FROM lexical WHERE rank <= 15 UNION ALL SELECT '2_bm25', query_id, doc_id, rank FROM bm25 WHERE rank <= 15
-      UNION ALL SELECT '3_fused', query_id, doc_id, rank FROM fused WHERE rank <= 15 UNION ALL SELECT '4_reranked', query_id, doc_id, rank FROM reranked WHERE rank <= 15
-      UNION ALL SELECT '5_oracle', query_id, doc_id, rank FROM oracle WHERE rank <= 15
+      SELECT '1_lexical' AS run, query_id, doc_id, rank FROM lexical UNION ALL SELECT '2_bm25', query_id, doc_id, rank FROM bm25
+      UNION ALL SELECT '3_fused', query_id, doc_id, rank FROM fused UNION ALL SELECT '4_reranked', query_id, doc_id, rank FROM reranked
+      UNION ALL SELECT '5_oracle', query_id, doc_id, rank FROM oracle
     ),
     nr AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY ALL),
     hit AS (
@@ -109,7 +115,7 @@ def _runs() -> str:
       SELECT run, query_id, coalesce(1.0::DOUBLE / first, 0) AS mrr, {', '.join(
         f"(coalesce(n{k}, 0) > 0)::INT::DOUBLE AS hit_{k}, coalesce(n{k}::DOUBLE / n_rel, 0) AS recall_{k}, coalesce(n{k}, 0)::DOUBLE / {k} AS precision_{k}, "
         f"coalesce(g{k} / list_sum(list_transform(range(1, least(n_rel, {k}) + 1), lambda i: 1 / log2(i + 1))), 0) AS ndcg_{k}" for k in (1, 3, 5))}
-      FROM (SELECT run, query_id FROM (SELECT DISTINCT run FROM runs) CROSS JOIN (SELECT query_id FROM asked)) LEFT JOIN nr USING (query_id) LEFT JOIN hit USING (run, query_id)
+      FROM (SELECT run, query_id FROM (SELECT unnest(['1_lexical', '2_bm25', '3_fused', '4_reranked', '5_oracle']) AS run) CROSS JOIN (SELECT query_id FROM asked)) LEFT JOIN nr USING (query_id) LEFT JOIN hit USING (run, query_id)
     )"""
 
 
@@ -212,6 +218,24 @@ _WINDOWS = f"""
       FROM vd GROUP BY ALL
     )"""
 
+# two passes of verdicts as the registered payloads state them: claims 2, 5, ... are left out of the first, the second speaks of even ones
+_PASSES = f"""{_WINDOWS},
+    cw AS (SELECT id, claim::INT AS claim, text, {content('text', VERIFY_STOP)} AS a, {content("coalesce(query, '')", VERIFY_STOP)} AS q, {content("coalesce(rewritten_query, '')", VERIFY_STOP)} AS r FROM ct),
+    cs2 AS (SELECT id, claim, text, CASE WHEN len(a) > 0 THEN len(list_intersect(a, q))::DOUBLE / len(a) ELSE 0 END AS sq, CASE WHEN len(a) > 0 THEN len(list_intersect(a, r))::DOUBLE / len(a) ELSE 0 END AS sr FROM cw),
+    cv AS (
+      SELECT id, claim, text, CASE WHEN sq >= 0.3::DOUBLE THEN 'entailed' WHEN sq > 0 THEN 'baseless' ELSE 'contradicted' END AS vq,
+        CASE WHEN sr >= 0.3::DOUBLE THEN 'entailed' WHEN sr > 0 THEN 'baseless' ELSE 'contradicted' END AS vr FROM cs2
+    ),
+    lo AS (
+      SELECT id, claim, text, CASE WHEN claim % 3 = 2 THEN 'baseless' ELSE vq || ',' || vr END AS verdicts,
+        CASE WHEN claim % 3 = 2 THEN 'baseless' WHEN 'contradicted' IN (vq, vr) THEN 'contradicted' WHEN 'entailed' IN (vq, vr) THEN 'entailed' ELSE 'baseless' END AS verdict,
+        CASE WHEN claim % 3 = 2 THEN '' ELSE left(text, 20) END AS evidence, CASE WHEN claim % 3 = 2 THEN '' ELSE 'query' END AS source_title FROM cv
+    )"""
+
+_CASES = f"""
+    t AS (SELECT feedback_id, CASE WHEN lower({strip('feedback')}) = 'correct' THEN 'entailed' ELSE 'baseless' END AS gold, {content('answer', VERIFY_STOP)} AS a,
+      {content("coalesce(question, '') || ' ' || coalesce(corrected_answer, '')", VERIFY_STOP)} AS x FROM feedback_log)"""
+
 _LABELLED = f"""
     lb AS (
       SELECT feedback_id, CASE WHEN lower({strip('feedback')}) = 'correct' THEN 1 ELSE 0 END AS label, {plain('answer')} AS a, {plain('question')} AS q FROM feedback_log WHERE question IS NOT NULL
@@ -220,13 +244,17 @@ _LABELLED = f"""
       SELECT feedback_id, label, CASE WHEN len(a) = 0 OR len(q) = 0 THEN 0 ELSE len(list_intersect(a, q))::DOUBLE / (len(a) + len(q) - len(list_intersect(a, q))) END AS overlap FROM lb
     )"""
 
+_ACCESSES = f"""
+    ac AS (SELECT id, {norm('query')} AS key, floor(epoch(created_at))::BIGINT AS ts, created_at FROM audit_logs WHERE created_at IS NOT NULL),
+    sq AS (SELECT id, key, ts, row_number() OVER (ORDER BY ts, id) AS seq FROM ac WHERE key <> '')"""
+
 _TTL = f"""
     ac AS (SELECT {norm('query')} AS key, floor(epoch(created_at)) AS ts FROM audit_logs WHERE created_at IS NOT NULL),
     cnt AS (SELECT key, ts, count(*) AS n FROM ac WHERE key <> '' GROUP BY ALL),
     miss AS (
       SELECT key, min(ts) AS ts FROM cnt GROUP BY key
       UNION ALL
-      SELECT m.key, (SELECT min(c.ts) FROM cnt c WHERE c.key = m.key AND c.ts >= m.ts + 3600) FROM miss m WHERE EXISTS (SELECT 1 FROM cnt c WHERE c.key = m.key AND c.ts >= m.ts + 3600)
+      SELECT m.key, (SELECT min(c.ts) FROM cnt c WHERE c.key = m.key AND c.ts > m.ts + 3600) FROM miss m WHERE EXISTS (SELECT 1 FROM cnt c WHERE c.key = m.key AND c.ts > m.ts + 3600)
     )"""
 
 
@@ -235,6 +263,20 @@ def _cos(a: str, b: str) -> str:
     return f"round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]))), 9)"
 
 
+_SCREENED = f"""
+    q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+    g AS (SELECT query_id, e, query_id + 1 AS doc_id FROM q UNION ALL SELECT query_id, e, query_id + 2 FROM q),
+    b AS (SELECT query_id, min({_cos('g.e', 'v.embedding')}) AS bar FROM g JOIN embeddings v ON v.vec_id = g.doc_id GROUP BY ALL),
+    s AS (SELECT query_id, v.vec_id AS doc_id, bar, {_cos('q.e', 'v.embedding')} AS score FROM q JOIN b USING (query_id), embeddings v WHERE v.vec_id <> query_id AND v.vec_id NOT IN (SELECT doc_id FROM g)),
+    w AS (SELECT * FROM s WHERE score >= bar QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score - bar, 9) DESC, query_id) = 1)"""
+
+
+def _solved() -> str:
+    return f"""{_common()}, sz AS (SELECT query_id, len(t) AS n FROM ql),
+    ob AS (SELECT query_id, doc_id, count(*)::DOUBLE AS k, string_agg(term, ' ' ORDER BY term) AS shared FROM qu JOIN du USING (term) GROUP BY query_id, doc_id),
+    sv AS (SELECT l.query_id, l.doc_id, round(k / n, 3) AS overlap, shared FROM lexical l JOIN rel USING (query_id, doc_id) JOIN ob USING (query_id, doc_id) JOIN sz ON sz.query_id = l.query_id WHERE rank = 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     c = _common()
     metrics = ", ".join(f"round({m}, 6) AS {m}" for m in _METRICS)
@@ -298,17 +340,76 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, source_url, source_title, row_number() OVER (PARTITION BY query_id ORDER BY f)::INT AS pos FROM r QUALIFY pos <= 5""",
         "retrieval_per_query": f"WITH {_runs()} SELECT run, query_id, {metrics} FROM per",
         "ranker_compare": f"WITH {_runs()}, m AS (SELECT run, count(*) AS queries, {means} FROM per GROUP BY run) SELECT *, round(mrr - lag(mrr) OVER (ORDER BY run), 4) AS mrr_delta FROM m",
-        "distractor_screen": f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
-            g AS (SELECT query_id, e, query_id + 1 AS doc_id FROM q UNION ALL SELECT query_id, e, query_id + 2 FROM q),
-            b AS (SELECT query_id, min({_cos('g.e', 'v.embedding')}) AS bar FROM g JOIN embeddings v ON v.vec_id = g.doc_id GROUP BY ALL),
-            s AS (SELECT query_id, v.vec_id AS doc_id, bar, {_cos('q.e', 'v.embedding')} AS score FROM q JOIN b USING (query_id), embeddings v WHERE v.vec_id <> query_id AND v.vec_id NOT IN (SELECT doc_id FROM g))
-            SELECT doc_id, query_id, round(score, 6) AS score, round(bar, 6) AS bar, round(score - bar, 6) AS margin FROM s WHERE score >= bar
-            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score - bar, 9) DESC, query_id) = 1""",
-        "transparency": f"""WITH {c}, sz AS (SELECT query_id, len(t) AS n FROM ql), ob AS (SELECT query_id, doc_id, count(*)::DOUBLE AS k FROM qu JOIN du USING (term) GROUP BY ALL)
-            SELECT l.query_id, l.doc_id, round(k / n, 3) AS overlap FROM lexical l JOIN rel USING (query_id, doc_id) JOIN ob USING (query_id, doc_id) JOIN sz ON sz.query_id = l.query_id WHERE rank = 1""",
-        "ranking_review": f"""WITH {c}, m AS (SELECT l.query_id, l.doc_id, l.rank, (r.doc_id IS NOT NULL) AS is_rel FROM lexical l LEFT JOIN rel r USING (query_id, doc_id) WHERE l.query_id IN (SELECT query_id FROM rel))
-            SELECT query_id, min(rank) FILTER (is_rel) AS gold_rank, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3 AND NOT is_rel), '') AS beaten_by FROM m
-            GROUP BY query_id HAVING coalesce(min(rank) FILTER (is_rel), 0) <> 1""",
+        "distractor_screen": f"WITH {_SCREENED} SELECT doc_id, query_id, round(score, 6) AS score, round(bar, 6) AS bar, round(score - bar, 6) AS margin FROM w",
+        "transparency": f"""WITH {_solved()} SELECT query_id, doc_id, overlap, shared, row_number() OVER (ORDER BY overlap DESC, query_id)::INT AS pos FROM sv""",
+        "share_solved": f"""WITH {_solved()}, n AS (SELECT (SELECT count(*) FROM sv) AS solved, (SELECT count(*) FROM asked) AS queries)
+            SELECT solved, queries, round(coalesce(solved::DOUBLE / nullif(queries, 0), 0), 6) AS share FROM n""",
+        "run_detail": f"""WITH {c}, g AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS relevant FROM rel GROUP BY ALL),
+            h AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS top FROM bm25 WHERE rank <= 5 GROUP BY ALL),
+            k AS (SELECT DISTINCT query_id FROM bm25 JOIN rel USING (query_id, doc_id) WHERE rank <= 5)
+            SELECT a.query_id, coalesce(relevant, '') AS relevant, coalesce(top, '') AS top, k.query_id IS NOT NULL AS hit
+            FROM asked a LEFT JOIN g USING (query_id) LEFT JOIN h ON h.query_id = a.query_id LEFT JOIN k ON k.query_id = a.query_id""",
+        "oracle_full": f"""WITH {c}, r AS (SELECT a.query_id, d.doc_id, row_number() OVER (PARTITION BY a.query_id ORDER BY rel.doc_id IS NULL, d.doc_id) AS rank
+              FROM asked a CROSS JOIN docs d LEFT JOIN rel ON rel.query_id = a.query_id AND rel.doc_id = d.doc_id)
+            SELECT query_id, count(*) AS ranked, sum(rank * (doc_id % 97))::BIGINT AS checksum FROM r GROUP BY ALL""",
+        "diversity_sweep": f"""WITH {c}, sw AS ({" UNION ALL ".join(f"SELECT '{t:.1f}' AS run, query_id, doc_id, pos AS rank FROM ({_mmr(t)})" for t in (1.0, 0.9, 0.8, 0.7, 0.5))}),
+            nr AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY ALL),
+            hit AS (SELECT run, query_id, min(rank) AS first, count(*) FILTER (rank <= 5) AS n5, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) END) AS g5 FROM sw JOIN rel USING (query_id, doc_id) GROUP BY ALL),
+            per AS (SELECT run, query_id, coalesce(1.0::DOUBLE / first, 0) AS mrr, (coalesce(n5, 0) > 0)::INT::DOUBLE AS hit_5,
+              coalesce(g5 / list_sum(list_transform(range(1, least(n_rel, 5) + 1), lambda i: 1 / log2(i + 1))), 0) AS ndcg_5
+              FROM (SELECT unnest(['1.0', '0.9', '0.8', '0.7', '0.5']) AS run) CROSS JOIN (SELECT query_id FROM asked) LEFT JOIN nr USING (query_id) LEFT JOIN hit USING (run, query_id))
+            SELECT run, count(*) AS queries, round(avg(mrr), 4) AS mrr, round(avg(hit_5), 4) AS hit_5, round(avg(ndcg_5), 4) AS ndcg_5 FROM per GROUP BY run""",
+        "rrf_dense": f"""WITH docs AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+            asked AS (SELECT doc_id AS query_id, left(text, 200) AS q_text FROM docs WHERE doc_id % 100 = 0 AND text IS NOT NULL),
+            {_scored()},
+            b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs WHERE query_id <> doc_id),
+            ds AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_cos('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v
+              WHERE q.vec_id IN (SELECT query_id FROM asked) AND v.vec_id IN (SELECT doc_id FROM docs) AND q.vec_id <> v.vec_id),
+            e AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds),
+            fs AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(rank) AS best FROM (SELECT * FROM e UNION ALL SELECT * FROM b) GROUP BY ALL),
+            f AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best, doc_id::VARCHAR) AS rank FROM fs)
+            SELECT query_id, doc_id, round(score, 6) AS score, rank FROM f WHERE rank <= 20""",
+        "distractor_rejects": f"""WITH {_SCREENED} SELECT doc_id, query_id, round(score - bar, 6) AS margin, greatest((SELECT count(*) FROM w) - 15, 0) AS remaining FROM w ORDER BY round(score - bar, 9) DESC, doc_id LIMIT 15""",
+        "gold_corpus": "SELECT chunk_id FROM rag_chunks WHERE NOT starts_with(chunk_id, 'd')",
+        "valid_chunks": f"SELECT chunk_id::VARCHAR AS chunk_id FROM knowledge_sources WHERE length({strip('chunk_text')}) > 50",
+        "local_verdicts": f"WITH {_PASSES} SELECT id, claim, verdicts, verdict, evidence, source_title FROM lo",
+        "final_verdicts": f"""WITH {_PASSES}, un AS (SELECT id, string_agg(claim::VARCHAR, ',' ORDER BY claim) FILTER (verdict <> 'entailed') AS unresolved FROM lo GROUP BY ALL),
+            fv AS (SELECT *, claim % 2 = 0 AND verdict <> 'entailed' AS used, CASE WHEN claim % 2 = 0 AND verdict <> 'entailed' THEN CASE WHEN length(text) % 2 = 0 THEN 'entailed' ELSE 'contradicted' END ELSE verdict END AS v FROM lo)
+            SELECT id, claim, coalesce(unresolved, '') AS unresolved, v AS verdict, CASE WHEN v = 'baseless' THEN '' WHEN used THEN right(text, 10) ELSE evidence END AS evidence,
+              CASE WHEN v = 'baseless' OR used THEN '' ELSE source_title END AS source_title FROM fv JOIN un USING (id)""",
+        "judged_cases": f"""WITH {_CASES}, p AS (SELECT feedback_id, gold, CASE WHEN len(a) > 0 AND len(list_intersect(a, x))::DOUBLE / len(a) >= 0.6::DOUBLE THEN 'entailed' ELSE 'baseless' END AS pred FROM t)
+            SELECT feedback_id, gold, pred, gold = pred AS correct FROM p""",
+        "oracle_cases": f"WITH {_CASES} SELECT feedback_id, gold, gold AS pred, true AS correct FROM t",
+        "rare_labels": f"SELECT coalesce(lower({strip('feedback')}), '') AS gold, count(*) AS n FROM feedback_log GROUP BY ALL HAVING count(*) < 500",
+        "log_report": f"""WITH l AS (SELECT id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id DESC) AS k FROM audit_logs QUALIFY k <= 20),
+            v AS (SELECT {strip('query')} AS question FROM audit_logs), t AS (SELECT question, count(*) AS n FROM v WHERE question <> '' GROUP BY ALL ORDER BY n DESC, question LIMIT 8)
+            SELECT (SELECT count(*) FROM audit_logs) AS count, (SELECT count(*) FROM l)::INT AS returned, (SELECT string_agg(id::VARCHAR, ',' ORDER BY k) FROM l) AS logs,
+              (SELECT string_agg(question || '=' || n, '|' ORDER BY n DESC, question) FROM t) AS top_questions""",
+        "lru_hits": f"""WITH {_ACCESSES}, p AS (SELECT seq, key, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev, coalesce(lead(seq) OVER (PARTITION BY key ORDER BY seq), 1099511627776) AS nxt FROM sq),
+            far AS (SELECT a.seq, count(*) AS apart FROM p a JOIN p b ON b.seq > a.prev AND b.seq < a.seq AND b.nxt > a.seq WHERE a.seq - a.prev > 256 GROUP BY a.seq)
+            SELECT p.seq, md5(key) AS key, prev IS NOT NULL AND coalesce(apart, 0) < 256 AS hit FROM p LEFT JOIN far ON far.seq = p.seq""",
+        "cached_answers": f"""WITH {_ACCESSES}, m AS (SELECT floor((min(ts) + max(ts)) / 2.0)::BIGINT // 86400 * 86400 + 43200 AS cleared FROM sq),
+            f AS (SELECT {norm('query')} AS key, min(floor(epoch(created_at))::BIGINT) AS set_at, arg_min(md5(answer), (floor(epoch(created_at))::BIGINT, id)) AS value
+              FROM audit_logs WHERE created_at IS NOT NULL AND answer IS NOT NULL GROUP BY ALL)
+            SELECT sq.id, CASE WHEN set_at >= cleared AND set_at <= ts AND ts <= set_at + 86400 THEN value END AS value FROM sq CROSS JOIN m LEFT JOIN f USING (key)""",
+        "quality_split": f"WITH {_LABELLED} SELECT label, count(*) AS n, floor(count(*) * 0.25 + 0.5)::BIGINT AS held_out FROM lb GROUP BY ALL",
+        "few_shot": "SELECT raw_user_query, rewritten_query FROM query_rewrite_training ORDER BY md5('42' || raw_user_query) NULLS LAST, raw_user_query, rewritten_query LIMIT 5",
+        "html_blocks": f"""WITH l AS (SELECT chunk_id AS page_id, {strip('x')} AS t FROM (SELECT chunk_id, unnest(string_split(chunk_text, chr(10))) AS x FROM rag_chunks WHERE chunk_text IS NOT NULL))
+            SELECT page_id, count(*) AS paragraphs, sum(length(t))::BIGINT AS chars FROM l WHERE t <> '' GROUP BY ALL""",
+        "dangling": "SELECT s.chunk_id AS query_id, s.chunk_index::BIGINT AS doc_id FROM rag_chunks s WHERE s.chunk_index NOT IN (SELECT doc_id FROM documents)",
+        "page_titles": f"""SELECT chunk_id AS page_id, coalesce(nullif({strip('source_title')}, ''), '') AS title, coalesce(length(x), 0)::INT AS chars FROM (
+            SELECT chunk_id, source_title, (SELECT string_agg({strip('u.l')}, chr(10) ORDER BY u.i) FROM (SELECT unnest(string_split(chunk_text, chr(10))) AS l, generate_subscripts(string_split(chunk_text, chr(10)), 1) AS i) u WHERE length({strip('u.l')}) > 40) AS x
+            FROM rag_chunks WHERE chunk_text IS NOT NULL)""",
+        "url_titles": """SELECT chunk_id, CASE WHEN seg <> '' THEN seg ELSE 'PDF Document' END AS title FROM (
+            SELECT chunk_id, regexp_extract(regexp_replace(source_url, '/+$', ''), '([^/]*)$', 1) AS seg FROM rag_chunks)""",
+        "feedback_sink": "SELECT feedback_id, coalesce(corrected_answer, '') AS corrected_answer FROM feedback_log",
+        "chunk_sink": "SELECT count(*) AS chunks, count(DISTINCT chunk_id) AS keys FROM rag_chunks",
+        "csv_source": "SELECT raw_user_query, rewritten_query, domain FROM query_rewrite_training",
+        "jsonl_source": "SELECT feedback_id::VARCHAR AS id, question AS query FROM feedback_log WHERE question IS NOT NULL",
+        "ranking_review": f"""WITH {c}, m AS (SELECT l.query_id, l.doc_id, l.rank, (r.doc_id IS NOT NULL) AS is_rel FROM lexical l LEFT JOIN rel r USING (query_id, doc_id) WHERE l.query_id IN (SELECT query_id FROM rel)),
+            x AS (SELECT m.*, CASE WHEN rank <= 3 AND NOT is_rel THEN coalesce(source_title, '') || ': ' || left({strip(f"regexp_replace(text, '{SPACE}+', ' ', 'g')")}, 160) END AS shown FROM m JOIN documents USING (doc_id))
+            SELECT query_id, min(rank) FILTER (is_rel) AS gold_rank, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3 AND NOT is_rel), '') AS beaten_by,
+              coalesce(string_agg(shown, ' | ' ORDER BY rank), '') AS beaten FROM x GROUP BY query_id HAVING coalesce(min(rank) FILTER (is_rel), 0) <> 1""",
         "lexical_verifier": f"""WITH t AS (SELECT feedback_id, {content('answer', VERIFY_STOP)} AS a, {content("coalesce(question, '') || ' ' || coalesce(corrected_answer, '')", VERIFY_STOP)} AS x FROM feedback_log),
             s AS (SELECT feedback_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, x))::DOUBLE / len(a) ELSE 0 END AS s FROM t)
             SELECT feedback_id, round(s, 3) AS overlap, CASE WHEN s >= 0.6::DOUBLE THEN 'entailed' ELSE 'baseless' END AS verdict FROM s""",

@@ -24,9 +24,9 @@ def ingest(pages: DataFrame, id_col: str, url_col: str, html_col: str, store: Da
     sections = page_sections(pages, id_col, html_col).select("page_id", "title", F.posexplode("sections").alias("section", "s"))
     chunks = section_chunks(sections.select("page_id", "title", "section", F.col("s.heading").alias("heading"), F.col("s.text").alias("text")), "heading", "text")
     kept, _ = split_blocks(chunks, "chunk")
-    capped = first_per_source(kept, "page_id", ["section", "chunk_index"])
+    capped = first_per_source(kept, "page_id", ["section", "chunk_index"], rank="place")
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("source_url"))
-    order = F.col("section") * 10_000 + F.col("chunk_index")
+    order = F.col("place") - 1
     new = capped.join(urls, "page_id").select(
         chunk_key("source_url", order).alias("chunk_id"), F.col("title").alias("source_title"), "source_url", order.cast("int").alias("chunk_index"), F.col("chunk").alias("chunk_text")
     )

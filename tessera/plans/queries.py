@@ -6,6 +6,7 @@ is relevant to a question if it holds one of the question's tokens that carry a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import audit, catalog, chunking, diversity, evaluation, html, learning, quality, retrieval, verification
-from ..session import table
+from ..session import cut, shared_dir, spread, table
+from ..sources import tables
 from ..sources.tables import latest
 from .pipeline import ingest, retrieve
 
@@ -31,7 +33,7 @@ def queries() -> dict[str, Query]:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +47,21 @@ def _relevant(spark: SparkSession, d: str) -> DataFrame:
     return marks.join(held, "term").select("query_id", "doc_id").distinct()
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(retrieval.bm25_scores(_asked(spark, d), _docs(spark, d), "query_id", "q_text", "doc_id", "text"))
+def _bm25(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    out = retrieval.ranked(retrieval.bm25_scores(_asked(spark, d), _docs(spark, d), "query_id", "q_text", "doc_id", "text", k=k))
+    return out if k is None else out.where(F.col("rank") <= k)
 
 
-def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(retrieval.lexical_scores(_asked(spark, d), _docs(spark, d), "query_id", "q_text", "doc_id", "text"))
+def _lexical(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    out = retrieval.ranked(retrieval.lexical_scores(_asked(spark, d), _docs(spark, d), "query_id", "q_text", "doc_id", "text", k=k))
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
+def _hybrid(spark: SparkSession, d: str, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """The whole BM25 and word-overlap rankings and what fusion and re-ranking make of them."""
+    asked, docs = _asked(spark, d), _docs(spark, d)
+    names = ("query_id", "q_text", "doc_id", "text")
+    return retrieval.hybrid_ranks(retrieval.bm25_scores(asked, docs, *names), retrieval.lexical_scores(asked, docs, *names), weights=weights)
 
 
 # text -----------------------------------------------------------------------------------------------------------------
@@ -116,7 +127,7 @@ def feedback_labels(spark, d):
 
 @query
 def block_signals(spark, d):
-    rows = quality.block_signals(table(spark, d, "rag_chunks").select("chunk_id", "chunk_text"), "chunk_text")
+    rows = quality.block_signals(spread(table(spark, d, "rag_chunks").select("chunk_id", "chunk_text")), "chunk_text")
     return rows.select("chunk_id", "words", F.round("citation_density", 6).alias("citation_density"), F.round("sentence_density", 6).alias("sentence_density"), F.array_join("reasons", "; ").alias("reasons"))
 
 
@@ -135,7 +146,7 @@ def drop_reasons(spark, d):
 
 @query
 def chunk_candidates(spark, d):
-    rows = table(spark, d, "knowledge_sources").select("chunk_id", "source_title", "chunk_text")
+    rows = spread(table(spark, d, "knowledge_sources").select("chunk_id", "source_title", "chunk_text"))
     return quality.candidates(rows, "chunk_id", "source_title", "chunk_text").select("chunk_id", "source_title")
 
 
@@ -145,7 +156,7 @@ def chunk_windows(spark, d):
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.sentence_chunks(table(spark, d, "rag_chunks").select("chunk_id", "source_url", "chunk_text"), "chunk_text")
+    return chunking.sentence_chunks(spread(table(spark, d, "rag_chunks").select("chunk_id", "source_url", "chunk_text")), "chunk_text")
 
 
 @query
@@ -155,7 +166,7 @@ def chunk_sentences(spark, d):
 
 @query
 def chunk_sections(spark, d):
-    rows = table(spark, d, "rag_chunks").select("chunk_id", "source_title", "chunk_text")
+    rows = spread(table(spark, d, "rag_chunks").select("chunk_id", "source_title", "chunk_text"))
     out = chunking.section_chunks(rows, "source_title", "chunk_text", size=120, overlap=30)
     return out.select("chunk_id", "chunk_index", F.md5("chunk").alias("chunk_hash"), F.length("chunk").alias("chars"))
 
@@ -206,7 +217,54 @@ def rewrite_pairs(spark, d):
 
 @query
 def few_shot(spark, d):
-    return catalog.sample_rows(table(spark, d, "query_rewrite_training"), "raw_user_query").select("raw_user_query", "rewritten_query")
+    return catalog.sample_rows(table(spark, d, "query_rewrite_training"), "raw_user_query", ties=("rewritten_query",)).select("raw_user_query", "rewritten_query")
+
+
+@query
+def url_titles(spark, d):
+    return table(spark, d, "rag_chunks").select("chunk_id", html.url_title("source_url").alias("title"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query
+def feedback_sink(spark, d):
+    path = _scratch(spark)
+    tables.append_feedback(table(spark, d, "feedback_log").select("feedback_id", "question", "answer", "feedback", "corrected_answer"), path)
+    return spark.read.parquet(path).select("feedback_id", "corrected_answer")
+
+
+@query
+def chunk_sink(spark, d):
+    path, chunks = _scratch(spark), table(spark, d, "rag_chunks").select("chunk_id", "source_title", "source_url", "chunk_index", "chunk_text")
+    vectors = chunks.select("chunk_id", F.array(F.length(F.coalesce("chunk_text", F.lit(""))).cast("float")).alias("embedding"))
+    tables.append_chunks(chunks, vectors, "chunk_id", path)
+    return spark.read.parquet(path).agg(F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("keys"))
+
+
+@query
+def csv_source(spark, d):
+    path = _scratch(spark)
+    table(spark, d, "query_rewrite_training").select("raw_user_query", "rewritten_query", "domain", "source_title", "source_url").write.csv(path, header=True, escape='"', nullValue="\\N")
+    rows = tables.read_csv(spark, path, tables.REWRITES)
+    return rows.select(*(F.when(F.col(c) != "\\N", F.col(c)).alias(c) for c in ("raw_user_query", "rewritten_query", "domain")))
+
+
+@query
+def jsonl_source(spark, d):
+    path = _scratch(spark)
+    log = table(spark, d, "feedback_log").where("question IS NOT NULL")
+    log.select(F.col("feedback_id").cast("string").alias("id"), F.col("question").alias("query"), F.array(F.lit("a")).alias("relevant_ids")).write.json(path)
+    return tables.read_jsonl(spark, path, tables.QRELS).select("id", "query")
+
+
+@query
+def dangling(spark, d):
+    """Chunks whose number is no document's."""
+    pairs = table(spark, d, "rag_chunks").select(F.col("chunk_id").alias("query_id"), F.col("chunk_index").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    return evaluation.dangling(pairs, table(spark, d, "documents").select("doc_id"))
 
 
 @query
@@ -234,6 +292,12 @@ def html_titles(spark, d):
     return html.page_blocks(_pages(spark, d), "page_id", "html").where("tag = 'title'").select("page_id", "title")
 
 
+@query
+def page_titles(spark, d):
+    out = html.page_text(_pages(spark, d), "page_id", "html")
+    return out.select("page_id", "title", F.length("raw_text").alias("chars"))
+
+
 @query
 def ingest_pages(spark, d):
     store = table(spark, d, "rag_chunks").select("chunk_id", "source_title", "source_url", "chunk_index", "chunk_text")
@@ -262,7 +326,7 @@ def bm25_index(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return _bm25(spark, d).where("rank <= 10").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, d, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
@@ -274,34 +338,51 @@ def bm25_all_docs(spark, d):
 
 @query
 def lexical_rank(spark, d):
-    return _lexical(spark, d).where("rank <= 10").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _lexical(spark, d, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _fused(spark: SparkSession, d: str, weights: list[float] | None) -> DataFrame:
-    return retrieval.reciprocal_rank_fusion([_bm25(spark, d), _lexical(spark, d)], weights)
+def _fused(spark: SparkSession, d: str, weights: tuple[float, float]) -> DataFrame:
+    rows = _hybrid(spark, d, weights).where("fused_rank <= 20")
+    return rows.select("query_id", "doc_id", F.round("fused", 6).alias("score"), F.col("fused_rank").alias("rank"))
 
 
 @query
 def rrf_fuse(spark, d):
-    return _fused(spark, d, None).where("rank <= 20").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _fused(spark, d, (1.0, 1.0))
 
 
 @query
 def rrf_weighted(spark, d):
-    return _fused(spark, d, [2.0, 0.5]).where("rank <= 20").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _fused(spark, d, (2.0, 0.5))
+
 
+def _dense(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, and their whole dense and BM25 scorings: each document with a vector, asked by its own text and vector."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    docs = _docs(spark, d).join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    asked = docs.where("doc_id % 100 = 0 AND text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(200)).alias("q_text"))
+    held = v.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    barred = held.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumn("bar", F.lit(-2.0))
+    dense = retrieval.cosine_above(barred, held, "vec_id", "embedding", "bar").where("query_id <> doc_id").select("query_id", "doc_id", "score")
+    words = retrieval.bm25_scores(asked, docs, "query_id", "q_text", "doc_id", "text").where("query_id <> doc_id")
+    return asked, dense, words
 
-def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.rerank_pool(_bm25(spark, d), _lexical(spark, d), 15)
+
+@query
+def rrf_dense(spark, d):
+    _, dense, words = _dense(spark, d)
+    rows = retrieval.hybrid_ranks(dense, words).where("fused_rank <= 20")
+    return rows.select("query_id", "doc_id", F.round("fused", 6).alias("score"), F.col("fused_rank").alias("rank"))
 
 
 @query
 def pool_rerank(spark, d):
-    return _reranked(spark, d)
+    rows = _hybrid(spark, d).where("first_rank IS NOT NULL")
+    return rows.select("query_id", "doc_id", "first_rank", F.col("reranked").alias("rank"))
 
 
 def _mmr(spark: SparkSession, d: str, trade: float) -> DataFrame:
-    rows = _bm25(spark, d).where("rank <= 15").join(_docs(spark, d), "doc_id")
+    rows = _bm25(spark, d, 15).join(_docs(spark, d), "doc_id")
     return diversity.mmr(rows, k=6, trade=trade)
 
 
@@ -323,7 +404,7 @@ def mmr_100(spark, d):
 @query
 def unique_sources(spark, d):
     urls = table(spark, d, "documents").select("doc_id", "source_title", F.col("source").alias("source_url"))
-    out = retrieval.unique_sources(_bm25(spark, d).where("rank <= 20").join(urls, "doc_id"))
+    out = retrieval.unique_sources(_bm25(spark, d, 20).join(urls, "doc_id"))
     return out.select("query_id", "source_url", "source_title", "pos")
 
 
@@ -337,57 +418,112 @@ def retrieve_prompts(spark, d):
 # evaluation -----------------------------------------------------------------------------------------------------------
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    rel = _relevant(spark, d)
-    runs = {
-        "1_lexical": _lexical(spark, d).where("rank <= 15"), "2_bm25": _bm25(spark, d).where("rank <= 15"),
-        "3_fused": _fused(spark, d, None).where("rank <= 15"), "4_reranked": _reranked(spark, d).where("rank <= 15"),
-        "5_oracle": retrieval.oracle_ranking(_docs(spark, d), rel).where("rank <= 15"),
-    }
-    out = None
-    for name, r in runs.items():
-        part = r.select(F.lit(name).alias("run"), "query_id", "doc_id", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+RUNS = ["1_lexical", "2_bm25", "3_fused", "4_reranked", "5_oracle"]
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of every run and query from whole rankings, which are made once; only the relevant rows go on."""
+    rel = cut(_relevant(spark, d))
+    found = _hybrid(spark, d).join(rel, ["query_id", "doc_id"])
+    oracle = retrieval.oracle_ranking(_docs(spark, d), rel).select(F.lit("5_oracle").alias("run"), "query_id", "doc_id", "rank")
+    ranks = zip(RUNS, ("second_rank", "first_rank", "fused_rank", "reranked"))
+    stacked = F.inline(F.array(*(F.struct(F.lit(name).alias("run"), F.col(c).alias("rank")) for name, c in ranks)))
+    runs = found.select("query_id", "doc_id", stacked).where("rank IS NOT NULL").unionByName(oracle)
+    return evaluation.per_query_metrics(runs, rel, _asked(spark, d), runs=RUNS)
 
 
 @query
 def retrieval_per_query(spark, d):
-    per = evaluation.per_query_metrics(_runs(spark, d), _relevant(spark, d), _asked(spark, d))
+    per = _evaluated(spark, d)
     return per.select("run", "query_id", *(F.round(c, 6).alias(c) for c in per.columns[2:]))
 
 
 @query
 def ranker_compare(spark, d):
-    per = evaluation.per_query_metrics(_runs(spark, d), _relevant(spark, d), _asked(spark, d))
-    return evaluation.against_previous(evaluation.mean_metrics(per))
+    return evaluation.against_previous(evaluation.mean_metrics(_evaluated(spark, d)))
 
 
 @query
-def distractor_screen(spark, d):
+def run_detail(spark, d):
+    out = evaluation.run_detail(_bm25(spark, d, 5), _relevant(spark, d), _asked(spark, d), 5)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("query_id", text("relevant").alias("relevant"), text("top").alias("top"), "hit")
+
+
+@query
+def diversity_sweep(spark, d):
+    """Mean metrics at 5 of the diversified pool for each trade of relevance for diversity, beside the mean redundancy."""
+    pool, rel = cut(_bm25(spark, d, 15).join(_docs(spark, d), "doc_id")), cut(_relevant(spark, d))
+    runs = None
+    for trade in (1.0, 0.9, 0.8, 0.7, 0.5):
+        part = diversity.mmr(pool, k=6, trade=trade).select(F.lit(f"{trade:.1f}").alias("run"), "query_id", "doc_id", F.col("pos").alias("rank"))
+        runs = part if runs is None else runs.unionByName(part)
+    per = evaluation.per_query_metrics(runs, rel, _asked(spark, d), runs=[f"{t:.1f}" for t in (1.0, 0.9, 0.8, 0.7, 0.5)])
+    return evaluation.mean_metrics(per).select("run", "queries", "mrr", "hit_5", "ndcg_5")
+
+
+@query
+def oracle_full(spark, d):
+    every = retrieval.oracle_full(_docs(spark, d).select("doc_id"), _relevant(spark, d), _asked(spark, d))
+    return every.groupBy("query_id").agg(F.count("*").alias("ranked"), F.sum(F.col("rank") * (F.col("doc_id") % 97)).alias("checksum"))
+
+
+def _screened(spark: SparkSession, d: str) -> DataFrame:
     q, v = _vectors(spark, d)
     gold = q.select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 2)).alias("doc_id"))
     bars = evaluation.gold_bars(retrieval.cosine_of(gold, v, "vec_id", "embedding"))
     barred = q.join(bars, F.col("vec_id") == F.col("query_id"))
     over = retrieval.cosine_above(barred, v, "vec_id", "embedding", "bar").where("query_id <> doc_id")
-    out = evaluation.screen_candidates(over, gold)
-    return out.select("doc_id", "query_id", *(F.round(c, 6).alias(c) for c in ("score", "bar", "margin")))
+    return evaluation.screen_candidates(over, gold)
 
 
 @query
-def transparency(spark, d):
+def distractor_screen(spark, d):
+    return _screened(spark, d).select("doc_id", "query_id", *(F.round(c, 6).alias(c) for c in ("score", "bar", "margin")))
+
+
+@query
+def distractor_rejects(spark, d):
+    out = evaluation.top_rejects(_screened(spark, d))
+    return out.select("doc_id", "query_id", F.round("margin", 6).alias("margin"), "remaining")
+
+
+@query
+def gold_corpus(spark, d):
+    return evaluation.gold_corpus(table(spark, d, "rag_chunks").select("chunk_id"), "chunk_id")
+
+
+@query
+def valid_chunks(spark, d):
+    return chunking.valid_chunks(table(spark, d, "knowledge_sources").select("chunk_id", "chunk_text"), "chunk_id", "chunk_text").select("chunk_id")
+
+
+def _solved(spark: SparkSession, d: str) -> DataFrame:
     q = _asked(spark, d).select("query_id", F.explode(tx.content_tokens("q_text", tx.RETRIEVAL_STOP)).alias("t"))
     size = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    held = _docs(spark, d).select("doc_id", F.explode(tx.content_tokens("text", tx.RETRIEVAL_STOP)).alias("t"))
-    both = q.join(held, "t").groupBy("query_id", "doc_id").agg(F.count("*").alias("k")).join(size, "query_id")
-    overlap = both.select("query_id", "doc_id", (F.col("k") / F.col("n")).alias("overlap"))
-    return evaluation.transparency(_lexical(spark, d), _relevant(spark, d), overlap)
+    first = _lexical(spark, d, 1)
+    held = _docs(spark, d).join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.explode(tx.content_tokens("text", tx.RETRIEVAL_STOP)).alias("t"))
+    both = first.select("query_id", "doc_id").join(q, "query_id").join(held, ["doc_id", "t"])
+    both = both.groupBy("query_id", "doc_id").agg(F.count("*").alias("k"), F.collect_set("t").alias("shared")).join(size, "query_id")  # a query's tokens
+    return evaluation.transparency(first, _relevant(spark, d), both.select("query_id", "doc_id", (F.col("k") / F.col("n")).alias("overlap"), "shared"))
+
+
+@query
+def transparency(spark, d):
+    return _solved(spark, d).select("query_id", "doc_id", "overlap", F.array_join("shared", " ").alias("shared"), "pos")
+
+
+@query
+def share_solved(spark, d):
+    return evaluation.share_solved(_solved(spark, d), _asked(spark, d)).select("solved", "queries", F.round("share", 6).alias("share"))
 
 
 @query
 def ranking_review(spark, d):
-    out = evaluation.ranking_review(_lexical(spark, d), _relevant(spark, d))
-    return out.select("query_id", "gold_rank", F.array_join(F.transform("beaten_by", lambda x: x.cast("string")), ",").alias("beaten_by"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source_title", F.lit("")).alias("source_title"), "text")
+    out = evaluation.ranking_review(_lexical(spark, d), _relevant(spark, d), docs=docs)
+    shown = F.array_join(F.transform("beaten", lambda x: F.concat_ws(": ", x["source_title"], x["text"])), " | ")
+    return out.select("query_id", "gold_rank", F.array_join(F.transform("beaten_by", lambda x: x.cast("string")), ",").alias("beaten_by"), F.coalesce(shown, F.lit("")).alias("beaten"))
 
 
 # verification ---------------------------------------------------------------------------------------------------------
@@ -400,14 +536,18 @@ def lexical_verifier(spark, d):
     return rows.select("feedback_id", F.round("share", 3).alias("overlap"), verification.lexical_verdict(F.col("share")).alias("verdict"))
 
 
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """The claims (sentences) of each answer and the verdicts on each against two windows, the question and its rewriting, by word support."""
+    log = spread(table(spark, d, "audit_logs").select("id", "query", "rewritten_query", "answer"))
+    rows = log.withColumn("claims", verification.kept_claims(tx.sentences("answer")))
+    word = lambda s: F.when(s >= 0.3, "Entailed ").when(s > 0.1, "baseless").when(s > 0, "unknown").otherwise("contradicted")
+    found = verification.shares(F.col("claims"), F.array(F.coalesce("query", F.lit("")), F.coalesce("rewritten_query", F.lit(""))))
+    return rows.select("id", "claims", F.transform(found, lambda x: F.transform(x, word)).alias("verdicts"))
+
+
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    """Each claim (sentence of an answer) against two windows (the question and its rewriting), judged by word support."""
-    log = table(spark, d, "audit_logs")
-    rows = log.select("id", "query", "rewritten_query", F.posexplode(verification.kept_claims(tx.sentences("answer"))).alias("claim", "text"))
-    rows = rows.select("id", "claim", "text", F.posexplode(F.array(F.coalesce("query", F.lit("")), F.coalesce("rewritten_query", F.lit("")))).alias("window", "context"))
-    rows = rows.withColumn("share", F.coalesce(verification.support("text", F.array("context")), F.lit(0.0)))
-    share = F.col("share")
-    return rows.select("id", "claim", "window", F.when(share >= 0.3, "Entailed ").when(share > 0.1, "baseless").when(share > 0, "unknown").otherwise("contradicted").alias("verdict"))
+    rows = _claims(spark, d).select("id", F.posexplode("verdicts").alias("claim", "v"))
+    return rows.select("id", "claim", F.posexplode("v").alias("window", "verdict"))
 
 
 @query
@@ -417,8 +557,55 @@ def or_join(spark, d):
 
 @query
 def aggregate_verdict(spark, d):
-    claims = verification.over_windows(_windows(spark, d), ["id", "claim"], "verdict")
-    return verification.over_claims(table(spark, d, "audit_logs"), claims, "id", "verdict")
+    joined = F.transform("verdicts", verification.claim_verdict)
+    return _claims(spark, d).select("id", verification.answer_verdict(joined).alias("verdict"))
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the two passes as JSON: the first leaves out every third claim, numbers claims as text, gives the first
+    claim an empty list before its verdicts and adds a claim that isn't there; the second, fenced, speaks of even claims."""
+    item = lambda i, v, e: F.struct(i.cast("string").alias("claim_index"), v.alias("window_verdicts"), e.alias("evidence"), F.lit("query").alias("source_title"))
+    per = F.transform("claims", lambda c, i: item(i, F.get(F.col("verdicts"), i), F.left(c, F.lit(20))))
+    per = F.filter(per, lambda x: x["claim_index"].cast("int") % 3 != 2)
+    empty = F.array().cast("array<string>")
+    first = F.array(item(F.lit(0), empty, F.lit("none")), item(F.lit(99), empty, F.lit("none")))
+    second = F.transform("claims", lambda c, i: F.struct(i.alias("claim_index"), F.when(F.length(c) % 2 == 0, " Entailed").otherwise("Contradicted").alias("verdict"), F.right(c, F.lit(10)).alias("evidence")))
+    second = F.filter(second, lambda x: x["claim_index"] % 2 == 0)
+    return _claims(spark, d).select("id", "claims", F.to_json(F.concat(first, per)).alias("local"), F.concat(F.lit("```json\n"), F.to_json(second), F.lit("\n```")).alias("global"))
+
+
+@query
+def local_verdicts(spark, d):
+    rows = _payloads(spark, d).select("id", F.posexplode(verification.local_verdicts(F.col("claims"), "local")).alias("claim", "r"))
+    return rows.select("id", "claim", F.array_join("r.verdicts", ",").alias("verdicts"), "r.verdict", "r.evidence", "r.source_title")
+
+
+@query
+def final_verdicts(spark, d):
+    rows = _payloads(spark, d).withColumn("first", verification.local_verdicts(F.col("claims"), "local"))
+    asked = F.array_join(F.transform(verification.unresolved(F.col("first")), lambda i: i.cast("string")), ",")
+    rows = rows.select("id", asked.alias("unresolved"), F.posexplode(verification.final_verdicts(F.col("claims"), F.col("first"), "global")).alias("claim", "r"))
+    return rows.select("id", "claim", "unresolved", "r.verdict", "r.evidence", "r.source_title")
+
+
+@query
+def judged_cases(spark, d):
+    """Every case by the lexical verifier; the mark of the feedback stands for its gold verdict."""
+    log = table(spark, d, "feedback_log").withColumn("gold", F.when(tx.feedback_label("feedback") == 1, "entailed").otherwise("baseless"))
+    contexts = F.array(F.coalesce("question", F.lit("")), F.coalesce("corrected_answer", F.lit("")))
+    return verification.judged_cases(log, "lexical", "answer", contexts, "gold", ["feedback_id"])
+
+
+@query
+def oracle_cases(spark, d):
+    log = table(spark, d, "feedback_log").withColumn("gold", F.when(tx.feedback_label("feedback") == 1, "entailed").otherwise("baseless"))
+    return verification.judged_cases(log, "oracle", "answer", F.array(F.col("question")), "gold", ["feedback_id"])
+
+
+@query
+def rare_labels(spark, d):
+    log = table(spark, d, "feedback_log").select(F.coalesce(F.lower(tx.strip("feedback")), F.lit("")).alias("gold"))
+    return verification.too_few(log, 500)
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -488,6 +675,30 @@ def quality_auc(spark, d):
     return learning.auc(_labelled(spark, d), "label", "overlap").select(F.round("auc", 6).alias("auc"))
 
 
+@query
+def quality_report(spark, d):
+    out = learning.training_report(_labelled(spark, d), "feedback_id", "label", _TEXT_FEATURES)
+    return out.select(*(F.round(F.col(c).cast("double"), 4).alias(c) for c in out.columns))
+
+
+@query
+def quality_trees(spark, d):
+    rows = learning.split_by_class(_labelled(spark, d), "feedback_id", "label")
+    model = learning.quality_model(rows.where("NOT held_out"), "label", _TEXT_FEATURES, trees=True)
+    return learning.predict_quality(model, rows.where("held_out"), _TEXT_FEATURES).select("feedback_id", "label", F.round("quality", 4).alias("quality"))
+
+
+@query
+def quality_weights(spark, d):
+    model = learning.quality_model(_labelled(spark, d), "label", _TEXT_FEATURES)
+    return spark.createDataFrame(learning.coefficients(model, _TEXT_FEATURES), "feature string, weight double")  # a row a feature
+
+
+@query
+def quality_split(spark, d):
+    return learning.split_by_class(_labelled(spark, d), "feedback_id", "label").groupBy("label").agg(F.count("*").alias("n"), F.count_if("held_out").alias("held_out"))
+
+
 @query
 def quality_rule(spark, d):
     m = learning.binary_metrics(_labelled(spark, d), "label", "overlap", 0.3)
@@ -533,6 +744,44 @@ def cache_stats(spark, d):
     return audit.cache_stats(audit.cache_hits(table(spark, d, "audit_logs"), "query", "created_at"))
 
 
+@query
+def log_report(spark, d):
+    log = table(spark, d, "audit_logs").select("id", "query", "risk_level", "created_at")
+    out = audit.log_report(log, "id", "created_at", "query")
+    ids = F.array_join(F.transform("logs", lambda r: r["id"].cast("string")), ",")
+    top = F.array_join(F.transform("top_questions", lambda r: F.concat_ws("=", r["question"], r["n"].cast("string"))), "|")
+    return out.select("count", "returned", ids.alias("logs"), top.alias("top_questions"))
+
+
+def _accesses(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "audit_logs").where("created_at IS NOT NULL").withColumn("key", tx.norm("query")).where("key <> ''")
+    return log.select("id", "key", "query", "created_at", F.unix_timestamp(F.col("created_at").cast("timestamp")).alias("at"))
+
+
+@query
+def lru_hits(spark, d):
+    out = audit.lru_trace(_accesses(spark, d), "key", ["at", "id"], size=256)
+    return out.select("seq", F.md5("key").alias("key"), "hit")
+
+
+@query
+def lru_ttl(spark, d):
+    out = audit.lru_trace(_accesses(spark, d), "key", ["at", "id"], size=256, ttl=3600.0, time_col="at")
+    return out.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.count("evicted").alias("evicted"))
+
+
+@query
+def cached_answers(spark, d):
+    """What a cache that holds each question's first answer finds for every request, up to a day later, emptied at noon of the middle day."""
+    log = _accesses(spark, d)
+    first = table(spark, d, "audit_logs").where("created_at IS NOT NULL AND answer IS NOT NULL").withColumn("key", tx.norm("query")).where("key <> ''")
+    at = F.unix_timestamp(F.col("created_at").cast("timestamp"))
+    first = first.groupBy("key").agg(F.min_by(F.md5("answer"), F.struct(at, F.col("id"))).alias("value"), F.min(at).alias("set_at"))
+    ends = log.agg(F.floor((F.min("at") + F.max("at")) / 2).alias("m")).first()[0] or 0
+    out = audit.cached_values(log, first, "query", "created_at", ttl=86400.0, cleared=F.lit(float(ends // 86400 * 86400 + 43200)))
+    return out.select("id", "value")
+
+
 @query
 def risk_by_hour(spark, d):
     rows = table(spark, d, "audit_logs").where("created_at IS NOT NULL")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +19,7 @@ def build_session(cores: int | str = "*", app: str = "tessera") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,13 +31,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as the session is wide if its files make fewer, as a small table in one file does.
+
+    A table of many files is left as it is, so nothing is shuffled at scale.
+    """
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= width(df.sparkSession) else df.repartition(width(df.sparkSession))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The folder the cluster shares (``spark.checkpoint.dir``); where that is unset, a local session gets one of its own.
+
+    On a cluster without one this raises: a folder of one machine would lose what other machines need. Files there go
+    when their frames do if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, as ``build_session`` sets it.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if not folder:
-        folder = current.get() if current.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+        if current.isDefined():
+            folder = current.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            folder = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if current.isEmpty():
         context.setCheckpointDir(folder)
     return folder
@@ -49,14 +66,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a parquet table into the shared folder and read back (splittable, prunable)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session was sized for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,19 +28,31 @@ def risk_counts(stream: DataFrame, time_col: str, level_col: str, *, window: str
     return counts.select(F.col("w.start").alias("from"), F.col("w.end").alias("to"), "level", "n")
 
 
-def cached_answers(stream: DataFrame, query_col: str, time_col: str, *, ttl: float = 3600.0) -> DataFrame:
-    """``(key, at, hit)``: whether each access would have found a live entry; a key's state is one expiry time."""
-    rows = stream.select(norm(query_col).alias("key"), F.unix_timestamp(F.col(time_col).cast("timestamp")).cast("double").alias("at")).where("key <> '' AND at IS NOT NULL")
+def cached_answers(stream: DataFrame, query_col: str, time_col: str, *, ttl: float = 3600.0, late: str = "1 hour") -> DataFrame:
+    """``(key, at, hit)``: whether each access would have found a live entry; a key's state is one expiry time.
+
+    An entry lives up to and at the second it expires. Its state goes when the watermark, ``late`` behind the newest
+    access, has passed that, so the store holds the keys of the last ``ttl`` and ``late`` only.
+    """
+    at = F.col(time_col).cast("timestamp")
+    rows = stream.select(norm(query_col).alias("key"), at.alias("seen"), F.unix_timestamp(at).cast("double").alias("at")).where("key <> '' AND at IS NOT NULL")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expires = state.get[0] if state.exists else 0.0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        expires = state.get[0] if state.exists else -1.0
         times = sorted(t for pdf in batches for t in pdf["at"])
         hits = []
         for t in times:
-            hits.append(t < expires)
-            if t >= expires:
+            hits.append(t <= expires)
+            if t > expires:
                 expires = t + ttl
         state.update((expires,))
+        state.setTimeoutTimestamp(max(int(expires * 1000) + 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]] * len(times), "at": times, "hit": hits})
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at double, hit boolean", "expires double", "append", GroupStateTimeout.NoTimeout)
+    return (
+        rows.withWatermark("seen", late).groupBy("key")
+        .applyInPandasWithState(step, "key string, at double, hit boolean", "expires double", "append", GroupStateTimeout.EventTimeTimeout)
+    )

@@ -38,6 +38,8 @@ def test_tokens_and_sentences(spark):
         ('```json\n{"hallucination_score": 2, "reason": "a \\"b\\""}\n```', 2, 'a "b"'),
         ("{'hallucination_score': None, 'reason': \"don't\"}", None, "don't"),
         (" no verdict ", None, "no verdict"),
+        ('{"hallucination_score": "1", "reason": "says \\"hallucination_score\\": 2"}', 1, 'says "hallucination_score": 2'),
+        ('{"reason": null}', None, None),
     ],
 )
 def test_analysis(spark, raw, score, reason):
@@ -46,6 +48,46 @@ def test_analysis(spark, raw, score, reason):
     assert one(spark, None, tx.analysis) is None
 
 
+def test_no_number_beyond_json_is_left(spark):
+    df = spark.sql("SELECT double('nan') AS a, array(1.5D, double('infinity')) AS b, named_struct('x', float('nan'), 'y', array(named_struct('z', double('-infinity')))) AS c, map(1, double('nan')) AS m, 'NaN' AS s")
+    r = tx.finite_row(df).first()
+    assert (r["a"], r["b"], r["c"]["x"], r["c"]["y"][0]["z"], r["m"], r["s"]) == (None, [1.5, None], None, None, {"1": None}, "NaN")
+    assert tx.finite_row(spark.sql("SELECT CAST(NULL AS STRUCT<x: DOUBLE>) AS c, CAST(NULL AS ARRAY<DOUBLE>) AS b")).first() == (None, None)
+
+
+def test_shared_folder_is_never_one_machines(monkeypatch):
+    from tessera import session
+
+    class Unset:
+        def isDefined(self):
+            return False
+
+        def isEmpty(self):
+            return True
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("S", (), {"getCheckpointDir": lambda self: Unset()})()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster)
+
+
+def test_small_tables_are_spread(spark):
+    from tessera.session import spread, width
+
+    one = spark.range(10).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == width(spark) and spread(spark.range(10, numPartitions=20)).rdd.getNumPartitions() == 20
+
+
 def test_prose_filter(spark):
     prose = "The employer must keep the record for three years after the date of hire. It must be shown when asked. " * 4
     cases = {
@@ -138,6 +180,32 @@ def test_bm25(spark):
     assert {r["doc_id"]: round(r["score"], 3) for r in lexical} == {"d": round(2 / 3, 3)}
 
 
+def test_word_scores_in_the_row_and_by_joins(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + ["the", "of", "H-1B"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(0, 40))) if i % 50 else None) for i in range(400)], "d long, t string").repartition(6)
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=5))) for i in range(9)] + [(99, None), (98, "zzz")], "q int, t string")
+    for f in (retrieval.bm25_scores, retrieval.lexical_scores):
+        rows = {(r[0], r[1]): r[2] for r in f(asked, docs, "q", "t", "d", "t").collect()}
+        top = retrieval.ranked(f(asked, docs, "q", "t", "d", "t", k=3)).where("rank <= 3").select("query_id", "doc_id", "rank").collect()
+        assert sorted(map(tuple, top)) == sorted(map(tuple, retrieval.ranked(f(asked, docs, "q", "t", "d", "t")).where("rank <= 3").select("query_id", "doc_id", "rank").collect()))
+        monkeypatch.setattr(retrieval, "MOST_TERMS", 0)
+        joined = {(r[0], r[1]): r[2] for r in f(asked, docs, "q", "t", "d", "t").collect()}
+        monkeypatch.undo()
+        assert rows.keys() == joined.keys() and all(abs(rows[k] - joined[k]) < 1e-9 for k in rows)
+        assert f(asked, docs.limit(0), "q", "t", "d", "t").count() == 0 and f(asked.limit(0), docs, "q", "t", "d", "t").count() == 0
+        named = docs.withColumn("d", F.concat(F.lit("id"), F.col("d").cast("string")))
+        assert f(asked, named, "q", "t", "d", "t", k=2).where("doc_id LIKE 'id%'").count() > 10
+
+
+def test_full_oracle_ranking(spark):
+    docs = spark.createDataFrame([(i,) for i in (5, 1, 9, 7)], "doc_id long")
+    rel = spark.createDataFrame([(1, 9), (1, 5)], "query_id int, doc_id long")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id int")
+    got = {(r["query_id"], r["rank"]): r["doc_id"] for r in retrieval.oracle_full(docs, rel, asked).collect()}
+    assert [got[1, k] for k in (1, 2, 3, 4)] == [5, 9, 1, 7] and [got[2, k] for k in (1, 2, 3, 4)] == [1, 5, 7, 9] and len(got) == 8
+
+
 def test_cosine(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [2.0, 0.0])]
     v = spark.createDataFrame(rows, "i long, v array<float>")
@@ -219,13 +287,30 @@ def test_verdicts(spark):
     assert {r["a"]: r["verdict"] for r in verification.over_windows(v, ["a", "c"], "v").collect()} == {1: "contradicted", 2: "entailed", 3: "baseless"}
     answers = spark.createDataFrame([(1,), (2,), (3,), (4,)], "a int")
     assert {r["a"]: r["verdict"] for r in verification.over_claims(answers, v, "a", "v").collect()} == {1: "contradicted", 2: "baseless", 3: "baseless", 4: "baseless"}
-    raw = '[{"claim_index": 0, "verdicts": []}, {"claim_index": "1", "verdicts": ["Entailed"]}, {"claim_index": 1, "verdicts": ["contradicted"]}, {"claim_index": "x", "verdicts": ["entailed"]}]'
-    got = verification.local_verdicts(spark.createDataFrame([(1, raw), (2, "nonsense"), (3, None)], "k int, j string"), "k", "j").orderBy("claim_index").collect()
-    assert [(r["claim_index"], r["verdicts"]) for r in got] == [(0, ["baseless"]), (1, ["contradicted"])]
-    local = spark.createDataFrame([(1, "baseless", "e"), (2, "entailed", "f"), (3, "contradicted", "g")], "k int, verdict string, evidence string")
-    second = spark.createDataFrame([(1, "entailed", None), (2, "contradicted", "z")], "k int, verdict string, evidence string")
-    out = {r["k"]: (r["verdict"], r["evidence"]) for r in verification.with_global(local, second, ["k"]).collect()}
-    assert out == {1: ("entailed", None), 2: ("entailed", "f"), 3: ("contradicted", "g")}
+    raw = (
+        '[{"claim_index": 0, "window_verdicts": [], "evidence": "e0"}, {"claim_index": "1", "window_verdicts": ["Entailed"], "evidence": "first"}, "odd", 7,'
+        ' {"claim_index": 1, "window_verdicts": ["entailed", "contradicted"], "evidence": "a \\"q\\"", "source_title": "T"}, {"claim_index": "x", "window_verdicts": ["entailed"]},'
+        ' {"claim_index": 9, "window_verdicts": ["entailed"]}, {"claim_index": 2, "window_verdicts": "entailed"}, {"claim_index": 3, "window_verdicts": ["Entailed "], "evidence": "kept", "source_title": "U"}]'
+    )
+    rows = [(1, raw), (2, f"```json\n{raw}\n```"), (3, '{"claim_index": 0}'), (4, "nonsense"), (5, None)]
+    df = spark.createDataFrame(rows, "k int, j string").withColumn("claims", F.array(*map(F.lit, ["c0", "c1", "c2", "c3"])))
+    got = {r["k"]: [(x["verdicts"], x["verdict"], x["evidence"], x["source_title"]) for x in r["v"]] for r in df.select("k", verification.local_verdicts(F.col("claims"), "j").alias("v")).collect()}
+    nothing = (["baseless"], "baseless", "", "")
+    assert got[1] == got[2] == [(["baseless"], "baseless", "e0", ""), (["entailed", "contradicted"], "contradicted", 'a "q"', "T"), nothing, (["entailed"], "entailed", "kept", "U")]
+    assert got[3] == got[4] == got[5] == [nothing] * 4
+    second = '[{"claim_index": 0, "verdict": "Entailed", "evidence": "found"}, {"claim_index": 1, "verdict": "odd", "evidence": "gone", "source_title": "T"}, {"claim_index": 3, "verdict": "contradicted", "evidence": "no"}]'
+    one_row = df.where("k = 1").withColumn("first", verification.local_verdicts(F.col("claims"), "j")).withColumn("second", F.lit(second))
+    r = one_row.select(verification.unresolved(F.col("first")).alias("u"), verification.final_verdicts(F.col("claims"), F.col("first"), "second").alias("f")).first()
+    assert r["u"] == [0, 1, 2]
+    assert [tuple(x) for x in r["f"]] == [("c0", "entailed", "found", ""), ("c1", "baseless", "", ""), ("c2", "baseless", "", ""), ("c3", "entailed", "kept", "U")]
+    none = one_row.select(verification.final_verdicts(F.array().cast("array<string>"), F.col("first"), "second").alias("f")).first()["f"]
+    assert none == []
+    local = spark.createDataFrame([(1, "baseless", "e", "s"), (2, "entailed", "f", "s"), (3, "contradicted", "g", "s"), (4, "baseless", "h", "s")], "k int, verdict string, evidence string, source_title string")
+    later = spark.createDataFrame([(1, "entailed", None, "t"), (2, "contradicted", "z", "t")], "k int, verdict string, evidence string, source_title string")
+    out = {r["k"]: (r["verdict"], r["evidence"], r["source_title"]) for r in verification.with_global(local, later, ["k"]).collect()}
+    assert out == {1: ("entailed", None, "t"), 2: ("entailed", "f", "s"), 3: ("contradicted", "g", "s"), 4: ("baseless", "", "")}
+    with pytest.raises(ValueError):
+        verification.verifier("other")
 
 
 def test_classification(spark):
@@ -248,8 +333,9 @@ def test_audit(spark):
     assert audit.risk_stats(log.limit(0), "lv").first()["grounded_pct"] is None
     assert [(r["question"], r["n"]) for r in audit.top_questions(log, "q", 2).collect()] == [("a", 2), ("b", 1)]
     times = spark.sql("SELECT id, timestamp_seconds(id * 1800) AS t, 'K ' || (id % 2) AS q FROM range(8)").unionByName(spark.sql("SELECT 99L AS id, CAST(NULL AS TIMESTAMP) AS t, 'k 0' AS q"))
-    hits = audit.cache_hits(times, "q", "t")
-    assert [r["hit"] for r in hits.where("key = 'k 0'").orderBy("at").collect()] == [False] * 4
+    # an entry is still found at the very second it expires
+    assert [r["hit"] for r in audit.cache_hits(times, "q", "t").where("key = 'k 0'").orderBy("at").collect()] == [False, True, False, True]
+    assert [r["hit"] for r in audit.cache_hits(times, "q", "t", ttl=3599).where("key = 'k 0'").orderBy("at").collect()] == [False] * 4
     assert [r["hit"] for r in audit.cache_hits(times, "q", "t", ttl=3601).where("key = 'k 0'").orderBy("at").collect()] == [False, True, False, True]
     assert audit.cache_stats(audit.cache_hits(times, "q", "t", ttl=3601)).first()["hit_rate"] == 0.5
     page = audit.page_of(times, "id", "t", 2, 3).orderBy("pos").collect()
@@ -258,6 +344,43 @@ def test_audit(spark):
     assert [(r["hit"], r["evicted"]) for r in trace] == [(False, None), (False, None), (True, None), (False, "b"), (False, "a")]
 
 
+def test_cache_of_bounded_size_and_age(spark):
+    """Against the plain loop over one ordered dictionary, cut into several segments."""
+    from collections import OrderedDict
+
+    rng = random.Random(12)
+    log, at = [], 0
+    for i in range(3000):
+        at += rng.choice([0, 0, 1, 1, 2, 9])
+        log.append((i, at, f"k{int(rng.paretovariate(0.6))}" if rng.random() < 0.9 else None))
+    df = spark.createDataFrame(log, "i int, at long, k string").repartition(5)
+    for size, ttl in ((1, None), (7, None), (7, 20.0), (40, 60.0), (5000, 3.0)):
+        data, want = OrderedDict(), []
+        for _, at, k in log:
+            expires = data.get(k)
+            hit = k in data and (ttl is None or expires >= at)
+            if not hit:
+                data[k] = at + (ttl or 0)
+            data.move_to_end(k)
+            gone = data.popitem(last=False)[0] if len(data) > size else None
+            want.append((k, hit, gone))
+        got = audit.lru_trace(df, "k", ["i"], size=size, ttl=ttl, time_col="at").orderBy("seq").collect()
+        assert [(r["key"], r["hit"], r["evicted"]) for r in got] == want and [r["seq"] for r in got] == list(range(1, 3001))
+    assert audit.lru_trace(df.limit(0), "k", ["i"], size=2).count() == 0
+
+
+def test_cached_values_and_report(spark):
+    log = spark.sql("SELECT id, timestamp_seconds(id * 10) AS t, IF(id = 3, NULL, ' A') AS q FROM range(6)")
+    cache = spark.createDataFrame([("a", "old", 0.0), ("a", "new", 25.0), ("b", "x", 0.0)], "key string, value string, set_at double")
+    value = lambda **o: [r["value"] for r in audit.cached_values(log, cache, "q", "t", **o).orderBy("id").collect()]
+    assert value(ttl=15.0) == ["old", "old", None, None, "new", None] and value(ttl=None) == ["old", "old", "old", None, "new", "new"]
+    assert value(ttl=15.0, cleared=F.lit(20.0)) == [None, None, None, None, "new", None]
+    r = audit.log_report(log, "id", "t", "q", 2).first()
+    assert (r["count"], r["returned"], [x["id"] for x in r["logs"]], [tuple(x) for x in r["top_questions"]]) == (6, 2, [5, 4], [("A", 5)])
+    empty = audit.log_report(log.limit(0), "id", "t", "q").first()
+    assert (empty["count"], empty["returned"], empty["logs"], empty["top_questions"]) == (0, 0, [], [])
+
+
 def test_catalog(spark):
     cols = "source_title string, source_url string, chunk_text string"
     old = spark.createDataFrame([("t", "u1", "a"), ("t", "u1", "b"), ("t", "u2", "c"), ("t", None, "d")], cols)
@@ -270,14 +393,27 @@ def test_catalog(spark):
     assert catalog.sample_rows(old, "chunk_text", 2).collect() == catalog.sample_rows(old, "chunk_text", 2).collect()
 
 
-def test_learning(spark):
+def test_learning(spark, tmp_path):
     rows = spark.range(400).selectExpr("id", "CAST(id % 2 AS INT) AS label", "CAST(id % 2 + rand(1) AS DOUBLE) AS a", "rand(2) AS b")
+    uneven = spark.range(403).selectExpr("id", "IF(id % 7 = 0, 1, 0) AS label")
+    parts = {r["label"]: (r["n"], r["h"]) for r in learning.split_by_class(uneven, "id", "label").groupBy("label").agg(F.count("*").alias("n"), F.count_if("held_out").alias("h")).collect()}
+    assert parts == {1: (58, 15), 0: (345, 86)} and learning.split_by_class(uneven.limit(0), "id", "label").count() == 0
     split = learning.split_by_class(rows, "id", "label")
     model = learning.quality_model(split.where("NOT held_out"), "label", ("a", "b"))
     scored = learning.predict_quality(model, split.where("held_out"), ("a", "b"))
     assert learning.auc(scored, "label", "quality").first()[0] > 0.95
     m = learning.binary_metrics(scored, "label", "quality").first()
     assert m["accuracy"] > m["majority"] and learning.coefficients(model, ("a", "b"))[0][0] == "a"
+    report = learning.training_report(rows, "id", "label", ("a", "b"), path=str(tmp_path / "model")).first()
+    assert (report["n"], report["n_train"], report["n_test"]) == (400, 300, 100) and report["roc_auc"] > 0.95 and report["cv_auc_mean"] > 0.95 and 0 <= report["cv_auc_std"] < 0.1
+    assert report["tp"] + report["fp"] + report["fn"] + report["tn"] == 100
+    from pyspark.ml import PipelineModel
+
+    saved = PipelineModel.load(str(tmp_path / "model"))
+    assert learning.predict_quality(saved, rows, ("a", "b")).count() == 400
+    trees = learning.quality_model(split.where("NOT held_out"), "label", ("a", "b"), trees=True)
+    assert learning.auc(learning.predict_quality(trees, split.where("held_out"), ("a", "b")), "label", "quality").first()[0] > 0.95
+    assert learning.coefficients(trees, ("a", "b"))[0][0] == "a"
     assert "Accuracy" in reports.quality(m.asDict(), learning.coefficients(model, ("a", "b")))
     ties = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "label int, s double")
     assert learning.auc(ties, "label", "s").first()[0] == 0.875
@@ -320,7 +456,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.sql("SELECT id, timestamp_seconds(id * 1200) AS t, 'Q ' || (id % 2) AS q, IF(id % 3 = 0, ' Low', 'High') AS lv FROM range(12)")
+    rows = spark.sql("SELECT id, timestamp_seconds(1000000800 + id * 1200) AS t, 'Q ' || (id % 2) AS q, IF(id % 3 = 0, ' Low', 'High') AS lv FROM range(12)")
     rows.write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     logs.append_audit(read(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
