@@ -8,8 +8,8 @@ each bucket), so no source, however large, meets in one task.
 
 The order of the mix is a Pfair schedule: a source with share w releases its j-th block at slot floor(j/w) with deadline
 ceil((j+1)/w); each slot goes to the released block with the earliest deadline, which keeps every source within one
-block of its ideal share at all times. The schedule has ``blocks`` slots or so whatever the corpus, as a block is that
-fraction of it.
+block of its ideal share at all times. A block has ``BLOCK_TOKENS`` tokens, within bounds on the number of slots that
+keep the mix fine in a small corpus and the schedule on the driver in a large one.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ from ..session import cut
 from .byte_bpe import DEFAULT_VOCABULARY, token_counts
 
 
+BLOCK_TOKENS = 1 << 20
+LEAST_BLOCKS, MOST_BLOCKS = 10_000, 1_000_000  # slots of the schedule; the last is what the driver lays out and broadcasts
+BUCKET_ROWS = 100_000  # documents of a source in a bucket of its order, about
+
+
 def fill(total: float, shares: dict[str, float], caps: dict[str, float]) -> dict[str, float]:
     """Demand of each source: ``total`` split by shares, at most each cap, the rest going to those with room."""
     demand = dict.fromkeys(shares, 0.0)
@@ -63,7 +68,7 @@ def pfair(blocks: dict[str, int]) -> list[tuple[str, int]]:
 
 def mix(
     docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, text_col: str, *,
-    vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 10_000, buckets: int = 256, seed: int = 7,
+    vocabulary: str = DEFAULT_VOCABULARY, blocks: int | None = None, buckets: int | None = None, seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """``(drawn, shares)``.
 
@@ -71,7 +76,8 @@ def mix(
     gives the mix. ``shares(source, target_share, max_repeats, available_tokens, drawn_tokens, actual_share)``: one row
     per row of ``targets(source, target_share, max_repeats)``. Sources without a target, null sources and documents
     without tokens are never drawn but count towards the size of the whole; a target without documents reaches 0.
-    Null shares or caps count as 0. ``targets`` is a small table of one row per source; it is read by the driver.
+    Null shares or caps count as 0. ``blocks`` and ``buckets`` follow from the tokens and the largest source's documents
+    unless given. ``targets`` is a small table of one row per source; it is read by the driver.
     """
     spark = docs.sparkSession
     sizes = cut(token_counts(docs, [id_col, source_col], text_col, vocabulary=vocabulary))
@@ -79,10 +85,12 @@ def mix(
         r["source"]: (max(float(r["target_share"] or 0), 0.0), max(int(r["max_repeats"] or 0), 0))
         for r in targets.where("source IS NOT NULL").select("source", "target_share", "max_repeats").collect()
     }
-    sums = sizes.groupBy(F.when(F.col(source_col).isin(list(wanted)), F.col(source_col)).alias("source")).agg(F.sum("tokens").alias("n")).collect()
+    sums = sizes.groupBy(F.when(F.col(source_col).isin(list(wanted)), F.col(source_col)).alias("source")).agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()
+    buckets = buckets or max(256, -(-max((r["docs"] for r in sums if r["source"] is not None), default=1) // BUCKET_ROWS))
     have = {r["source"]: int(r["n"] or 0) for r in sums}
     total = sum(have.values())
     demand = fill(total, {s: w for s, (w, _) in wanted.items()}, {s: have.get(s, 0) * c for s, (_, c) in wanted.items()})
+    blocks = blocks or min(max(total // BLOCK_TOKENS, LEAST_BLOCKS), MOST_BLOCKS)
     block = max(total / blocks, 1.0)
     used = {s: d for s, d in demand.items() if d > 0}
     order = pfair({s: math.ceil(d / block) for s, d in used.items()})
