@@ -17,7 +17,7 @@ from .mixing import mix
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .pair_defects import pair_defects, sampled_judge
 from .pieces import oversized_pieces
-from .repeated_lines import line_table, repeated_lines, without_lines
+from .repeated_lines import line_table, near_repeated_lines, repeated_lines, without_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,19 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(table(spark, d, "knowledge_sources"), _lines(spark, d), "chunk_id", "chunk_text")
 
 
+def _near_lines(spark: SparkSession, d: str) -> DataFrame:
+    return near_repeated_lines(table(spark, d, "knowledge_sources"), "chunk_id", "source_title", "chunk_text")
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster of near-equal lines of a source by one of its lines, with its document frequency."""
+    return line_table(table(spark, d, "knowledge_sources"), _near_lines(spark, d), "chunk_id", "source_title", "chunk_text")
+
+
+def p4_clean_near(spark: SparkSession, d: str) -> DataFrame:
+    return without_lines(table(spark, d, "knowledge_sources"), _near_lines(spark, d), "chunk_id", "chunk_text")
+
+
 def _defects(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "feedback_log")
     judge = sampled_judge(log, _models(spark, d), "feedback_id", "question", "answer", "feedback")

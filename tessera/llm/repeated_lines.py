@@ -6,7 +6,8 @@ dates and the names of bodies masked. Within a source, lines of one such key are
 one, near-equal ones of masked word similarity s with probability s**ROWS. A cluster's document frequency is at least
 that of each line in it, so lines of clusters below the limits drop out there, and only for the rest are the exact
 document frequencies counted (a document counts once however often it repeats a line). Both counts combine map-side,
-so a source or a line on a third of the rows is harmless.
+so a source or a line on a third of the rows is harmless. ``near_repeated_lines`` gives the clusters themselves: lines
+that differ in their numbers, dates or names only, and are repeated as often as all lines of their cluster together.
 """
 
 from __future__ import annotations
@@ -108,6 +109,32 @@ def repeated_lines(
     texts count as documents of their source. Line numbers count from 0 over all lines; blank lines are never given.
     Equal lines are equal in normal form. A document that holds a line twice counts once but gives both line numbers.
     """
+    near = _wide_lines(docs, id_col, source_col, text_col, min_docs, min_share)
+    found = (
+        near.select("s", "h", "need", "doc").distinct().groupBy("s", "h", "need").agg(F.count("*").alias("docs_with_line"))
+        .where("docs_with_line >= need").select("s", "h", "docs_with_line")
+    )
+    return near.join(found, ["s", "h"]).select(F.col("doc").alias(id_col), "line_no", "s", "h", "docs_with_line")
+
+
+def near_repeated_lines(
+    docs: DataFrame, id_col: str, source_col: str, text_col: str, *, min_docs: int = 5, min_share: float = 0.1
+) -> DataFrame:
+    """``(<id>, line_no, s, h, docs_with_line)``: as ``repeated_lines``, with near-duplicates counted as one line.
+
+    ``h`` is the cluster: lines of a source whose words agree in all min-hashes once numbers, dates and names of bodies
+    are masked, in at least ``min_docs`` documents and ``min_share`` of the source's. Every row of ``repeated_lines`` is among these.
+    """
+    near = _wide_lines(docs, id_col, source_col, text_col, min_docs, min_share)
+    found = (
+        near.select("s", "cluster", "need", "doc").distinct().groupBy("s", "cluster", "need").agg(F.count("*").alias("docs_with_line"))
+        .where("docs_with_line >= need").select("s", "cluster", "docs_with_line")
+    )
+    return near.join(found, ["s", "cluster"]).select(F.col("doc").alias(id_col), "line_no", "s", F.col("cluster").alias("h"), "docs_with_line")
+
+
+def _wide_lines(docs: DataFrame, id_col: str, source_col: str, text_col: str, min_docs: int, min_share: float) -> DataFrame:
+    """``(doc, s, line_no, h, cluster, need)`` of the lines whose cluster has as many lines as its source needs documents."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where(F.col("source").rlike(r"(?U)\S"))
     kind = rows.schema["doc"].dataType.simpleString()
     size = (
@@ -123,14 +150,10 @@ def repeated_lines(
         .join(size, "s").where("n >= need").select("s", "cluster", "need")
     )
     # few beside the lines: each holds at least min_share of its source's documents; broadcast only if counted to be
-    near = lines.join(F.broadcast(wide) if wide.count() <= SMALL_ROWS else wide, ["s", "cluster"]).select("doc", "s", "line_no", "h", "need")
+    near = lines.join(F.broadcast(wide) if wide.count() <= SMALL_ROWS else wide, ["s", "cluster"]).select("doc", "s", "line_no", "h", "cluster", "need")
     near = cut(near)
     lines.unpersist()
-    found = (
-        near.select("s", "h", "need", "doc").distinct().groupBy("s", "h", "need").agg(F.count("*").alias("docs_with_line"))
-        .where("docs_with_line >= need").select("s", "h", "docs_with_line")
-    )
-    return near.join(found, ["s", "h"]).select(F.col("doc").alias(id_col), "line_no", "s", "h", "docs_with_line")
+    return near
 
 
 def line_table(docs: DataFrame, found: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
