@@ -4,20 +4,26 @@ One Arrow pass streams the code points of a batch through a skip-and-fold table
 lower-cased code) into two rolling polynomial hashes per record; no canonical string is built there. A record of
 fields (``word: value`` items between ``;``, ``|`` and line breaks) gets the sum of its mixed item hashes instead, which
 does not depend on the order of the items. Counting runs on the 128 bits with map-side combination, so a group of any
-size costs one row per task. Rows of a group are then held against the group's first row by a two-pointer comparison
-that skips what does not count; the canonical text is made once per group and task, as the result asks for it.
+size costs one row per task, and only rows whose key another row has are shuffled with their texts (the keys are
+broadcast if counted to be few), groups of over ``SLICE`` rows in several slices. There each row is held against the
+first of its group and slice by a two-pointer comparison that skips what does not count; records that share their 128
+bits and still differ are groups of their own. The canonical text is made once per group and slice, as the result asks
+for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import cut
 from .textcodes import codes_of, mix, word_char_table
 
 _BASES = (np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -129,20 +135,10 @@ def canonical(text: str) -> str:
     return "|".join(sorted(map(squeeze, fields))) if fields else squeeze(text)
 
 
-def same_record(a: str, b: str) -> bool:
-    """Two-pointer comparison over what counts; items of a record of fields are compared in sorted order."""
-    if a == b:
-        return True
-    fa, fb = split_fields(a), split_fields(b)
-    if (fa is None) != (fb is None):
-        return False
-    if fa is not None:
-        return canonical(a) == canonical(b)
-    fold = fold_table()
-    x, y = fold[codes_of(a)], fold[codes_of(b)]
+def _alike(x: list[int], y: list[int]) -> bool:
+    """Two pointers over folded codes, each skipping what does not count."""
     i = j = 0
     n, m = len(x), len(y)
-    x, y = x.tolist(), y.tolist()
     while True:
         while i < n and not x[i]:
             i += 1
@@ -156,53 +152,158 @@ def same_record(a: str, b: str) -> bool:
         j += 1
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h1, h2, filled = record_hashes(batch.column(1).to_pylist())
-        cols = [batch.column(0), batch.column(1), pa.array(h1), pa.array(h2)]
-        yield pa.RecordBatch.from_arrays(cols, names=["row_id", "text", "h1", "h2"]).filter(pa.array(filled))
+def same_record(a: str, b: str) -> bool:
+    """Two-pointer comparison over what counts; of records of fields, item by item, whatever their order."""
+    if a == b:
+        return True
+    fold = fold_table()
+    folded = lambda s: fold[codes_of(s)].tolist()
+    fa, fb = split_fields(a), split_fields(b)
+    if fa is None and fb is None:
+        return _alike(folded(a), folded(b))
+    if fa is None or fb is None or len(fa) != len(fb):
+        return False
+    left = list(map(folded, fb))
+    for item in map(folded, fa):  # mostly the first that is left
+        at = next((k for k, other in enumerate(left) if _alike(item, other)), None)
+        if at is None:
+            return False
+        del left[at]
+    return True
+
+
+def _keys(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h1, h2, filled = record_hashes(batch.column(1).to_pylist())
+            cols, names = [batch.column(0), pa.array(h1), pa.array(h2)], ["row_id", "h1", "h2"]
+            if with_text:
+                cols, names = [*cols, batch.column(1)], [*names, "text"]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(filled))
+
+    return run
+
+
+SLICE = 1_000_000  # rows of a group that meet in one task
+FEW_KEYS = 500_000  # keys of 28 bytes that are broadcast
+
+
+class _Group:
+    """The rows of one key and slice, by what they really are: each kind's first text, canonical text, held-back row, least id and number."""
 
+    def __init__(self, key: tuple):
+        self.key = key
+        self.kinds: list[list] = []
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    heads: dict[tuple[int, int], tuple[str, str]] = {}
+    def add(self, row_id, text: str) -> Iterator[tuple]:
+        """Rows ``(row_id, canonical text)`` that this one settles: a kind's first row waits for a second."""
+        for kind in self.kinds:
+            if same_record(text, kind[0]):
+                if kind[2] is not None:
+                    yield kind[2][0], kind[1]
+                    kind[2] = None
+                yield row_id, kind[1]
+                kind[3], kind[4] = min(kind[3], row_id), kind[4] + 1
+                return
+        self.kinds.append([text, canonical(text), (row_id,), row_id, 1])
+
+    def rest(self) -> Iterator[tuple]:
+        """A row alone in its slice has its like in another, unless the key turned out to hold several kinds."""
+        if len(self.kinds) == 1 and self.kinds[0][2] is not None:
+            yield self.kinds[0][2][0], self.kinds[0][1]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Group | None, list[tuple]]]:
+    """Finished groups and settled rows, batch by batch; the input is ordered by key and slice."""
+    group: _Group | None = None
     for batch in batches:
         out = []
-        if len(heads) > 200_000:
-            heads.clear()
-        for h1, h2, text in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-            head = heads.get((h1, h2))
-            if head is None:
-                head = heads[h1, h2] = (text, canonical(text))
-            elif not same_record(text, head[0]):
-                raise ValueError("two different records share all 128 bits of their hashes")
-            out.append(head[1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row_id", "norm_text"])
-
-
-def record_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(row_id, text, h1, h2)`` of the rows in which anything counts; null and contentless texts are left out."""
+        for row_id, *key, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            if group is None or group.key != tuple(key):
+                if group is not None:
+                    out += group.rest()
+                    yield group, []
+                group = _Group(tuple(key))
+            out += group.add(row_id, text)
+        yield None, out
+    if group is not None:
+        yield group, list(group.rest())
+
+
+def _confirm(kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, out in _groups(batches):
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], kind), pa.array([t for _, t in out], pa.string())], names=["row_id", "norm_text"])
+
+    return run
+
+
+def _tally(kind: pa.DataType):
+    """The kinds of each key: a digest of what the rows are, their least id and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out():
+            cols = list(zip(*held)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), kind, pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h1", "h2", "digest", "first_id", "copies"])
+
+        for group, _ in _groups(batches):
+            if group is not None:
+                held += [(*group.key[:2], blake2b(k[1].encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), k[3], k[4]) for k in group.kinds]
+            if len(held) >= 10_000:
+                yield out()
+                held = []
+        yield out()
+
+    return run
+
+
+def record_keys(docs: DataFrame, id_col: str, text_col: str, *, with_text: bool = False) -> DataFrame:
+    """``(row_id, h1, h2)``, and ``text`` if asked, of the rows in which anything counts; null and contentless texts are left out."""
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return rows.mapInArrow(_keys, f"row_id {rows.schema['row_id'].dataType.simpleString()}, text string, h1 long, h2 long")
+    text = ", text string" if with_text else ""
+    return rows.mapInArrow(_keys(with_text), f"row_id {rows.schema['row_id'].dataType.simpleString()}, h1 long, h2 long{text}")
+
+
+def _counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(h1, h2, copies, first_id)`` of every key."""
+    return record_keys(docs, id_col, text_col).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("row_id").alias("first_id"))
+
+
+def _shared_rows(docs: DataFrame, id_col: str, text_col: str, repeated: DataFrame) -> DataFrame:
+    """``(row_id, h1, h2, slice, text)`` of the rows whose key is among ``repeated(h1, h2, copies)``, key by key and slice by slice."""
+    few = repeated.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    rows = record_keys(docs, id_col, text_col, with_text=True).join(F.broadcast(repeated) if few else repeated, ["h1", "h2"])
+    part = F.pmod(F.xxhash64("row_id", F.lit(5)), F.ceil(F.col("copies") / SLICE)).cast("int")
+    rows = rows.select("row_id", "h1", "h2", part.alias("slice"), "text")
+    return rows.repartition("h1", "h2", "slice").sortWithinPartitions("h1", "h2", "slice")
 
 
 def duplicate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(row_id, norm_text)`` of every row whose normalised text another row has too.
 
     Null texts and texts without letters or digits are in no group. Repeated ids are kept as rows. Columns other
-    than the two named are ignored.
+    than the two named are ignored; an empty table gives no rows.
     """
-    keyed = record_keys(docs, id_col, text_col)
-    groups = keyed.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2")
-    kind = keyed.schema["row_id"].dataType.simpleString()
-    return (
-        keyed.join(groups, ["h1", "h2"], "left_semi").select("row_id", "h1", "h2", "text")
-        .mapInArrow(_confirm, f"row_id {kind}, norm_text string")
-    )
+    repeated = cut(_counts(docs, id_col, text_col).where("copies > 1").select("h1", "h2", "copies"))
+    rows = _shared_rows(docs, id_col, text_col, repeated)
+    field = rows.schema["row_id"].dataType
+    return rows.mapInArrow(_confirm(to_arrow_type(field)), f"row_id {field.simpleString()}, norm_text string")
 
 
 def collapsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per distinct record: ``(first_id, copies)``; ``first_id`` is the smallest id of the group."""
-    keyed = record_keys(docs, id_col, text_col)
-    return keyed.groupBy("h1", "h2").agg(F.min("row_id").alias("first_id"), F.count("*").alias("copies")).select("first_id", "copies")
+    """One row per distinct record: ``(first_id, copies)``; ``first_id`` is the smallest id of the group.
+
+    Records on one row count by their key alone; those of repeated keys are compared first.
+    """
+    keys = cut(_counts(docs, id_col, text_col))
+    rows = _shared_rows(docs, id_col, text_col, keys.where("copies > 1").select("h1", "h2", "copies"))
+    field = rows.schema["row_id"].dataType
+    kinds = rows.mapInArrow(_tally(to_arrow_type(field)), f"h1 long, h2 long, digest string, first_id {field.simpleString()}, copies long")
+    several = kinds.groupBy("h1", "h2", "digest").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
+    return keys.where("copies = 1").select("first_id", "copies").unionByName(several.select("first_id", "copies"))

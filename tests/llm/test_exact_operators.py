@@ -12,7 +12,7 @@ from tessera.llm.heavy_hitters import frequent_values
 from tessera.llm.mixing import fill, mix, pfair
 from tessera.llm.near_duplicates import EXPANDED_COPIES, banding, components, near_duplicate_groups, near_duplicate_pairs
 from tessera.llm.pieces import oversized_pieces
-from tessera.llm.repeated_lines import repeated_lines, without_lines
+from tessera.llm.repeated_lines import near_repeated_lines, repeated_lines, without_lines
 
 DIRT = [None, "", "   ", "\n", "…", "a", "İstanbul ΑΣ ß ﬁ", "x" * 5000, "a b " * 3000, "​", "é́ e"]
 
@@ -204,6 +204,56 @@ def test_two_pointer_comparison():
             assert same_record(a, b) == (canonical(a) == canonical(b))
 
 
+def test_records_that_share_all_hash_bits_are_kept_apart(spark, monkeypatch):
+    """With hashes that tell nothing, and groups in slices, the results are those of the comparison alone."""
+    import numpy as np
+
+    from tessera.llm import format_duplicates as fd
+
+    rows = [(i, x) for i, x in enumerate(FORMATS * 2 + ["only once", "and this", "b: 1; a: 2"])]
+    want = defaultdict(list)
+    for i, x in rows:
+        if key := plain_canonical(x):
+            want[key].append(i)
+    df = frame(spark, rows, "id long, q string").coalesce(1)
+    real = fd.record_hashes
+
+    def same(texts):
+        h1, _, filled = real(texts)
+        return np.ones_like(h1), np.ones_like(h1), filled
+
+    # the workers import the module anew, so the groups are run here over one ordered batch
+    import pyarrow as pa
+
+    filled = [(i, x) for i, x in rows if plain_canonical(x)]
+    ones = pa.array([1] * len(filled), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in filled], pa.int64()), ones, ones, pa.array([0] * len(filled), pa.int32()), pa.array([x for _, x in filled])], names=["row_id", "h1", "h2", "slice", "text"])
+    got = {r["row_id"]: r["norm_text"] for b in fd._confirm(pa.int64())(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()}
+    assert got == {i: key for key, ids in want.items() if len(ids) > 1 for i in ids}
+    kinds = [r for b in fd._tally(pa.int64())(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["first_id"], r["copies"]) for r in kinds) == sorted((min(ids), len(ids)) for ids in want.values())
+    assert same(["a"])[2].all() and df.count() == len(rows)
+    # a group in slices of two rows, some alone in theirs
+    monkeypatch.setattr(fd, "SLICE", 2)
+    assert {r.row_id for r in duplicate_rows(df, "id", "q").collect()} == set(got)
+    assert Counter(r.copies for r in collapsed(df, "id", "q").collect()) == Counter(map(len, want.values()))
+    monkeypatch.setattr(fd, "FEW_KEYS", 0)
+    assert {r.row_id for r in duplicate_rows(df, "id", "q").collect()} == set(got)
+
+
+def test_buckets_follow_the_share(spark, monkeypatch):
+    from tessera.llm import heavy_hitters as hh
+
+    assert hh.buckets_for(0.005) == 14 and hh.buckets_for(1e-5) == 20 and hh.buckets_for(1e-9) == 21
+    rng = random.Random(5)
+    values = [f"v{int(rng.paretovariate(0.4))}" for _ in range(20_000)]
+    df = frame(spark, [(v,) for v in values], "v string")
+    want = {k: n for k, n in Counter(values).items() if n >= 4}
+    assert {r.value: r.n for r in frequent_values(df, "v", share=0.0002).collect()} == want
+    monkeypatch.setattr(hh, "LITERALS", 5)
+    assert {r.value: r.n for r in frequent_values(df, "v", share=0.0002).collect()} == want
+
+
 def test_frequent_values_are_exact(spark):
     rng = random.Random(1)
     values = [rng.choice([" hot\n", "hot", "warm", None, "  "]) if rng.random() < 0.5 else f"cold {rng.randrange(3000)}" for _ in range(4000)]
@@ -224,6 +274,19 @@ def test_repeated_lines(spark):
     assert repeated_lines(df.limit(0), "id", "src", "body").count() == 0
 
 
+def test_lines_that_differ_in_numbers_are_one_cluster(spark):
+    rows = [(i, "site", f"Body of chunk {i} about the matter {i * 7}\nRead {i} more notes of 2{i} May\nkept line") for i in range(8)]
+    rows += [(50 + i, "other", f"Read {i} more notes of 2{i} May") for i in range(3)] + [(60, None, "Read 1 more notes"), (61, "site", None)]
+    df = frame(spark, [(i, s, x, "z") for i, s, x in rows], "id long, src string, body string, h string")
+    near = near_repeated_lines(df, "id", "src", "body")
+    got = {(r.id, r.line_no): r.docs_with_line for r in near.collect()}
+    assert {k for k in got if k[1] == 1} == {(i, 1) for i in range(8)} and got[0, 1] == 8 and (50, 0) not in got
+    assert {(r.id, r.line_no) for r in repeated_lines(df, "id", "src", "body").collect()} == {(i, 2) for i in range(8)} <= set(got)
+    clean = {r.id: r.body for r in without_lines(df, near, "id", "body").collect()}
+    assert "Read" not in clean[3] and "kept line" not in clean[3] and clean[50] == "Read 0 more notes of 20 May" and clean[61] is None
+    assert near_repeated_lines(df.limit(0), "id", "src", "body").count() == 0
+
+
 @pytest.mark.parametrize("limit,overlap", [(400, 80), (20, 5), (7, 0)])
 def test_pieces_cover_the_text(spark, limit, overlap):
     rng = random.Random(2)
