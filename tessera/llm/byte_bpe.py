@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from pathlib import Path
 
@@ -95,9 +96,15 @@ class Encoder:
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def _encoder(data: bytes) -> Encoder:
+    """A worker's encoder of a vocabulary, kept from task to task with what it remembers."""
+    return Encoder(data)
+
+
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value).encode
+        encode = _encoder(shared.value).encode
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -109,7 +116,7 @@ def _encode(shared):
 
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value).encode
+        encode = _encoder(shared.value).encode
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
@@ -118,6 +125,16 @@ def _count(shared):
     return run
 
 
+def _decode(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = _encoder(shared.value).decode
+        for batch in batches:
+            texts = [None if ids is None else decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return run
+
+
 def _shared(df: DataFrame, vocabulary: str):
     """The vocabulary file, under a megabyte, read once by the driver and sent to the workers."""
     return df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
@@ -135,3 +152,10 @@ def token_counts(docs: DataFrame, keep: list[str], text_col: str, *, vocabulary:
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_count(_shared(docs, vocabulary)), f"{schema}, tokens long")
+
+
+def texts_of(tokens: DataFrame, id_col: str, ids_col: str, *, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``(<id>, text)``: the texts of lists of ids; the empty list gives '', a null list null."""
+    rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_decode(_shared(tokens, vocabulary)), f"id {kind}, text string").withColumnRenamed("id", id_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .byte_bpe import token_ids
+from .byte_bpe import texts_of, token_ids
 from .format_duplicates import collapsed, duplicate_rows
 from .heavy_hitters import frequent_values
 from .language_id import document_languages, fitted, named_language, segment_languages
@@ -114,6 +114,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    return texts_of(p8_ids(spark, d), "doc_id", "ids")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "source", "text")[0]
 
@@ -206,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT chunk_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM a ANTI JOIN d USING (chunk_id, line_no) GROUP BY chunk_id)
             SELECT s.chunk_id, CASE WHEN s.chunk_text IS NOT NULL THEN coalesce(t, '') END AS chunk_text FROM knowledge_sources s LEFT JOIN c USING (chunk_id)
         """,
+        "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p6_found": f"""
             SELECT chunk_id FROM rag_chunks
             WHERE len(list_filter(regexp_split_to_array(chunk_text, '{SPACE}+'), lambda w: w <> '')) > 400

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 import regex
 
-from tessera.llm.byte_bpe import DEFAULT_VOCABULARY, Encoder, token_counts, token_ids
+from tessera.llm.byte_bpe import DEFAULT_VOCABULARY, Encoder, texts_of, token_counts, token_ids
 from tessera.llm.format_duplicates import canonical, collapsed, duplicate_rows, same_record
 from tessera.llm.heavy_hitters import frequent_values
 from tessera.llm.mixing import fill, mix, pfair
@@ -324,6 +324,9 @@ def test_token_ids_equal_the_public_library(spark):
     for i, x in enumerate(texts):
         assert got[i] == (library.encode(x, add_special_tokens=False).ids if x else [])
         assert not x or encoder.decode(got[i]) == x
+    back = {r.id: r.text for r in texts_of(token_ids(df, "id", "ids"), "id", "ids").collect()}
+    assert back == {i: x or "" for i, x in enumerate(texts)}
+    assert texts_of(frame(spark, [(1, None)], "id long, ids array<int>"), "id", "ids").first().text is None
     counted = token_counts(df.withColumnRenamed("ids", "t"), ["id"], "t")
     assert {r.id: r.tokens for r in counted.collect()} == {i: len(v) for i, v in got.items()}
 
