@@ -14,7 +14,8 @@ def packed_ranges(counts: Column, size: int, overlap: int) -> Column:
 
     From start s a range takes sentences while their words stay within ``size`` (the first always); the next start goes
     back over whole sentences while their words stay within ``overlap``, but ahead of s. With prefix sums P both ends
-    are counts of prefix sums under a bound, so each range costs two passes over P.
+    are counts of prefix sums under a bound. A sentence has a word at least, so the end lies within ``size`` sentences
+    and the next start within ``overlap``, and only that slice of P is looked at.
     """
     zero = F.array(F.lit(0))
     sums = F.aggregate(counts, zero, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
@@ -22,8 +23,11 @@ def packed_ranges(counts: Column, size: int, overlap: int) -> Column:
 
     def step(acc: Column, p: Column, n: Column) -> Column:
         at = acc["at"]
-        end = F.greatest(at + 1, F.size(F.filter(p, lambda x: x <= F.get(p, at) + size)) - 1).cast("int")
-        back = F.greatest(at + 1, F.size(F.filter(p, lambda x: x < F.get(p, end) - overlap))).cast("int")
+        ahead = F.filter(F.slice(p, F.greatest(at, F.lit(0)) + 1, F.lit(size + 2)), lambda x: x <= F.get(p, at) + size)
+        end = F.greatest(at + 1, at + F.size(ahead) - 1).cast("int")
+        low = F.greatest(end - overlap, F.lit(0))
+        behind = F.filter(F.slice(p, low + 1, F.lit(overlap + 1)), lambda x: x < F.get(p, end) - overlap)
+        back = F.greatest(at + 1, low + F.size(behind)).cast("int")
         done = F.struct(F.lit(-1).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("lo"), end.alias("hi")))).alias("out"))
         more = F.struct(back.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("lo"), end.alias("hi")))).alias("out"))
         return F.when(at < 0, acc).when(end >= n, done).otherwise(more)

@@ -121,12 +121,12 @@ def page_sections(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
     Built from one page's blocks at a time, which a page's size bounds.
     """
-    blocks = page_blocks(pages, id_col, html_col)
-    flagged = block_signals(blocks, "text")
+    flagged = block_signals(page_blocks(pages, id_col, html_col), "text")
     keep = (F.length("text") > MIN_BLOCK) & (F.size("reasons") == 0)
     item = F.struct("pos", F.col("tag").isin(*HEADINGS).alias("head"), "text")
-    rows = flagged.where(F.col("tag").isin(*HEADINGS) | F.col("tag").isin("p", "li") & keep)
-    per = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("b"))
+    used = F.col("tag").isin(*HEADINGS) | F.col("tag").isin("p", "li") & keep
+    # the title's row gives every page one, so pages without prose come out too, and a page is parsed once
+    per = flagged.groupBy("page_id").agg(F.max(F.when(F.col("tag") == "title", F.col("title"))).alias("title"), F.array_sort(F.collect_list(F.when(used, item))).alias("b"))
     none = F.array().cast("array<struct<heading:string,text:string>>")
     start = F.struct(F.lit("").alias("heading"), F.array().cast("array<string>").alias("open"), none.alias("done"))
 
@@ -140,8 +140,7 @@ def page_sections(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
         return F.when(b["head"], heading).otherwise(block)
 
     sections = F.aggregate("b", start, step, shut)
-    titles = blocks.where("tag = 'title'").select("page_id", "title")
-    return titles.join(per, "page_id", "left").select("page_id", "title", F.coalesce(sections, none).alias("sections"))
+    return per.select("page_id", "title", F.coalesce(sections, none).alias("sections"))
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

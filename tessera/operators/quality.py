@@ -81,11 +81,13 @@ def drop_summary(dropped: DataFrame, by: str, chars: int = 200) -> DataFrame:
 def candidates(df: DataFrame, pos_col: str, title_col: str, text_col: str, *, min_words: int = 25, prefix: int = 200) -> DataFrame:
     """Rows of ``min_words`` words, the first by ``pos_col`` of each distinct ``prefix`` of the stripped text.
 
-    A missing or blank title becomes 'Unknown Source'. The first row is found by aggregation, so a prefix on a third of
-    the rows costs one row per task.
+    A missing or blank title becomes 'Unknown Source'; the text comes out stripped. The first row is found by
+    aggregation in one reading, so a prefix on a third of the rows costs one row per task.
     """
     text = strip(text_col)
-    rows = df.where(F.size(words(text_col)) >= min_words)
-    first = rows.groupBy(F.xxhash64(F.left(text, F.lit(prefix))).alias("__k"), F.left(text, F.lit(prefix)).alias("__p")).agg(F.min(pos_col).alias(pos_col)).select(pos_col)
-    title = strip(title_col)
-    return rows.join(first, pos_col, "left_semi").withColumn(title_col, F.when(title != "", title).otherwise("Unknown Source")).withColumn(text_col, text)
+    rows = df.where(F.size(words(text_col)) >= min_words).withColumn(text_col, text)
+    head = F.left(F.col(text_col), F.lit(prefix))
+    first = rows.groupBy(F.xxhash64(head).alias("__k"), head.alias("__p")).agg(F.min_by(F.struct(*df.columns), F.col(pos_col)).alias("__r"))
+    title = strip(F.col(f"__r.{title_col}"))
+    kept = {c: F.when(title != "", title).otherwise("Unknown Source") if c == title_col else F.col(f"__r.{c}") for c in df.columns}
+    return first.select(*(v.alias(c) for c, v in kept.items()))

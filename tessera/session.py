@@ -32,11 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as the session is wide if its files make fewer, as a small table in one file does.
+    """``df`` over as many tasks as there are cores if its files make fewer, as a small table in one file does.
 
-    A table of many files is left as it is, so nothing is shuffled at scale.
+    A table of more files than that is left as it is, so nothing is shuffled at scale.
     """
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= width(df.sparkSession) else df.repartition(width(df.sparkSession))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -82,10 +82,10 @@ def test_shared_folder_is_never_one_machines(monkeypatch):
 
 
 def test_small_tables_are_spread(spark):
-    from tessera.session import spread, width
+    from tessera.session import spread
 
     one = spark.range(10).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == width(spark) and spread(spark.range(10, numPartitions=20)).rdd.getNumPartitions() == 20
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(spark.range(10, numPartitions=20)).rdd.getNumPartitions() == 20
 
 
 def test_prose_filter(spark):
