@@ -122,12 +122,14 @@ def _runs() -> str:
 _METRICS = ["mrr", *(f"{m}_{k}" for k in (1, 3, 5) for m in ("hit", "recall", "precision", "ndcg"))]
 
 
-def _mmr(trade: float) -> str:
-    return f"""WITH RECURSIVE {_common()},
+def _mmr(trade: float, extra: str = "", pool: str = "bm25 JOIN docs USING (doc_id) WHERE rank <= 15", ends: str = "") -> str:
+    """Diversified order of ``pool``; ``extra`` CTEs come before it and ``ends`` after the result ``r``, in place of the plain one."""
+    usual = "SELECT query_id, doc_id, pos::INT AS pos, round(v, 4) AS mmr_score, round(red, 4) AS max_redundancy FROM r WHERE pos > 0"
+    return f"""WITH RECURSIVE {_common()},{extra}
     p AS (
       SELECT query_id, doc_id, rank - 1 AS i, {plain('text')} AS t, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE
         ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS rel
-      FROM bm25 JOIN docs USING (doc_id) WHERE rank <= 15 WINDOW w AS (PARTITION BY query_id)
+      FROM {pool} WINDOW w AS (PARTITION BY query_id)
     ),
     sim AS (
       SELECT a.query_id, a.i, list(CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0::DOUBLE
@@ -145,7 +147,7 @@ def _mmr(trade: float) -> str:
         FROM r JOIN c ON r.query_id = c.query_id AND NOT list_contains(r.got, c.i) WHERE r.pos < 6
       ) WHERE rn = 1
     )
-    SELECT query_id, doc_id, pos::INT AS pos, round(v, 4) AS mmr_score, round(red, 4) AS max_redundancy FROM r WHERE pos > 0"""
+    {ends or usual}"""
 
 
 def _packed(size: int, overlap: int, columns: str) -> str:
@@ -338,6 +340,13 @@ def oracle_sql() -> dict[str, str]:
         "unique_sources": f"""WITH {c}, r AS (SELECT query_id, d.source AS source_url, min(rank) AS f, arg_min(coalesce(d.source_title, 'Untitled Source'), rank) AS source_title
               FROM bm25 JOIN documents d USING (doc_id) WHERE rank <= 20 AND d.source <> '' GROUP BY query_id, d.source)
             SELECT query_id, source_url, source_title, row_number() OVER (PARTITION BY query_id ORDER BY f)::INT AS pos FROM r QUALIFY pos <= 5""",
+        "retrieve_prompts": _mmr(
+            0.8,
+            f"{_RERANKED}, pl AS (SELECT r.query_id, r.doc_id, r.rank, coalesce(l.score, 0) AS score FROM reranked r LEFT JOIN lexical l USING (query_id, doc_id) WHERE r.first_rank <= 15),",
+            "pl JOIN docs USING (doc_id)",
+            """SELECT query_id, length(string_agg(b, chr(10) || chr(10) ORDER BY pos))::INT AS chars, md5(string_agg(b, chr(10) || chr(10) ORDER BY pos)) AS prompt_hash
+            FROM (SELECT query_id, pos, 'Source: ' || coalesce(source_title, 'Unknown Source') || chr(10) || 'Text: ' || d.text AS b FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE pos > 0) GROUP BY query_id""",
+        ),
         "retrieval_per_query": f"WITH {_runs()} SELECT run, query_id, {metrics} FROM per",
         "ranker_compare": f"WITH {_runs()}, m AS (SELECT run, count(*) AS queries, {means} FROM per GROUP BY run) SELECT *, round(mrr - lag(mrr) OVER (ORDER BY run), 4) AS mrr_delta FROM m",
         "distractor_screen": f"WITH {_SCREENED} SELECT doc_id, query_id, round(score, 6) AS score, round(bar, 6) AS bar, round(score - bar, 6) AS margin FROM w",
