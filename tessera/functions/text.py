@@ -117,6 +117,31 @@ def analysis(c: Column | str) -> Column:
     return F.when(col(c).isNotNull(), F.transform(F.array(unfenced(c)), read)[0])
 
 
+# fixed value: the reason of an answer without a verdict
+NO_ANALYSIS = "No hallucination analysis returned."
+
+
+def analysis_or_text(df: DataFrame, name: str) -> Column:
+    """struct(score string, reason string) of a verdict that may be a struct, a JSON object as text, or neither.
+
+    A struct with ``hallucination_score`` and ``reason`` is taken as it is; text that is no strict JSON object becomes
+    the reason, unstripped, with a null score; null gives a fixed reason.
+    """
+    kind = df.schema[name].dataType
+    c = F.col(f"`{name}`")
+    pair = lambda score, reason: F.struct(score.cast("string").alias("score"), reason.cast("string").alias("reason"))
+    nothing = pair(F.lit(None), F.lit(NO_ANALYSIS))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), pair(c["hallucination_score"], c["reason"])).otherwise(nothing)
+    options = {"columnNameOfCorruptRecord": "__odd", "allowSingleQuotes": "false"}
+
+    def read(json: Column) -> Column:
+        return F.when(c.rlike(r"^\s*\{") & json["__odd"].isNull(), pair(json["hallucination_score"], json["reason"])).otherwise(pair(F.lit(None), c))
+
+    parsed = F.transform(F.array(F.from_json(c, "hallucination_score string, reason string, __odd string", options)), read)[0]
+    return F.when(c.isNotNull(), parsed).otherwise(nothing)
+
+
 def verdict(c: Column | str) -> Column:
     """A known verdict in lower case, else 'baseless'."""
     v = F.lower(strip(c))

@@ -150,10 +150,10 @@ def _mmr(trade: float, extra: str = "", pool: str = "bm25 JOIN docs USING (doc_i
     {ends or usual}"""
 
 
-def _packed(size: int, overlap: int, columns: str) -> str:
+def _packed(size: int, overlap: int, columns: str, source: str = "rag_chunks", before: str = "") -> str:
     """Chunks by sentence packing: one recursive row per range of sentences."""
-    return f"""WITH RECURSIVE
-    sn AS (SELECT {columns}, {sents('chunk_text')} AS ss FROM rag_chunks),
+    return f"""WITH RECURSIVE {before}
+    sn AS (SELECT {columns}, {sents('chunk_text')} AS ss FROM {source}),
     sl AS (
       SELECT {columns}, flatten(list_transform(ss, lambda s: CASE WHEN len({words('s')}) > {size}
         THEN list_transform(range(0, len({words('s')}), {size}), lambda i: array_to_string(({words('s')})[i + 1 : i + {size}], ' ')) ELSE [s] END)) AS ss FROM sn
@@ -170,19 +170,42 @@ def _packed(size: int, overlap: int, columns: str) -> str:
     packed AS (SELECT {columns}, (row_number() OVER (PARTITION BY chunk_id ORDER BY k) - 1)::INT AS chunk_index, chunk FROM ck WHERE length(chunk) > 50)"""
 
 
-_SIGNALS = f"""
-    w AS (SELECT chunk_id, source_url, chunk_text, len({words('chunk_text')}) AS words, regexp_replace(lower(chunk_text), '{SPACE}+', ' ', 'g') AS low FROM rag_chunks),
-    d AS (
+def _signals(source: str, p: str = "") -> str:
+    """The prose filter's signals ``s`` of the texts of ``source``; ``p`` leads the names of the CTEs."""
+    return f"""
+    {p}w AS (SELECT *, len({words('chunk_text')}) AS words, regexp_replace(lower(chunk_text), '{SPACE}+', ' ', 'g') AS low FROM {source}),
+    {p}d AS (
       SELECT *, CASE WHEN words > 0 THEN len(regexp_extract_all(chunk_text, {_q(CITATION)}))::DOUBLE / words ELSE 0 END AS citation_density,
         CASE WHEN words > 0 THEN len(regexp_extract_all(chunk_text, '[.!?](?:{SPACE}|$)')) * 100::DOUBLE / words ELSE 0 END AS sentence_density,
-        list_filter({_list(CHROME)}, lambda p: contains(low, p)) AS chrome FROM w
+        list_filter({_list(CHROME)}, lambda p: contains(low, p)) AS chrome FROM {p}w
     ),
-    s AS (
+    {p}s AS (
       SELECT *, list_filter([CASE WHEN words = 0 THEN 'empty' END, CASE WHEN words > 0 AND len(chrome) > 0 THEN 'chrome:' || chrome[1] END,
         CASE WHEN words >= 40 AND citation_density > 0.08::DOUBLE THEN 'citations:' || printf('%.3f', citation_density) END,
-        CASE WHEN words >= 40 AND sentence_density < 1.2::DOUBLE THEN 'fragmented:' || printf('%.2f', sentence_density) END], lambda x: x IS NOT NULL) AS reasons FROM d
+        CASE WHEN words >= 40 AND sentence_density < 1.2::DOUBLE THEN 'fragmented:' || printf('%.2f', sentence_density) END], lambda x: x IS NOT NULL) AS reasons FROM {p}d
     )"""
 
+
+_SIGNALS = _signals("rag_chunks")
+
+
+def _ingest() -> str:
+    """Pages of one heading: prose lines packed, led by the heading, filtered again, capped, and held against the store."""
+    lines = f"""
+    ln AS (
+      SELECT chunk_id, source_url, source_title, i, {strip('x')} AS chunk_text
+      FROM (SELECT chunk_id, source_url, source_title, unnest(string_split(chunk_text, chr(10))) AS x, generate_subscripts(string_split(chunk_text, chr(10)), 1) AS i FROM rag_chunks WHERE chunk_text IS NOT NULL)
+    ),{_signals('ln', 'l')},
+    pg AS (SELECT chunk_id, coalesce(source_url, '') AS source_url, {strip("coalesce(source_title, '')")} AS head, string_agg(chunk_text, chr(10) ORDER BY i) AS chunk_text FROM ls
+      WHERE length(chunk_text) > 40 AND len(reasons) = 0 GROUP BY ALL),"""
+    return f"""{_packed(400, 80, 'chunk_id, source_url, head', 'pg', lines)},
+    led AS (SELECT chunk_id, source_url, CASE WHEN head <> '' THEN '[' || head || '] ' || chunk ELSE chunk END AS chunk_text, chunk_index FROM packed),{_signals('led', 'h')},
+    ok AS (SELECT source_url, chunk_id FROM hs WHERE len(reasons) = 0 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_index) <= 300),
+    n AS (SELECT source_url, count(*) AS inserted FROM ok GROUP BY ALL),
+    o AS (SELECT source_url, count(*) AS d FROM rag_chunks GROUP BY ALL)
+    SELECT n.source_url, inserted, coalesce(d, 0) AS deleted, coalesce(d, 0) > 0 AS refreshed FROM n LEFT JOIN o ON n.source_url = o.source_url"""
+
+
 _BODY = strip("regexp_replace(" + strip("hallucination_analysis") + ", '^```(?:json)?|```$', '', 'g')")
 _ANALYSIS = f"""
     b AS (SELECT id, risk_level, answer, hallucination_analysis AS raw, {_BODY} AS body FROM audit_logs),
@@ -323,6 +346,17 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY raw_user_query, rewritten_query, source_url LIMIT 50""",
         "url_check": """SELECT chunk_id, nullif(regexp_extract(source_url, '^[a-z]+://([^/:?#]+)', 1), '') AS host,
             coalesce(regexp_matches(source_url, '^https?://[^/:?#]+'), false) AS valid FROM knowledge_sources""",
+        "ingest_pages": _ingest(),
+        "analysis_or_text": """WITH t AS (SELECT id, hallucination_analysis AS x, coalesce(json_valid(hallucination_analysis) AND starts_with(ltrim(hallucination_analysis), '{'), false) AS ok FROM audit_logs)
+            SELECT id, CASE WHEN ok THEN x::JSON ->> '$.hallucination_score' END AS score,
+              CASE WHEN x IS NULL THEN 'No hallucination analysis returned.' WHEN ok THEN x::JSON ->> '$.reason' ELSE x END AS reason FROM t""",
+        "prompt_windows": """WITH f AS (SELECT source_title, chunk_text, row_number() OVER (PARTITION BY source_title ORDER BY chunk_id) AS k FROM rag_chunks WHERE source_title IS NOT NULL AND chunk_text IS NOT NULL QUALIFY k <= 3)
+            SELECT source_title, md5(string_agg('WINDOW ' || (k - 1) || ': (Source: ' || source_title || ')' || chr(10) || chunk_text, chr(10) || chr(10) ORDER BY k)) AS windows,
+              md5(string_agg('(Source: ' || source_title || ')' || chr(10) || chunk_text, chr(10) || chr(10) ORDER BY k)) AS whole FROM f GROUP BY ALL""",
+        "stream_append": "SELECT id, risk_level FROM audit_logs",
+        "stream_risk_counts": f"""SELECT (floor(epoch(created_at) / 3600) * 3600)::BIGINT AS hour, coalesce({strip('risk_level')}, '') AS level, count(*) AS n
+            FROM audit_logs WHERE created_at IS NOT NULL GROUP BY ALL""",
+        "stream_cache": f"WITH RECURSIVE {_TTL}, mm AS (SELECT key, count(*) AS misses FROM miss GROUP BY ALL) SELECT key, misses, sum(n)::BIGINT AS accesses FROM cnt JOIN mm USING (key) GROUP BY ALL",
         "html_titles": f"SELECT chunk_id AS page_id, coalesce({strip('source_title')}, '') AS title FROM rag_chunks WHERE chunk_text IS NOT NULL",
         "cosine_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_cos('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
             SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 15""",

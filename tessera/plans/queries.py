@@ -17,6 +17,7 @@ from ..operators import audit, catalog, chunking, diversity, evaluation, html, l
 from ..session import cut, shared_dir, spread, table
 from ..sources import tables
 from ..sources.tables import latest
+from ..streaming import logs
 from .pipeline import ingest, retrieve
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +118,24 @@ def analysis_parse(spark, d):
     return table(spark, d, "audit_logs").select("id", a["score"].alias("score"), a["reason"].alias("reason"))
 
 
+@query
+def analysis_or_text(spark, d):
+    log = table(spark, d, "audit_logs").select("id", "hallucination_analysis")
+    a = tx.analysis_or_text(log, "hallucination_analysis")
+    return log.select("id", a["score"].alias("score"), a["reason"].alias("reason"))
+
+
+@query
+def prompt_windows(spark, d):
+    """The stored chunks of each source as numbered windows and as one context, of the first three by number."""
+    rows = table(spark, d, "rag_chunks").where("source_title IS NOT NULL AND chunk_text IS NOT NULL").select("source_title", "chunk_id", "chunk_text")
+    first = chunking.first_per_source(rows, "source_title", ["chunk_id"], 3, rank="k")
+    item = F.struct("k", tx.window_block(F.col("k") - 1, F.col("source_title"), F.col("chunk_text")).alias("w"), tx.full_block(F.col("source_title"), F.col("chunk_text")).alias("f"))
+    per = first.groupBy("source_title").agg(F.array_sort(F.collect_list(item)).alias("x"))  # three each
+    joined = lambda name: F.md5(F.array_join(F.transform("x", lambda r: r[name]), "\n\n"))
+    return per.select("source_title", joined("w").alias("windows"), joined("f").alias("whole"))
+
+
 @query
 def feedback_labels(spark, d):
     return table(spark, d, "feedback_log").select("feedback_id", F.coalesce(tx.feedback_label("feedback"), F.lit(0)).alias("label"))
@@ -782,6 +801,38 @@ def cached_answers(spark, d):
     return out.select("id", "value")
 
 
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The audit log as a stream of its files."""
+    kind = table(spark, d, "audit_logs").schema
+    return spark.readStream.schema(kind).parquet(f"{d}/audit_logs.parque[t]").select("id", "query", "risk_level", "created_at")
+
+
+def _run(stream: DataFrame, mode: str) -> DataFrame:
+    """What the stream has given when all that is there has been read."""
+    name = f"run_{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _scratch(stream.sparkSession)).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query
+def stream_append(spark, d):
+    path = _scratch(spark)
+    logs.append_audit(_stream(spark, d), path, _scratch(spark)).awaitTermination()
+    return spark.read.parquet(path).select("id", "risk_level")
+
+
+@query
+def stream_risk_counts(spark, d):
+    out = _run(logs.risk_counts(_stream(spark, d), "created_at", "risk_level"), "complete")
+    return out.groupBy(F.unix_timestamp("from").alias("hour"), F.coalesce("level", F.lit("")).alias("level")).agg(F.sum("n").alias("n"))
+
+
+@query
+def stream_cache(spark, d):
+    out = _run(logs.cached_answers(_stream(spark, d), "query", "created_at"), "append")
+    return out.groupBy("key").agg(F.count_if(~F.col("hit")).alias("misses"), F.count("*").alias("accesses"))
+
+
 @query
 def risk_by_hour(spark, d):
     rows = table(spark, d, "audit_logs").where("created_at IS NOT NULL")
