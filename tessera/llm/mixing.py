@@ -8,8 +8,8 @@ each bucket), so no source, however large, meets in one task.
 
 The order of the mix is a Pfair schedule: a source with share w releases its j-th block at slot floor(j/w) with deadline
 ceil((j+1)/w); each slot goes to the released block with the earliest deadline, which keeps every source within one
-block of its ideal share at all times. A block has ``BLOCK_TOKENS`` tokens, within bounds on the number of slots that
-keep the mix fine in a small corpus and the schedule on the driver in a large one.
+block of its ideal share at all times. A block holds ``BLOCK_DOCS`` documents of mean size, so that a document across
+its edge is a small part of it, and more where there would be over ``MOST_BLOCKS``, which the driver lays out.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from ..session import cut
 from .byte_bpe import DEFAULT_VOCABULARY, token_counts
 
 
-BLOCK_TOKENS = 1 << 20
-LEAST_BLOCKS, MOST_BLOCKS = 10_000, 1_000_000  # slots of the schedule; the last is what the driver lays out and broadcasts
+BLOCK_DOCS = 16
+MOST_BLOCKS = 1_000_000  # slots of the schedule
 BUCKET_ROWS = 100_000  # documents of a source in a bucket of its order, about
 
 
@@ -90,7 +90,7 @@ def mix(
     have = {r["source"]: int(r["n"] or 0) for r in sums}
     total = sum(have.values())
     demand = fill(total, {s: w for s, (w, _) in wanted.items()}, {s: have.get(s, 0) * c for s, (_, c) in wanted.items()})
-    blocks = blocks or min(max(total // BLOCK_TOKENS, LEAST_BLOCKS), MOST_BLOCKS)
+    blocks = blocks or min(max(sum(r["docs"] for r in sums) // BLOCK_DOCS, 1), MOST_BLOCKS)
     block = max(total / blocks, 1.0)
     used = {s: d for s, d in demand.items() if d > 0}
     order = pfair({s: math.ceil(d / block) for s, d in used.items()})
@@ -125,3 +125,20 @@ def mix(
         )
     )
     return drawn, shares
+
+
+def deviation(drawn: DataFrame) -> DataFrame:
+    """``(source, actual_share, blocks)``: by how many mean blocks a source is at most ahead of or behind its share anywhere in the mix.
+
+    Only the sums of the slots are ordered, at most ``MOST_BLOCKS`` and some rows, whatever the corpus. No rows for an empty mix.
+    """
+    per = drawn.groupBy("slot", "source").agg(F.sum("tokens").alias("n"))
+    upto = Window.orderBy("slot", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = per.withColumn("all", F.sum("n").over(upto)).withColumn("own", F.sum("n").over(own))
+    whole = per.groupBy("source").agg(F.sum("n").alias("s")).crossJoin(F.broadcast(per.agg(F.sum("n").alias("w"), F.avg("n").alias("block"))))
+    share = F.col("s") / F.col("w")
+    rows = rows.join(F.broadcast(whole), "source")  # a row a source
+    after = F.abs(F.col("own") - share * F.col("all"))
+    before = F.abs(F.col("own") - F.col("n") - share * (F.col("all") - F.col("n")))
+    return rows.groupBy("source").agg(F.max(share).alias("actual_share"), (F.max(F.greatest(before, after)) / F.max("block")).alias("blocks"))

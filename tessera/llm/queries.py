@@ -13,7 +13,7 @@ from .format_duplicates import collapsed, duplicate_rows
 from .heavy_hitters import frequent_values
 from .language_id import document_languages, fitted, named_language, segment_languages
 from .main_content import furniture_lines, main_body
-from .mixing import mix
+from .mixing import deviation, mix
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .pair_defects import pair_defects, sampled_judge
 from .pieces import oversized_pieces
@@ -126,6 +126,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "source", "text")[1]
 
 
+def p9_deviation(spark: SparkSession, d: str) -> DataFrame:
+    return deviation(mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), "doc_id", "source", "text")[0])
+
+
 def _models(spark: SparkSession, d: str):
     return fitted(table(spark, d, "documents"), table(spark, d, "language_names"), "doc_id", "text", "lang")
 
