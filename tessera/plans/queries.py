@@ -293,7 +293,7 @@ def url_check(spark, d):
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages made of the stored texts: each line a paragraph, under the title, beside furniture the parser must drop."""
-    rows = table(spark, d, "rag_chunks").where("chunk_text IS NOT NULL")
+    rows = spread(table(spark, d, "rag_chunks").where("chunk_text IS NOT NULL"))
     safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = F.array_join(F.transform(F.split("chunk_text", "\n"), lambda x: F.concat(F.lit("<p>"), safe(x))), "")
     page = F.concat(F.lit("<html><nav><li>Home and everything else that a menu may hold</li></nav><h1>"), safe(F.coalesce("source_title", F.lit(""))), F.lit("</h1>"), body, F.lit("<footer><p>All rights reserved</p></footer></html>"))
@@ -655,7 +655,7 @@ def overall_metrics(spark, d):
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "audit_logs").withColumn("claims", tx.sentences("answer"))
+    log = spread(table(spark, d, "audit_logs").select("id", "answer", "hallucination_analysis", "risk_level")).withColumn("claims", tx.sentences("answer"))
     claims = F.col("claims")
     named = F.transform(claims, lambda c: F.when(tx.denies(c), "Contradicted").when(F.length(c) % 2 == 0, "entailed").otherwise("other"))
     null = F.lit(None).cast("int")
