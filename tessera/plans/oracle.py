@@ -122,7 +122,7 @@ def _runs() -> str:
 _METRICS = ["mrr", *(f"{m}_{k}" for k in (1, 3, 5) for m in ("hit", "recall", "precision", "ndcg"))]
 
 
-def _mmr(trade: float, extra: str = "", pool: str = "bm25 JOIN docs USING (doc_id) WHERE rank <= 15", ends: str = "") -> str:
+def _mmr(trade: float, extra: str = "", pool: str = "bm25 JOIN docs USING (doc_id) WHERE rank <= 15", ends: str = "", alike: str = "(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))") -> str:
     """Diversified order of ``pool``; ``extra`` CTEs come before it and ``ends`` after the result ``r``, in place of the plain one."""
     usual = "SELECT query_id, doc_id, pos::INT AS pos, round(v, 4) AS mmr_score, round(red, 4) AS max_redundancy FROM r WHERE pos > 0"
     return f"""WITH RECURSIVE {_common()},{extra}
@@ -133,7 +133,7 @@ def _mmr(trade: float, extra: str = "", pool: str = "bm25 JOIN docs USING (doc_i
     ),
     sim AS (
       SELECT a.query_id, a.i, list(CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0::DOUBLE
-        ELSE len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END ORDER BY b.i) AS s
+        ELSE len(list_intersect(a.t, b.t))::DOUBLE / {alike} END ORDER BY b.i) AS s
       FROM p a JOIN p b USING (query_id) GROUP BY ALL
     ),
     c AS (SELECT p.query_id, p.doc_id, p.i, p.rel, sim.s FROM p JOIN sim USING (query_id, i)),
@@ -369,6 +369,19 @@ def oracle_sql() -> dict[str, str]:
         "rrf_weighted": f"WITH {c}, {_fused(2, 0.5)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM fused WHERE rank <= 20",
         "pool_rerank": f"WITH {c}, {_RERANKED} SELECT query_id, doc_id, first_rank, rank FROM reranked",
         "mmr_50": _mmr(0.5),
+        "mmr_hook": _mmr(0.6, alike="least(len(a.t), len(b.t))"),
+        "report_rankers": f"""WITH {_runs()}, m0 AS (SELECT run, {means} FROM per GROUP BY run), m AS (SELECT *, round(mrr - lag(mrr) OVER (ORDER BY run), 4) AS delta FROM m0)
+            SELECT '| Run | MRR | Change | Hit @1 | Recall @1 | nDCG @1 | Hit @3 | Recall @3 | nDCG @3 |' || chr(10) || '|---|---|---|---|---|---|---|---|---|' || chr(10) ||
+              string_agg('| ' || run || ' | ' || printf('%.3f', mrr) || ' | ' || coalesce(printf('%.3f', delta), '—') || ' | ' || {" || ' | ' || ".join(f"printf('%.3f', {m}_{k})" for k in (1, 3) for m in ('hit', 'recall', 'ndcg'))} || ' |', chr(10) ORDER BY run) AS report FROM m""",
+        "report_classes": f"""WITH {_JUDGED}, t AS (SELECT count(*) AS n, count(*) FILTER (gold = pred) AS ok FROM j),
+            ov AS (SELECT round(ok::DOUBLE / n, 4) AS a, round(avg(f1), 4) AS m, round(sum(f1 * support) / n, 4) AS w, n FROM prf, t GROUP BY n, ok),
+            od AS (SELECT unnest(['entailed', 'baseless', 'contradicted']) AS label, unnest([1, 2, 3]) AS o),
+            cl AS (SELECT string_agg('| ' || label || ' | ' || printf('%.3f', precision) || ' | ' || printf('%.3f', recall) || ' | ' || printf('%.3f', f1) || ' | ' || support || ' |', chr(10) ORDER BY o) AS x FROM prf JOIN od USING (label)),
+            ce AS (SELECT g.label, g.o, string_agg(k::VARCHAR, ' | ' ORDER BY p.o) AS x FROM od g CROSS JOIN od p
+              JOIN (SELECT a.label AS gl, b.label AS pl, count(j.gold) AS k FROM od a CROSS JOIN od b LEFT JOIN j ON j.gold = a.label AND j.pred = b.label GROUP BY ALL) c ON gl = g.label AND pl = p.label GROUP BY ALL)
+            SELECT 'Accuracy ' || printf('%.3f', a) || ', macro F1 ' || printf('%.3f', m) || ', weighted F1 ' || printf('%.3f', w) || ', ' || n || ' cases.' || chr(10) || chr(10) ||
+              '| Label | Precision | Recall | F1 | Support |' || chr(10) || '|---|---|---|---|---|' || chr(10) || cl.x || chr(10) || chr(10) ||
+              '| Gold \\ predicted | entailed | baseless | contradicted |' || chr(10) || '|---|---|---|---|' || chr(10) || (SELECT string_agg('| ' || label || ' | ' || x || ' |', chr(10) ORDER BY o) FROM ce) AS report FROM ov, cl""",
         "mmr_80": _mmr(0.8),
         "mmr_100": f"WITH {c} SELECT query_id, doc_id, rank::INT AS pos, NULL::DOUBLE AS mmr_score, NULL::DOUBLE AS max_redundancy FROM bm25 WHERE rank <= 6",
         "unique_sources": f"""WITH {c}, r AS (SELECT query_id, d.source AS source_url, min(rank) AS f, arg_min(coalesce(d.source_title, 'Untitled Source'), rank) AS source_title
@@ -447,6 +460,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id, regexp_extract(regexp_replace(source_url, '/+$', ''), '([^/]*)$', 1) AS seg FROM rag_chunks)""",
         "feedback_sink": "SELECT feedback_id, coalesce(corrected_answer, '') AS corrected_answer FROM feedback_log",
         "chunk_sink": "SELECT count(*) AS chunks, count(DISTINCT chunk_id) AS keys FROM rag_chunks",
+        "fallback_source": "SELECT raw_user_query, domain FROM query_rewrite_training",
+        "finite_rows": "WITH t AS (SELECT id, CASE WHEN id % 3 = 2 THEN id::DOUBLE END AS x FROM audit_logs) SELECT id, x, x AS first, 1.5::DOUBLE AS second, x AS deep FROM t",
         "csv_source": "SELECT raw_user_query, rewritten_query, domain FROM query_rewrite_training",
         "jsonl_source": "SELECT feedback_id::VARCHAR AS id, question AS query FROM feedback_log WHERE question IS NOT NULL",
         "ranking_review": f"""WITH {c}, m AS (SELECT l.query_id, l.doc_id, l.rank, (r.doc_id IS NOT NULL) AS is_rel FROM lexical l LEFT JOIN rel r USING (query_id, doc_id) WHERE l.query_id IN (SELECT query_id FROM rel)),

@@ -18,6 +18,7 @@ from ..session import cut, shared_dir, spread, table
 from ..sources import tables
 from ..sources.tables import latest
 from ..streaming import logs
+from . import reports
 from .pipeline import ingest, retrieve
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +137,14 @@ def prompt_windows(spark, d):
     return per.select("source_title", joined("w").alias("windows"), joined("f").alias("whole"))
 
 
+@query
+def finite_rows(spark, d):
+    """Numbers that JSON doesn't have, at three depths, made null."""
+    x = F.when(F.col("id") % 3 == 0, float("nan")).when(F.col("id") % 3 == 1, float("inf")).otherwise(F.col("id").cast("double"))
+    rows = table(spark, d, "audit_logs").select("id", x.alias("x"), F.array(x, F.lit(1.5)).alias("a"), F.struct(F.array(F.struct(x.alias("z"))).alias("y")).alias("s"))
+    return tx.finite_row(rows).select("id", "x", F.get("a", F.lit(0)).alias("first"), F.get("a", F.lit(1)).alias("second"), F.get("s.y", F.lit(0))["z"].alias("deep"))
+
+
 @query
 def feedback_labels(spark, d):
     return table(spark, d, "feedback_log").select("feedback_id", F.coalesce(tx.feedback_label("feedback"), F.lit(0)).alias("label"))
@@ -271,6 +280,17 @@ def csv_source(spark, d):
     return rows.select(*(F.when(F.col(c) != "\\N", F.col(c)).alias(c) for c in ("raw_user_query", "rewritten_query", "domain")))
 
 
+@query
+def fallback_source(spark, d):
+    """The training pairs from the first place that holds any: a folder that isn't there, an empty one, then a CSV file."""
+    path, empty = _scratch(spark), _scratch(spark)
+    rows = table(spark, d, "query_rewrite_training").select("raw_user_query", "rewritten_query", "domain", "source_title", "source_url")
+    rows.limit(0).write.parquet(empty)
+    rows.write.csv(f"{path}.csv", header=True, escape='"', nullValue="\\N")
+    got = tables.first_available(spark, tables.REWRITES, _scratch(spark), empty, f"{path}.csv")
+    return got.select("raw_user_query", F.when(F.col("domain") != "\\N", F.col("domain")).alias("domain"))
+
+
 @query
 def jsonl_source(spark, d):
     path = _scratch(spark)
@@ -420,6 +440,14 @@ def mmr_100(spark, d):
     return _mmr(spark, d, 1.0)
 
 
+@query
+def mmr_hook(spark, d):
+    """Diversity with another similarity: the share of the smaller text's tokens that both hold."""
+    rows = _bm25(spark, d, 15).join(_docs(spark, d), "doc_id")
+    share = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))), F.lit(0.0))
+    return diversity.mmr(rows, k=6, trade=0.6, similarity=share)
+
+
 @query
 def unique_sources(spark, d):
     urls = table(spark, d, "documents").select("doc_id", "source_title", F.col("source").alias("source_url"))
@@ -462,6 +490,24 @@ def ranker_compare(spark, d):
     return evaluation.against_previous(evaluation.mean_metrics(_evaluated(spark, d)))
 
 
+def _text(spark: SparkSession, report: str) -> DataFrame:
+    return spark.createDataFrame([(report,)], "report string")
+
+
+@query
+def report_rankers(spark, d):
+    means = ranker_compare(spark, d).orderBy("run").collect()  # a row a run
+    return _text(spark, reports.rankers([r.asDict() for r in means], (1, 3)))
+
+
+@query
+def report_classes(spark, d):
+    judged = _judged(spark, d)
+    per = {r["label"]: r.asDict() for r in verification.class_metrics(judged).collect()}
+    cells = [r.asDict() for r in verification.confusion(judged).collect()]
+    return _text(spark, reports.classification([per[x] for x in verification.LABELS], verification.overall_metrics(judged).first().asDict(), cells))
+
+
 @query
 def run_detail(spark, d):
     out = evaluation.run_detail(_bm25(spark, d, 5), _relevant(spark, d), _asked(spark, d), 5)
