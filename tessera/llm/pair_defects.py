@@ -267,6 +267,17 @@ def _words(text: str) -> list[str]:
     return (_LATIN_WORD if _is_latin(text) else _WORD).findall(text)
 
 
+def _apart(words: list[str]) -> list[str]:
+    """The words of a Latin text in lower case, cut at what joins their parts."""
+    out: list[str] = []
+    for w in words:
+        if w.isalnum():
+            out.append(w.lower())
+        else:
+            out += _LATIN_SQUEEZE.findall(w.lower())
+    return out
+
+
 def _is_latin(text: str) -> bool:
     return text.isascii() or max(text) < "\u0300"
 
@@ -300,32 +311,35 @@ class Judge:
             out[used] = np.add.reduceat(self.detector.scores[rows], start)
         return out
 
-    def features(self, question: str, parts: list[str], margin: np.ndarray, total_margin: float, less: int = 0) -> np.ndarray:
+    def features(self, question: str, parts: list[str], margin: list[float], total_margin: float, less: int = 0) -> np.ndarray:
         """One row per clause. ``margin``: nats by which another language fits the clause better than the question's."""
         q = _squeezed(question)
-        x = np.zeros((len(parts), FEATURES))
+        rows: list[list[float]] = []
         known = set(q)
-        squeezed = [_squeezed(part) for part in parts]
+        telling = {w for w in known if len(w) > 3}
+        words = [_words(part) for part in parts]
+        squeezed = [_apart(own) if _is_latin(part) else _squeezed(part) for own, part in zip(words, parts)]
         # most clauses lack the first words of the lists' wording, and the lists are looked up for the rest only
         led = [bool(w) and w[0] in _LEADING and bool(LEAD.match(part)) for w, part in zip(squeezed, parts)]
         bare = [_squeezed(LEAD.sub("", part)) if lead else w for w, part, lead in zip(squeezed, parts, led)]
         answer = [w for k, own in enumerate(squeezed) for w in (own if k else bare[0])]
         held = set(answer)
         # a run can't be longer than the number of common words, so most clauses need no comparison
-        echo_all = len(answer) > 0 and bool(q) and sum(w in held for w in q) >= 0.9 * len(q) and _longest(q, answer) >= 0.9 * len(q)
+        echo_all = len(answer) > 0 and bool(q) and sum(map(held.__contains__, q)) >= 0.9 * len(q) and _longest(q, answer) >= 0.9 * len(q)
         rest = len(answer) - (len(q) * (1 + (len(answer) >= 2 * len(q))) if echo_all else 0)
         for i, part in enumerate(parts):
             own = bare[i]
-            run = _longest(own, q) / len(own) if own and sum(w in known for w in own) >= 0.5 * len(own) else 0.0
+            run = _longest(own, q) / len(own) if own and sum(map(known.__contains__, own)) >= 0.5 * len(own) else 0.0
             own_words = set(squeezed[i])
             speaker, unable, reply = (not own_words.isdisjoint(first) and bool(pattern.search(part)) for pattern, first in _ANYWHERE)
             regret, closer = (bool(own) and squeezed[i][0] in first and bool(pattern.search(part)) for pattern, first in _AT_BEGIN)
-            row = x[i]
+            row = [0.0] * FEATURES
+            rows.append(row)
             row[0] = 1
             row[1:9] = speaker, unable, reply, regret, closer, unable and reply, speaker and unable and reply, regret and unable
             row[9:14] = run >= 0.9, run >= 0.9 and echo_all, echo_all and rest <= 6, run < 0.5, led[i] and run >= 0.9
-            strange, speaks = self.endings.strangeness(_words(part), less)
-            apart = not any(len(w) > 3 and w in known for w in own)  # nothing of the question's in it
+            strange, speaks = self.endings.strangeness(words[i], less)
+            apart = telling.isdisjoint(own)  # nothing of the question's in it
             if total_margin <= 6 or margin[i] <= 0:  # another language has its own words for everything
                 row[27:33] = strange >= 0.3, strange >= 0.6, apart and strange >= 0.3, apart and strange >= 0.6, speaks >= 0.5, apart and speaks >= 0.5
             row[14:18] = margin[i] > 3, margin[i] > 10, total_margin > 6 and margin[i] > 0, total_margin > 20 and margin[i] > 0
@@ -346,7 +360,7 @@ class Judge:
                     row[24] = three >= 0.2
                     row[25] = part.count("(") > part.count(")") or part.count("“") > part.count("”")
                     row[26] = bool(_BARE.match(part)) or (bool(masked) and masked[-1].islower() and not self.endings.knows(masked[-1]))
-        return x
+        return np.array(rows, float).reshape(len(parts), FEATURES)
 
     def emit(self, pairs: list[tuple[str, str]], less: int = 0) -> list[tuple[list[str], np.ndarray]]:
         """Clauses and features of each pair, with the languages scored in one go."""
@@ -354,17 +368,19 @@ class Judge:
         texts = [q for q, _ in pairs] + [p for own in parts for p in own]
         like = self.languages(texts)
         asked = (like[: len(pairs)] + self.prior).argmax(axis=1) if like.shape[1] else np.zeros(len(pairs), int)
-        out, at = [], len(pairs)
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        margin, total = np.zeros(int(count.sum())), np.zeros(len(pairs))
+        if like.shape[1] and len(margin):
+            mine, of = like[len(pairs) :], np.repeat(np.arange(len(pairs)), count)
+            margin = mine.max(axis=1) - mine[np.arange(len(mine)), asked[of]]
+            used = np.flatnonzero(count)
+            whole = np.add.reduceat(mine, (np.cumsum(count) - count)[used])
+            total[used] = whole.max(axis=1) - whole[np.arange(len(used)), asked[used]]
+        margins, totals, at = margin.tolist(), total.tolist(), 0
+        out = []
         for k, own in enumerate(parts):
-            mine = like[at : at + len(own)]
+            out.append((own, self.features(pairs[k][0], own, margins[at : at + len(own)], totals[k], less)))
             at += len(own)
-            if like.shape[1]:
-                margin = mine.max(axis=1) - mine[:, asked[k]]
-                whole = mine.sum(axis=0)
-                total = float(whole.max() - whole[asked[k]])
-            else:
-                margin, total = np.zeros(len(own)), 0.0
-            out.append((own, self.features(pairs[k][0], own, margin, total, less)))
         return out
 
     def tags(self, x: np.ndarray) -> np.ndarray:
