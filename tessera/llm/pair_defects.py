@@ -40,7 +40,7 @@ SAMPLE = 5000  # rows the field is fitted on
 OVERDRAWN = 1.2  # times the sample that pass the threshold on the hash
 FREQUENT = 20  # times a word is seen from which a capital doesn't make it a name
 KNOWN = 3  # times a word is seen from which its numbers by mark are kept
-FREQUENT_SHARE = 1e-6  # of all words, from which either holds; bounds what is broadcast
+FREQUENT_SHARE = 5e-6  # of all words, from which either holds; bounds what is broadcast
 FAMILIAR = 2e-5  # of the words of correct answers, from which a word is one of theirs
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -154,6 +154,13 @@ class Endings:
         self.unknown = self._kind(0, 0)
         self.facts: dict[str, tuple[int, bool, float, str]] = {}
 
+    def __getstate__(self):
+        return self.__dict__ | {"kinds": None, "facts": {}}
+
+    def __setstate__(self, state):
+        self.__dict__ = state
+        self.kinds = {w: self._kind(*m) for w, m in self.marks.items()}
+
     def _kind(self, good: int, bad: int) -> tuple[bool, float]:
         """Whether correct answers don't use a word, and by how much it speaks for the others (log)."""
         g, b = self.marked
