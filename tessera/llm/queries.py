@@ -186,6 +186,39 @@ _LINES = f"""
     )"""
 
 
+def _pieces(limit: int, overlap: int) -> str:
+    """Cutting by the rule itself: one recursive row per piece, over the lists of boundaries of each text."""
+    stops, closers = "[.!?。！？؟…]", "[\"''\\)\\]}»”’」』]"
+    last = lambda k, more: f"list_max(list_filter({k}, lambda x: x <= r.st + {limit} AND x > {more}))"
+    half = f"greatest(r.done, r.st + {limit // 2 - 1})"
+    return f"""WITH RECURSIVE
+    t AS (SELECT chunk_id, regexp_replace(chunk_text, '^{SPACE}+|{SPACE}+$', '', 'g') AS x FROM rag_chunks WHERE chunk_text IS NOT NULL),
+    w AS (SELECT chunk_id, list_filter(regexp_split_to_array(x, '{SPACE}+'), lambda v: v <> '') AS ws, regexp_extract_all(x, '{SPACE}+') AS gs FROM t),
+    b AS (
+      SELECT *, len(ws) AS n, list_transform(gs, lambda g: length(g) - length(replace(replace(replace(g, chr(13) || chr(10), chr(10)), chr(10), ''), chr(13), ''))
+        - (length(g) - length(replace(g, chr(13) || chr(10), chr(10))))) AS br FROM w WHERE len(ws) > {limit}
+    ),
+    k AS (
+      SELECT chunk_id, ws, gs, n, list_filter(range(1, n), lambda i: br[i] >= 2) AS k1, list_filter(range(1, n), lambda i: br[i] >= 1) AS k2,
+        list_filter(range(1, n), lambda i: br[i] >= 1 OR regexp_matches(ws[i], '{stops}{closers}?$')) AS k3 FROM b
+    ),
+    r AS (
+      SELECT chunk_id, 0 AS no, 0::BIGINT AS st, 0::BIGINT AS done FROM k
+      UNION ALL
+      SELECT chunk_id, no + 1, CASE WHEN nx < e THEN nx ELSE bk END, e FROM (
+        SELECT *, list_min(list_filter(k3, lambda x: x >= bk)) AS nx FROM (
+          SELECT *, greatest(e - {overlap}, st + 1) AS bk FROM (
+            SELECT r.chunk_id, r.no, r.st, k.k3, coalesce({last('k.k1', half)}, {last('k.k2', half)}, {last('k.k3', half)}, {last('k.k3', 'r.done')}, r.st + {limit}) AS e
+            FROM r JOIN k USING (chunk_id) WHERE r.st + {limit} < k.n
+          )
+        )
+      )
+    ),
+    p AS (SELECT chunk_id, no, st, done, coalesce(lead(done) OVER (PARTITION BY chunk_id ORDER BY no), n) AS e, ws, gs FROM r JOIN k USING (chunk_id))
+    SELECT chunk_id, no::INT AS piece_no, st::INT AS first_word, (e - st)::INT AS words, greatest(done - st, 0)::INT AS overlap,
+      array_to_string(flatten(list_transform(range(st + 1, e + 1), lambda i: [ws[i], CASE WHEN i < e THEN gs[i] ELSE '' END])), '') AS piece FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""
@@ -214,6 +247,7 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT chunk_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM a ANTI JOIN d USING (chunk_id, line_no) GROUP BY chunk_id)
             SELECT s.chunk_id, CASE WHEN s.chunk_text IS NOT NULL THEN coalesce(t, '') END AS chunk_text FROM knowledge_sources s LEFT JOIN c USING (chunk_id)
         """,
+        "p6_pieces": _pieces(400, 80),
         "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p6_found": f"""
             SELECT chunk_id FROM rag_chunks
