@@ -416,7 +416,7 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT unnest(['1.0', '0.9', '0.8', '0.7', '0.5']) AS run) CROSS JOIN (SELECT query_id FROM asked) LEFT JOIN nr USING (query_id) LEFT JOIN hit USING (run, query_id))
             SELECT run, count(*) AS queries, round(avg(mrr), 4) AS mrr, round(avg(hit_5), 4) AS hit_5, round(avg(ndcg_5), 4) AS ndcg_5 FROM per GROUP BY run""",
         "rrf_dense": f"""WITH docs AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
-            asked AS (SELECT doc_id AS query_id, left(text, 200) AS q_text FROM docs WHERE doc_id % 100 = 0 AND text IS NOT NULL),
+            asked AS (SELECT doc_id AS query_id, text AS q_text FROM docs WHERE doc_id % 100 = 0 AND text IS NOT NULL),
             {_scored()},
             b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs WHERE query_id <> doc_id),
             ds AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_cos('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v

@@ -399,7 +399,7 @@ def _dense(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     """Queries, and their whole dense and BM25 scorings: each document with a vector, asked by its own text and vector."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     docs = _docs(spark, d).join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    asked = docs.where("doc_id % 100 = 0 AND text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(200)).alias("q_text"))
+    asked = docs.where("doc_id % 100 = 0 AND text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("text").alias("q_text"))
     held = v.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     barred = held.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumn("bar", F.lit(-2.0))
     dense = retrieval.cosine_above(barred, held, "vec_id", "embedding", "bar").where("query_id <> doc_id").select("query_id", "doc_id", "score")
