@@ -87,6 +87,7 @@ _ITEM = regex.compile(r"^\s*[-*•>]\s+(?:\S+\s+){2}")
 _BARE = regex.compile(r"^\s*(?:[-*•>]|\d{1,2}[.)]?)\s*$")
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
 FEATURES = 34
+STRANGE = slice(27, 33)  # features of how strange a clause's words are, and of what speaks for other answers
 WORDING = slice(1, 9)  # features read off the lists of declining wording
 
 
@@ -348,7 +349,7 @@ class Judge:
             strange, speaks = self.endings.strangeness(words[i], less)
             apart = telling.isdisjoint(own)  # nothing of the question's in it
             if total_margin <= 6 or margin[i] <= 0:  # another language has its own words for everything
-                row[27:33] = strange >= 0.3, strange >= 0.6, apart and strange >= 0.3, apart and strange >= 0.6, speaks >= 0.5, apart and speaks >= 0.5
+                row[STRANGE] = strange >= 0.3, strange >= 0.6, apart and strange >= 0.3, apart and strange >= 0.6, speaks >= 0.5, apart and speaks >= 0.5
             row[14:18] = margin[i] > 3, margin[i] > 10, total_margin > 6 and margin[i] > 0, total_margin > 20 and margin[i] > 0
             if i + 1 == len(parts) and not own:
                 row[18] = row[26] = 1
@@ -567,10 +568,13 @@ def fit_judge(models: Models, rows: list[tuple[str, str | None, str | None]], fr
         if tag == UNFINISHED:
             y[-1] = UNFINISHED
         sequences.append((x, y))
-        if tag == REFUSAL and endings.marks and not x[:, 14:18].any():  # the same declined in words unknown here: what is left is their strangeness
-            blank = x.copy()
+        if tag == REFUSAL and endings.marks and not x[:, 14:18].any():
+            blank = x.copy()  # the same declined without the lists' wording: what is left is how its words are used here
             blank[:, WORDING] = 0
             sequences.append((blank, y))
+            strange = blank.copy()  # and in words that aren't used here at all
+            strange[:, STRANGE] = [[1, k, 1, k, m, m] for k, m in ((rng.randrange(2), rng.randrange(2)) for _ in own)]
+            sequences.append((strange, y))
     if sum(bool(len(y)) and y[0] == FOREIGN for _, y in sequences) < 20:
         # a sample in one language has no foreign answers: show the field the margins that one would have
         for x, y in [s for s in sequences if s[1][0] == ANSWER and s[1][-1] == ANSWER][:60]:
