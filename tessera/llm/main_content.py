@@ -291,9 +291,11 @@ def _sum_paths(shared):
             pair, n = _counted(of[lines.word_line[known]] * len(vocabulary.words) + word[known])
             at, word = np.divmod(pair, max(len(vocabulary.words), 1))
             yield _rows(_WORD, key[at], vocabulary.words[word], np.zeros(len(pair), np.uint64), n)
-            zero = np.zeros(len(key), np.uint64)
             for k in range(len(_FIELDS)):
-                yield _rows(_STAT + k, key, zero, zero, np.bincount(of, weights=lines.stats[:, k]))
+                total = np.bincount(of, weights=lines.stats[:, k])
+                used = np.flatnonzero(total)  # what isn't given is 0
+                zero = np.zeros(len(used), np.uint64)
+                yield _rows(_STAT + k, key[used], zero, zero, total[used])
 
     return run
 
