@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,31 +30,38 @@ def risk_counts(stream: DataFrame, time_col: str, level_col: str, *, window: str
     return counts.select(F.col("w.start").alias("from"), F.col("w.end").alias("to"), "level", "n")
 
 
+BUCKETS = 1024  # of keys; a call for each key would cost more than its rows
+
+
 def cached_answers(stream: DataFrame, query_col: str, time_col: str, *, ttl: float = 3600.0, late: str = "1 hour") -> DataFrame:
-    """``(key, at, hit)``: whether each access would have found a live entry; a key's state is one expiry time.
+    """``(key, at, hit)``: whether each access would have found a live entry; a bucket's state is one expiry time a key.
 
-    An entry lives up to and at the second it expires. Its state goes when the watermark, ``late`` behind the newest
-    access, has passed that, so the store holds the keys of the last ``ttl`` and ``late`` only.
+    An entry lives up to and at the second it expires. It goes when the watermark, ``late`` behind the newest access,
+    has passed that, so the store holds the keys of the last ``ttl`` and ``late`` only.
     """
     at = F.col(time_col).cast("timestamp")
     rows = stream.select(norm(query_col).alias("key"), at.alias("seen"), F.unix_timestamp(at).cast("double").alias("at")).where("key <> '' AND at IS NOT NULL")
+    rows = rows.withColumn("bucket", F.pmod(F.hash("key"), F.lit(BUCKETS)))
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live: dict[str, float] = json.loads(state.get[0]) if state.exists else {}
+        passed = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            own = pd.concat([pdf[["key", "at"]] for pdf in batches]).sort_values(["key", "at"])
+            hits = []
+            for key, t in zip(own["key"], own["at"]):
+                hits.append(t <= live.get(key, -math.inf))
+                if not hits[-1]:
+                    live[key] = t + ttl
+            yield own.assign(hit=hits)
+        live = {key: expires for key, expires in live.items() if int(expires * 1000) + 1000 > passed}
+        if live:
+            state.update((json.dumps(live),))
+            state.setTimeoutTimestamp(int(min(live.values()) * 1000) + 1000)
+        elif state.exists:
             state.remove()
-            return
-        expires = state.get[0] if state.exists else -1.0
-        times = sorted(t for pdf in batches for t in pdf["at"])
-        hits = []
-        for t in times:
-            hits.append(t <= expires)
-            if t > expires:
-                expires = t + ttl
-        state.update((expires,))
-        state.setTimeoutTimestamp(max(int(expires * 1000) + 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [key[0]] * len(times), "at": times, "hit": hits})
 
     return (
-        rows.withWatermark("seen", late).groupBy("key")
-        .applyInPandasWithState(step, "key string, at double, hit boolean", "expires double", "append", GroupStateTimeout.EventTimeTimeout)
+        rows.withWatermark("seen", late).groupBy("bucket")
+        .applyInPandasWithState(step, "key string, at double, hit boolean", "live string", "append", GroupStateTimeout.EventTimeTimeout)
     )

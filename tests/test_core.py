@@ -473,3 +473,24 @@ def test_entry_contract():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+def test_stream_cache_keeps_no_rows_in_the_driver(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    out = registered.queries()["stream_cache"](spark, "/root/testdata/sf0.001")
+    assert {t.name for t in spark.catalog.listTables()} == before  # a memory sink leaves a table
+    assert out.agg(F.sum("accesses")).first()[0] == registered._accesses(spark, "/root/testdata/sf0.001").count()
+
+
+def test_cached_answers_over_batches(spark, tmp_path):
+    times = {"a": [0, 3600, 3601, 9000], "b": [10, 20, 7300, 50000]}
+    rows = spark.createDataFrame([(k, float(t)) for k in times for t in times[k]], "q string, s double").select("q", F.timestamp_seconds(F.col("s") + 1_000_000_000).alias("t"))
+    for part in ("s <= 20", "s > 20 AND s < 8000", "s >= 8000"):  # a run each, over the same state
+        rows.withColumn("s", F.unix_timestamp("t") - 1_000_000_000).where(part).select("q", "t").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        logs.append_audit(logs.cached_answers(stream, "q", "t"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r["key"], r["at"] - 1_000_000_000, r["hit"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [
+        ("a", 0, False), ("a", 3600, True), ("a", 3601, False), ("a", 9000, False),
+        ("b", 10, False), ("b", 20, True), ("b", 7300, False), ("b", 50000, False),
+    ]
