@@ -6,6 +6,7 @@ import pytest
 
 from tessera.llm.language_id import document_languages, fit, fitted, named_language, segment_languages, segments
 from tessera.llm.main_content import Vocabulary, content_scores, fitted_scores, furniture_lines, main_body, path_counts, path_sums, read_lines
+from tessera.llm import main_content
 from tessera.llm import pair_defects as defects
 from tessera.llm.pair_defects import Endings, clauses, ending_counts, fit_judge, is_empty, pair_defects, sampled_judge
 
@@ -231,6 +232,23 @@ def test_unknown_wording_is_told_by_its_ratios(spark):
     assert len(found & want) >= 0.9 * len(want) and len(found & kept) <= 0.05 * len(kept), (len(found & want) / len(want), len(found & kept) / len(kept))
 
 
+def test_rare_neighbours_count_as_their_shapes(spark, monkeypatch):
+    """In a large corpus most pairs of neighbours are below the share; what stands beside a line must still count."""
+    rng = random.Random(4)
+    rows, kept = [], set()
+    for i in range(200):
+        pieces = [rng.choice(TOP), *rng.sample(BODY, 3), rng.choice(ASIDE), *rng.sample(BODY, 2), rng.choice(PROMPT), rng.choice(FOOT)]
+        lines = [(x.format(a=rng.randrange(100, 900), b=rng.randrange(2, 20), w=rng.choice(["music", "chess", "games"])), p in BODY) for p in pieces for x in p.split("\n")]
+        kept |= {(i, k) for k, (_, body) in enumerate(lines) if body}
+        rows.append((i, "\n".join(x for x, _ in lines)))
+    df = spark.createDataFrame(rows, "id int, text string")
+    found = []
+    for share in (0.0, 0.005):
+        monkeypatch.setattr(main_content, "EDGE_SHARE", share)
+        found.append({(r.id, r.line_no) for r in furniture_lines(df, "id", "text").collect()})
+    assert len(found[0] ^ found[1]) <= 0.03 * len(found[0]) and len(found[1] & kept) <= 0.05 * len(kept), (len(found[0] ^ found[1]) / len(found[0]), len(found[1] & kept) / len(kept))
+
+
 def test_lines_and_paths():
     lines = read_lines(["A b.\n\n - Form G-34, 1,200 x \r\nHome | News | Contact", "", "Stage | Days | Fee\nVisit | 3 | 40", "12"])
     assert lines.text.tolist() == [0, 0, 0, 2, 2, 3] and lines.number.tolist() == [0, 2, 3, 0, 1, 0]
