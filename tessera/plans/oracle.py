@@ -63,9 +63,9 @@ def _scored() -> str:
     )"""
 
 
-def _common() -> str:
+def _common(which: str = "feedback_id % 100 = 0 AND ") -> str:
     return f"""
-    asked AS (SELECT feedback_id AS query_id, question AS q_text FROM feedback_log WHERE feedback_id % 100 = 0 AND question IS NOT NULL),
+    asked AS (SELECT feedback_id AS query_id, question AS q_text FROM feedback_log WHERE {which}question IS NOT NULL),
     docs AS (SELECT doc_id, text FROM documents),
 {_scored()},
     bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs),
@@ -98,8 +98,8 @@ _RERANKED = """
     )"""
 
 
-def _runs() -> str:
-    return f"""{_common()}, {_fused(1, 1)}, {_RERANKED},
+def _runs(which: str = "feedback_id % 100 = 0 AND ") -> str:
+    return f"""{_common(which)}, {_fused(1, 1)}, {_RERANKED},
     oracle AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM rel),
     runs AS (
       SELECT '1_lexical' AS run, query_id, doc_id, rank FROM lexical UNION ALL SELECT '2_bm25', query_id, doc_id, rank FROM bm25
@@ -394,7 +394,7 @@ def oracle_sql() -> dict[str, str]:
             """SELECT query_id, length(string_agg(b, chr(10) || chr(10) ORDER BY pos))::INT AS chars, md5(string_agg(b, chr(10) || chr(10) ORDER BY pos)) AS prompt_hash
             FROM (SELECT query_id, pos, 'Source: ' || coalesce(source_title, 'Unknown Source') || chr(10) || 'Text: ' || d.text AS b FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE pos > 0) GROUP BY query_id""",
         ),
-        "retrieval_per_query": f"WITH {_runs()} SELECT run, query_id, {metrics} FROM per",
+        "retrieval_per_query": f"WITH {_runs('')} SELECT run, query_id, {metrics} FROM per",
         "ranker_compare": f"WITH {_runs()}, m AS (SELECT run, count(*) AS queries, {means} FROM per GROUP BY run) SELECT *, round(mrr - lag(mrr) OVER (ORDER BY run), 4) AS mrr_delta FROM m",
         "distractor_screen": f"WITH {_SCREENED} SELECT doc_id, query_id, round(score, 6) AS score, round(bar, 6) AS bar, round(score - bar, 6) AS margin FROM w",
         "transparency": f"""WITH {_solved()} SELECT query_id, doc_id, overlap, shared, row_number() OVER (ORDER BY overlap DESC, query_id)::INT AS pos FROM sv""",

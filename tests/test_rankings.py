@@ -135,3 +135,27 @@ def test_prompts_score_their_pool_only(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "lexical_scores", None, raising=False)
     assert retrieve(asked, named, "q", "t", "d", "title", "t").count() == 10
 
+
+
+def _questions(spark, path):
+    """Documents and a log of twelve questions, of which the id of one is divisible by 100; two are equal but for order and case, one is null."""
+    words = ["visa", "cap", "lottery", "rules", "H-1B", "i-9", "2024", "the"]
+    docs = [(i, " ".join(words[(i * k) % 8] for k in range(1, 2 + i % 9))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    asked = [(90 + i, f"{words[i % 8]} {words[(3 * i + 1) % 8]} i-9") for i in range(9)] + [(99, "Rules H-1B the cap"), (100, "cap the rules h-1b"), (101, None)]
+    spark.createDataFrame(asked, "feedback_id long, question string").write.parquet(f"{path}/feedback_log.parquet")
+    return [i for i, q in asked if q]
+
+
+def test_metrics_of_every_question(spark, tmp_path, monkeypatch):
+    ids = _questions(spark, tmp_path)
+    asked, docs = registered._questions(spark, str(tmp_path)), registered._docs(spark, str(tmp_path))
+    rows = retrieval.ranked(retrieval.bm25_scores(asked, docs, *registered.NAMES))
+    rel = _relevant(asked.selectExpr("query_id AS q", "q_text AS t"), docs.selectExpr("doc_id AS d", "text AS t"))
+    first = {r[0]: round(1 / r[1], 6) for r in rows.join(rel, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank")).collect()}
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 0)  # however many they are, no plan that shuffles the pairs is used
+    monkeypatch.setattr(registered, "_hybrid", None)
+    got = registered.queries()["retrieval_per_query"](spark, str(tmp_path)).collect()
+    assert sorted((r["run"], r["query_id"]) for r in got) == sorted((run, i) for run in registered.RUNS for i in ids)
+    assert {r["query_id"]: r["mrr"] for r in got if r["run"] == "2_bm25"} == first and len(first) == len(ids)
+    assert len({tuple(r)[2:] for r in got if r["run"] == "3_fused" and r["query_id"] in (99, 100)}) == 1
