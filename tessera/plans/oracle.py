@@ -395,7 +395,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT query_id, pos, 'Source: ' || coalesce(source_title, 'Unknown Source') || chr(10) || 'Text: ' || d.text AS b FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE pos > 0) GROUP BY query_id""",
         ),
         "retrieval_per_query": f"WITH {_runs('')} SELECT run, query_id, {metrics} FROM per",
-        "ranker_compare": f"WITH {_runs()}, m AS (SELECT run, count(*) AS queries, {means} FROM per GROUP BY run) SELECT *, round(mrr - lag(mrr) OVER (ORDER BY run), 4) AS mrr_delta FROM m",
+        "ranker_compare": f"WITH {_runs('')}, m AS (SELECT run, count(*) AS queries, {means} FROM per GROUP BY run) SELECT *, round(mrr - lag(mrr) OVER (ORDER BY run), 4) AS mrr_delta FROM m",
         "distractor_screen": f"WITH {_SCREENED} SELECT doc_id, query_id, round(score, 6) AS score, round(bar, 6) AS bar, round(score - bar, 6) AS margin FROM w",
         "transparency": f"""WITH {_solved()} SELECT query_id, doc_id, overlap, shared, row_number() OVER (ORDER BY overlap DESC, query_id)::INT AS pos FROM sv""",
         "share_solved": f"""WITH {_solved()}, n AS (SELECT (SELECT count(*) FROM sv) AS solved, (SELECT count(*) FROM asked) AS queries)

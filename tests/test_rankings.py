@@ -159,3 +159,11 @@ def test_metrics_of_every_question(spark, tmp_path, monkeypatch):
     assert sorted((r["run"], r["query_id"]) for r in got) == sorted((run, i) for run in registered.RUNS for i in ids)
     assert {r["query_id"]: r["mrr"] for r in got if r["run"] == "2_bm25"} == first and len(first) == len(ids)
     assert len({tuple(r)[2:] for r in got if r["run"] == "3_fused" and r["query_id"] in (99, 100)}) == 1
+
+
+def test_rankers_are_compared_by_every_question(spark, tmp_path):
+    ids = _questions(spark, tmp_path)
+    got = registered.queries()["ranker_compare"](spark, str(tmp_path)).collect()
+    per = registered.queries()["retrieval_per_query"](spark, str(tmp_path)).groupBy("run").agg(F.avg("mrr")).collect()
+    assert {r["run"]: r["queries"] for r in got} == dict.fromkeys(registered.RUNS, len(ids))
+    assert {r["run"]: r["mrr"] for r in got} == pytest.approx({r[0]: r[1] for r in per}, abs=1e-4)
