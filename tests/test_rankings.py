@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,15 @@ def test_rankers_are_compared_by_every_question(spark, tmp_path):
     per = registered.queries()["retrieval_per_query"](spark, str(tmp_path)).groupBy("run").agg(F.avg("mrr")).collect()
     assert {r["run"]: r["queries"] for r in got} == dict.fromkeys(registered.RUNS, len(ids))
     assert {r["run"]: r["mrr"] for r in got} == pytest.approx({r[0]: r[1] for r in per}, abs=1e-4)
+
+
+def test_whole_rankings_are_written_in_little_room(spark, tmp_path):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(LETTERS, k=rng.randrange(1, 25)))) for i in range(5000)], "d long, t string").repartition(5)
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(LETTERS, k=6))) for i in range(150)], "q int, t string")
+    rankings.bm25_all(asked, docs, *NAMES).write.parquet(str(tmp_path / "out"))
+    files = [pq.ParquetFile(x).metadata for x in (tmp_path / "out").glob("*.parquet")]
+    size = sum(m.row_group(g).column(3).total_compressed_size for m in files for g in range(m.num_row_groups))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.groupBy("query_id").agg(F.count_distinct("doc_id").alias("d"), F.count_distinct("rank").alias("r"), F.max("rank").alias("m")).where("d = 5000 AND r = 5000 AND m = 5000").count() == 150
+    assert size < 1.0 * 150 * 5000  # bytes of ranks
